@@ -88,11 +88,13 @@ def exact_knn(
     order: str = "nearest",
     precision: str = "f32",
     strategy: str = "auto",
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """The k best base vectors for every query: `query_id, rank, neighbor_id, score`.
 
     `base` has `vec_id, embedding`; `queries` has `query_id, embedding`. With fewer than k base
     rows the result has fewer ranks. `precision="bf16"` rounds both sides to bfloat16 first.
+    `sizes`, where the caller knows them, saves counting both sides.
     """
     positive("k", k)
     one_of("metric", metric, METRICS)
@@ -100,7 +102,7 @@ def exact_knn(
     one_of("precision", precision, PRECISIONS)
     one_of("strategy", strategy, STRATEGIES)
     spark = session.ship(base.sparkSession)
-    sizes = measure(base, queries)
+    sizes = sizes or measure(base, queries)
     base = base.select("vec_id", "embedding")
     queries = queries.select("query_id", "embedding")
     if sizes.base == 0 or sizes.queries == 0:
@@ -122,6 +124,8 @@ def exact_knn(
         metric,
         order,
         sizes.dim,
+        spark.createDataFrame([(0, sizes.base)], "list_id int, n bigint"),
+        1,
     )
     return _neighbours(top_k(found, k, metric, order))
 

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom import session
 from vecloom.functions import blocks
-from vecloom.operators.flat import collect_vectors, exact_knn
+from vecloom.operators.flat import Sizes, collect_vectors, exact_knn
 from vecloom.operators.keyed import keyed_knn
 from vecloom.operators.kmeans import embedding_of_centroid, ivf_train, nearest_list
 from vecloom.operators.topk import top_k
@@ -47,8 +47,15 @@ def ivf_assign(base: DataFrame, centroids: DataFrame, coarse_metric: str = "l2")
     return base.mapInArrow(assign, "vec_id bigint, embedding array<float>, list_id int")
 
 
-def write_lists(assigned: DataFrame, path: str, n_list: int, dim: int, mode: str = "error") -> int:
-    """Write the `sizes` and `lists` tables; returns the number of vectors.
+def _bucket(n_list: int, buckets: int) -> Column:
+    """Lists in equal, contiguous runs: the partition directory of each."""
+    return F.floor(F.col("list_id").cast("bigint") * buckets / n_list).cast("int")
+
+
+def write_lists(
+    assigned: DataFrame, path: str, n_list: int, dim: int, mode: str = "error"
+) -> tuple[int, int]:
+    """Write the `sizes` and `lists` tables; returns the numbers of vectors and of buckets.
 
     Rows are placed by their list's offset in the whole, so files hold neighbouring lists in order,
     a list larger than a file is split over several tasks, and small lists share one.
@@ -68,13 +75,13 @@ def write_lists(assigned: DataFrame, path: str, n_list: int, dim: int, mode: str
     slot = F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))
     placed = (
         staged.join(F.broadcast(offsets), "list_id")
-        .withColumn("list_bucket", F.floor(F.col("list_id") * F.lit(buckets) / n_list).cast("int"))
+        .withColumn("list_bucket", _bucket(n_list, buckets))
         .repartitionById(files, F.floor(slot / F.lit(per_file)).cast("int"))
         .sortWithinPartitions("list_bucket", "list_id", "vec_id")
     )
     write_table(placed, path, "lists", mode)
     session.drop(spark, staging)
-    return n
+    return n, buckets
 
 
 def build_ivf(
@@ -100,17 +107,23 @@ def build_ivf(
     stored = spark.read.parquet(f"{path}/centroids")
     n_list = stored.count()
     dim = stored.select(F.size("centroid").alias("dim")).head()["dim"]
-    n = write_lists(ivf_assign(base, stored, coarse_metric), path, n_list, dim, mode)
-    return write_meta(spark, path, Meta("ivf", metric, coarse_metric, dim, n, n_list), mode)
+    assigned = ivf_assign(base, stored, coarse_metric)
+    n, buckets = write_lists(assigned, path, n_list, dim, mode)
+    meta = Meta("ivf", metric, coarse_metric, dim, n, n_list, n_bucket=buckets)
+    return write_meta(spark, path, meta, mode)
 
 
 def ivf_probes(
-    centroids: DataFrame, queries: DataFrame, nprobe: int = 32, coarse_metric: str = "l2"
+    centroids: DataFrame,
+    queries: DataFrame,
+    nprobe: int = 32,
+    coarse_metric: str = "l2",
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """The `nprobe` nearest lists of every query: `query_id, list_id, probe_rank`."""
     positive("nprobe", nprobe)
     lists = centroids.select(F.col("list_id").cast("bigint").alias("vec_id"), embedding_of_centroid())
-    return exact_knn(lists, queries, nprobe, coarse_metric).select(
+    return exact_knn(lists, queries, nprobe, coarse_metric, sizes=sizes).select(
         "query_id",
         F.col("neighbor_id").cast("int").alias("list_id"),
         F.col("rank").alias("probe_rank"),
@@ -118,15 +131,15 @@ def ivf_probes(
 
 
 def _probed_lists(index: VectorIndex, probes: DataFrame) -> DataFrame:
-    """List rows that some query probes; the bucket join prunes directories while scanning."""
-    buckets = index.table("lists").select("list_bucket").distinct().count()
+    """List rows that some query probes; only their bucket directories are scanned."""
     n_list = index.meta.n_list
     wanted = probes.select("list_id").distinct()
-    if n_list * 16 > session.broadcast_bytes(index.spark):
-        return index.table("lists").join(wanted, "list_id", "left_semi")
-    bucket = F.floor(F.col("list_id") * F.lit(buckets) / n_list).cast("int")
-    wanted = F.broadcast(wanted.withColumn("list_bucket", bucket))
-    return index.table("lists").join(wanted, ["list_bucket", "list_id"], "left_semi")
+    bucket = _bucket(n_list, index.meta.n_bucket)
+    buckets = [r[0] for r in wanted.select(bucket).distinct().collect()]
+    rows = index.table("lists").where(F.col("list_bucket").isin(buckets))
+    if n_list * 16 <= session.broadcast_bytes(index.spark):
+        wanted = F.broadcast(wanted)
+    return rows.join(wanted, "list_id", "left_semi")
 
 
 def ivf_search(
@@ -154,18 +167,33 @@ def ivf_search(
         held = n * (meta.dim * 8 + k * 16 + nprobe * 12)
         strategy = "broadcast" if held <= session.broadcast_bytes(spark) else "shuffle"
     if strategy == "broadcast":
-        found = _stream_lists(index, queries, k, nprobe)
+        found = _stream_lists(index, queries, k, nprobe, n)
     else:
-        found = ivf_candidates(index, queries, k, nprobe)
+        found = ivf_candidates(index, queries, k, nprobe, n)
     return top_k(found, k, meta.metric).select("query_id", "rank", "neighbor_id", "score")
 
 
-def ivf_candidates(index: VectorIndex, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
-    """Best k per query and probed list block: `query_id, list_id, neighbor_id, score`."""
+def _probe(index: VectorIndex, queries: DataFrame, nprobe: int, n: int) -> DataFrame:
     meta = index.meta
-    probes, _ = session.cut(
-        ivf_probes(index.table("centroids"), queries, nprobe, meta.coarse_metric), "probes"
-    )
+    sizes = Sizes(meta.n_list, n, meta.dim)
+    return ivf_probes(index.table("centroids"), queries, nprobe, meta.coarse_metric, sizes)
+
+
+def ivf_candidates(
+    index: VectorIndex,
+    queries: DataFrame,
+    k: int,
+    nprobe: int,
+    n: int,
+    probes: DataFrame | None = None,
+) -> DataFrame:
+    """Best k per query and probed list block: `query_id, list_id, neighbor_id, score`.
+
+    `n` is the number of queries; `probes`, if at hand, must be a stored table.
+    """
+    meta = index.meta
+    if probes is None:
+        probes, _ = session.cut(_probe(index, queries, nprobe, n), "probes")
     asked = probes.select("query_id", "list_id").join(
         queries.select("query_id", "embedding"), "query_id"
     )
@@ -177,12 +205,15 @@ def ivf_candidates(index: VectorIndex, queries: DataFrame, k: int, nprobe: int)
         "nearest",
         meta.dim,
         index.table("sizes"),
+        meta.n_list,
     )
 
 
-def _stream_lists(index: VectorIndex, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
+def _stream_lists(
+    index: VectorIndex, queries: DataFrame, k: int, nprobe: int, n: int
+) -> DataFrame:
     spark, meta = index.spark, index.meta
-    probes = ivf_probes(index.table("centroids"), queries, nprobe, meta.coarse_metric)
+    probes = _probe(index, queries, nprobe, n)
     pairs = probes.select("query_id", "list_id").toArrow().sort_by("list_id")
     query_ids, vectors = collect_vectors(queries, "query_id")
     lists, starts = np.unique(pairs.column("list_id").to_numpy(), return_index=True)

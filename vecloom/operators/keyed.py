@@ -37,17 +37,17 @@ def keyed_knn(
     metric: str,
     order: str,
     dim: int,
-    base_counts: DataFrame | None = None,
+    base_counts: DataFrame,
+    n_keys: int,
 ) -> DataFrame:
     """Candidates `query_id, list_id, neighbor_id, score`: the best k of each block pair.
 
     `base` has `list_id, vec_id, embedding`; `queries` has `list_id, query_id, embedding`, one row
-    per key a query looks into. `base_counts` (`list_id, n`) saves a pass over `base` if known.
+    per key a query looks into, which is read twice. `base_counts` holds the rows per key
+    (`list_id, n`), `n_keys` bounds the number of keys.
     """
     spark = session.ship(base.sparkSession)
     per_chunk = max(1, session.block_bytes(spark) // (dim * 4))
-    if base_counts is None:
-        base_counts = base.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
     query_counts = queries.groupBy("list_id").agg(F.count(F.lit(1)).alias("m"))
     plan = (
         base_counts.select("list_id", "n")
@@ -60,18 +60,18 @@ def keyed_knn(
             _chunks("m", per_chunk).alias("query_chunks"),
         )
     )
-    plan, _ = session.cut(plan, "block-plan")
-    size = plan.agg(
-        F.count(F.lit(1)).alias("keys"),
-        F.sum(F.col("n") * F.col("query_chunks") + F.col("m") * F.col("base_chunks")).alias("rows"),
-    ).head()
-    if not size["keys"]:
+    if n_keys * 32 <= session.broadcast_bytes(spark):
+        plan = F.broadcast(spark.createDataFrame(plan.toArrow()))
+    else:
+        plan, _ = session.cut(plan, "block-plan")
+    rows = plan.agg(
+        F.sum(F.col("n") * F.col("query_chunks") + F.col("m") * F.col("base_chunks"))
+    ).head()[0]
+    if rows is None:
         return spark.createDataFrame([], CANDIDATES)
-    plan = plan.select("list_id", "base_chunks", "query_chunks")
-    if size["keys"] * 32 <= session.broadcast_bytes(spark):
-        plan = F.broadcast(plan)
-    tasks = math.ceil(size["rows"] * dim * 4 / session.partition_bytes(spark))
+    tasks = math.ceil(rows * dim * 4 / session.partition_bytes(spark))
     tasks = max(tasks, spark.sparkContext.defaultParallelism)
+    plan = plan.select("list_id", "base_chunks", "query_chunks")
 
     # Both sides may come from one table, so the query side gets its own column names.
     key = ["list_id", "base_chunk", "query_chunk"]

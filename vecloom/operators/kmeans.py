@@ -18,6 +18,7 @@ from vecloom.schema import CENTROIDS, one_of, positive
 
 ENGINES = ("lloyd", "ml")
 _HEX = 1 << 32
+_SUMS = "list_id int, n bigint, total array<double>"
 
 
 def default_n_list(n: int) -> int:
@@ -136,11 +137,24 @@ def _partial_sums(held, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     )
 
 
-def _sum_vectors(df: DataFrame, vector: str, dim: int, count: Column) -> DataFrame:
-    """Element-wise sums per list, one aggregate per element, combined before the shuffle."""
-    sums = [F.sum(F.col(vector)[i].cast("double")).alias(f"s{i}") for i in range(dim)]
-    summed = df.groupBy("list_id").agg(count.alias("n"), *sums)
-    return summed.select("list_id", "n", F.array(*[f"s{i}" for i in range(dim)]).alias("total"))
+def _merge_sums(dim: int, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per shuffle partition: the tasks' sums added up, one row per list."""
+    counts: dict[int, int] = {}
+    sums: dict[int, np.ndarray] = {}
+    for batch in stream:
+        totals = blocks.matrix(batch.column("total"), dim)
+        for i, list_id in enumerate(batch.column("list_id").to_pylist()):
+            sums[list_id] = sums[list_id] + totals[i] if list_id in sums else totals[i]
+            counts[list_id] = counts.get(list_id, 0) + batch.column("n")[i].as_py()
+    if sums:
+        yield from blocks.batches(
+            {
+                "list_id": pa.array(list(sums), pa.int32()),
+                "n": pa.array([counts[i] for i in sums], pa.int64()),
+                "total": blocks.vector_column(np.stack(list(sums.values()))),
+            },
+            rows=1024,
+        )
 
 
 def _lloyd(train: DataFrame, seeds: DataFrame, iters: int, spherical: bool) -> DataFrame:
@@ -153,10 +167,14 @@ def _lloyd(train: DataFrame, seeds: DataFrame, iters: int, spherical: bool) -> D
     dim = centroids.shape[1]
     for _ in range(iters):
         held = spark.sparkContext.broadcast(centroids)
-        partial_rows = train.select("embedding").mapInArrow(
-            partial(_partial_sums, held), "list_id int, n bigint, total array<double>"
+        # At most one row per task and list is shuffled, however hot a list is.
+        summed = (
+            train.select("embedding")
+            .mapInArrow(partial(_partial_sums, held), _SUMS)
+            .repartition("list_id")
+            .mapInArrow(partial(_merge_sums, dim), _SUMS)
+            .toArrow()
         )
-        summed = _sum_vectors(partial_rows, "total", dim, F.sum("n")).toArrow()
         held.unpersist()
         at = summed.column("list_id").to_numpy()
         means = blocks.matrix(summed.column("total")) / summed.column("n").to_numpy()[:, None]
@@ -181,9 +199,13 @@ def _lloyd_shuffled(
     )
     for _ in range(iters):
         nearest = nearest_list(train, centroids, "l2")
-        total = _sum_vectors(
-            train.join(nearest, "vec_id"), "embedding", dim, F.count(F.lit(1))
-        ).withColumn("mean", F.transform("total", lambda x: x / F.col("n")))
+        means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dim)]
+        total = (
+            train.join(nearest, "vec_id")
+            .groupBy("list_id")
+            .agg(*means)
+            .select("list_id", F.array(*[f"m{i}" for i in range(dim)]).alias("mean"))
+        )
         stepped = centroids.join(total, "list_id", "left").select(
             "list_id",
             F.when(F.col("mean").isNull(), F.col("centroid"))

@@ -13,7 +13,7 @@ CENTROIDS = "list_id int, centroid array<double>"
 VECTORS = "vec_id bigint, embedding array<float>"
 META = (
     "index_type string, metric string, coarse_metric string, dim int, n_base bigint, "
-    "n_list int, m int"
+    "n_list int, m int, n_bucket int"
 )
 TIMINGS = (
     "index string, phase string, n_base bigint, n_query bigint, knob int, rep int, millis bigint"

@@ -46,6 +46,7 @@ class Meta:
     n_base: int
     n_list: int | None = None
     m: int | None = None
+    n_bucket: int | None = None
 
 
 @dataclass(frozen=True)
