@@ -56,16 +56,14 @@ class RunningTopK:
         self.best = np.full((len(queries), k), -np.inf)
         self.ids = np.full((len(queries), k), _NO_ID, np.int64)
         self._flip = -1.0 if order == "farthest" else 1.0
-        wide = queries.astype(np.float64)
-        self._square = np.einsum("ij,ij->i", wide, wide)
+        self._square = _squares(queries)
 
     def update(self, base_ids: np.ndarray, base: np.ndarray, rows: np.ndarray | None = None):
         """Offer base rows to all queries, or only to those at positions `rows`."""
         rows = np.arange(len(self.queries)) if rows is None else rows
         for b in range(0, len(base), BASE_TILE):
             block, block_ids = base[b : b + BASE_TILE], base_ids[b : b + BASE_TILE]
-            wide = block.astype(np.float64)
-            square = np.einsum("ij,ij->i", wide, wide)
+            square = _squares(block)
             for q in range(0, len(rows), QUERY_TILE):
                 self._offer(rows[q : q + QUERY_TILE], block_ids, block, square)
 
@@ -83,6 +81,8 @@ class RunningTopK:
             approx *= 2
             approx -= base_square.astype(kind)
             slack = 2 * slack + unit * peak * peak
+            # The floor itself was rounded, in double, at the size of the whole distance.
+            slack += (dim + 8) * np.finfo(np.float64).eps * (norm + peak) ** 2
         if self._flip < 0:
             np.negative(approx, out=approx)
 
@@ -95,7 +95,7 @@ class RunningTopK:
             kth = self._kth(approx)
             floor = np.maximum(floor, kth - 2 * slack)
             keep = approx >= _below(floor, kind)
-        r, c = np.nonzero(keep)
+        r, c = np.divmod(np.flatnonzero(keep), len(base))
         if len(r):
             self._merge(rows, r, base_ids[c], self._exact(rows[r], base, c))
 
@@ -138,6 +138,10 @@ class RunningTopK:
         return position, place + 1, self.ids[position, place], (-keys if self.l2 else keys) + 0.0
 
 
+def _squares(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows, dtype=np.float64, casting="safe")
+
+
 def _below(floor: np.ndarray, kind: type) -> np.ndarray:
     """Per-query thresholds as a column of `kind`, rounded down."""
     return np.nextafter(floor.astype(kind), kind(-np.inf))[:, None]

@@ -40,11 +40,18 @@ _TASK_BYTES = 4 << 30
 
 @dataclass(frozen=True)
 class Sizes:
+    """Rows of both sides, and the dimension of their vectors."""
+
     base: int
     queries: int
     dim: int
 
 
+def vector_bytes(df: DataFrame, dim: int, vector: str = "embedding") -> int:
+    """Bytes of one vector, from the declared element type."""
+    return dim * (4 if df.schema[vector].dataType.elementType.typeName() == "float" else 8)
+
+
 def measure(base: DataFrame, queries: DataFrame) -> Sizes:
     """Row counts of both sides in one job, and the dimension of the first vector."""
     sides = base.select(F.lit("base").alias("side")).unionAll(
@@ -55,10 +62,11 @@ def measure(base: DataFrame, queries: DataFrame) -> Sizes:
     return Sizes(counts.get("base", 0), counts.get("queries", 0), first["dim"] if first else 0)
 
 
-def choose(sizes: Sizes, k: int, bound: int) -> str:
-    if sizes.base * sizes.dim * 8 <= bound:
+def choose(base: DataFrame, queries: DataFrame, sizes: Sizes, k: int) -> str:
+    bound = session.broadcast_bytes(base.sparkSession)
+    if sizes.base * (vector_bytes(base, sizes.dim) + 8) <= bound:
         return "broadcast_base"
-    if sizes.queries * (sizes.dim * 8 + k * 16) <= bound:
+    if sizes.queries * (vector_bytes(queries, sizes.dim) + 8 + k * 16) <= bound:
         return "broadcast_queries"
     return "shuffle"
 
@@ -75,7 +83,7 @@ def spread(df: DataFrame, id_col: str, rows: int, sizes: Sizes) -> DataFrame:
     """Spread a streamed side over all cores if it is small but its scoring is not."""
     spark = df.sparkSession
     work = sizes.base * sizes.queries * sizes.dim
-    if rows * sizes.dim * 8 > session.broadcast_bytes(spark) or work < _SPREAD_WORK:
+    if rows * vector_bytes(df, sizes.dim) > session.broadcast_bytes(spark) or work < _SPREAD_WORK:
         return df
     return df.repartition(spark.sparkContext.defaultParallelism, id_col)
 
@@ -111,7 +119,7 @@ def exact_knn(
         base = base.withColumn("embedding", bf16_vector("embedding"))
         queries = queries.withColumn("embedding", bf16_vector("embedding"))
     if strategy == "auto":
-        strategy = choose(sizes, k, session.broadcast_bytes(spark))
+        strategy = choose(base, queries, sizes, k)
     if strategy == "broadcast_base":
         streamed = spread(queries, "query_id", sizes.queries, sizes)
         return _against_base(base, streamed, k, metric, order)

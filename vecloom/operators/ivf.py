@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vecloom import session
 from vecloom.functions import blocks
-from vecloom.operators.flat import Sizes, collect_vectors, exact_knn
+from vecloom.operators.flat import Sizes, collect_vectors, exact_knn, vector_bytes
 from vecloom.operators.keyed import keyed_knn
 from vecloom.operators.kmeans import embedding_of_centroid, ivf_train, nearest_list
 from vecloom.operators.topk import top_k
@@ -74,7 +74,7 @@ def write_lists(
     buckets = min(files, n_list, _MAX_BUCKETS)
     slot = F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))
     placed = (
-        staged.join(F.broadcast(offsets), "list_id")
+        staged.join(session.small(offsets, n_list * 24), "list_id")
         .withColumn("list_bucket", _bucket(n_list, buckets))
         .repartitionById(files, F.floor(slot / F.lit(per_file)).cast("int"))
         .sortWithinPartitions("list_bucket", "list_id", "vec_id")
@@ -130,16 +130,9 @@ def ivf_probes(
     )
 
 
-def _probed_lists(index: VectorIndex, probes: DataFrame) -> DataFrame:
-    """List rows that some query probes; only their bucket directories are scanned."""
-    n_list = index.meta.n_list
-    wanted = probes.select("list_id").distinct()
-    bucket = _bucket(n_list, index.meta.n_bucket)
-    buckets = [r[0] for r in wanted.select(bucket).distinct().collect()]
-    rows = index.table("lists").where(F.col("list_bucket").isin(buckets))
-    if n_list * 16 <= session.broadcast_bytes(index.spark):
-        wanted = F.broadcast(wanted)
-    return rows.join(wanted, "list_id", "left_semi")
+def _probed_buckets(index: VectorIndex, buckets: list[int]) -> DataFrame:
+    """List rows of some bucket directories; the others are not scanned."""
+    return index.table("lists").where(F.col("list_bucket").isin(buckets))
 
 
 def ivf_search(
@@ -164,7 +157,7 @@ def ivf_search(
     if n == 0:
         return spark.createDataFrame([], NEIGHBOURS)
     if strategy == "auto":
-        held = n * (meta.dim * 8 + k * 16 + nprobe * 12)
+        held = n * (vector_bytes(queries, meta.dim) + 8 + k * 16 + nprobe * 12)
         strategy = "broadcast" if held <= session.broadcast_bytes(spark) else "shuffle"
     if strategy == "broadcast":
         found = _stream_lists(index, queries, k, nprobe, n)
@@ -197,8 +190,10 @@ def ivf_candidates(
     asked = probes.select("query_id", "list_id").join(
         queries.select("query_id", "embedding"), "query_id"
     )
+    bucket = _bucket(meta.n_list, meta.n_bucket)
+    buckets = [r[0] for r in probes.select(bucket).distinct().collect()]
     return keyed_knn(
-        _probed_lists(index, probes),
+        _probed_buckets(index, buckets),
         asked,
         k,
         meta.metric,
@@ -225,6 +220,7 @@ def _stream_lists(
     def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors, asking = held.value
         best = blocks.RunningTopK(vectors, k, metric)
+        none = np.empty(0, np.int64)
         for batch in stream:
             ids = batch.column("vec_id").to_numpy()
             rows = blocks.matrix(batch.column("embedding"), vectors.shape[1])
@@ -232,7 +228,7 @@ def _stream_lists(
             by = np.argsort(list_ids, kind="stable")
             found, start = np.unique(list_ids[by], return_index=True)
             for list_id, members in zip(found.tolist(), np.split(by, start[1:])):
-                best.update(ids[members], rows[members], asking[list_id])
+                best.update(ids[members], rows[members], asking.get(list_id, none))
         position, _, found, score = best.results()
         yield from blocks.batches(
             {
@@ -242,6 +238,12 @@ def _stream_lists(
             }
         )
 
-    wanted = spark.createDataFrame(pa.table({"list_id": pa.array(lists, pa.int32())}))
-    rows = _probed_lists(index, wanted).select("list_id", "vec_id", "embedding")
+    if len(lists) == meta.n_list:
+        rows = index.table("lists")
+    else:
+        wanted = spark.createDataFrame(pa.table({"list_id": pa.array(lists, pa.int32())}))
+        wanted = session.small(wanted, len(lists) * 16)
+        buckets = np.unique(lists.astype(np.int64) * meta.n_bucket // meta.n_list)
+        rows = _probed_buckets(index, buckets.tolist()).join(wanted, "list_id", "left_semi")
+    rows = rows.select("list_id", "vec_id", "embedding")
     return rows.mapInArrow(search, "query_id bigint, neighbor_id bigint, score double")

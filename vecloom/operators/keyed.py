@@ -61,7 +61,7 @@ def keyed_knn(
         )
     )
     if n_keys * 32 <= session.broadcast_bytes(spark):
-        plan = F.broadcast(spark.createDataFrame(plan.toArrow()))
+        plan = spark.createDataFrame(plan.toArrow())
     else:
         plan, _ = session.cut(plan, "block-plan")
     rows = plan.agg(
@@ -71,7 +71,7 @@ def keyed_knn(
         return spark.createDataFrame([], CANDIDATES)
     tasks = math.ceil(rows * dim * 4 / session.partition_bytes(spark))
     tasks = max(tasks, spark.sparkContext.defaultParallelism)
-    plan = plan.select("list_id", "base_chunks", "query_chunks")
+    plan = session.small(plan.select("list_id", "base_chunks", "query_chunks"), n_keys * 32)
 
     # Both sides may come from one table, so the query side gets its own column names.
     key = ["list_id", "base_chunk", "query_chunk"]

@@ -55,9 +55,7 @@ def first_drawn(base: DataFrame, count: int, n: int, seed: int) -> DataFrame:
     numbered = picked.select(
         "vec_id", (F.row_number().over(Window.orderBy(*by)) - 1).alias("list_id")
     )
-    if count * 16 <= session.broadcast_bytes(base.sparkSession):
-        numbered = F.broadcast(numbered)
-    return base.select("vec_id", "embedding").join(numbered, "vec_id")
+    return base.select("vec_id", "embedding").join(session.small(numbered, count * 16), "vec_id")
 
 
 def ivf_train(
@@ -86,7 +84,7 @@ def ivf_train(
     train = base
     if sample_per_list is not None:
         positive("sample_per_list", sample_per_list)
-        train = base.where(_share(seed + 1, n_list * sample_per_list, n))
+        train, _ = session.cut(base.where(_share(seed + 1, n_list * sample_per_list, n)), "sample")
     if engine == "ml":
         return _ml(train, n_list, iters, seed)
     dim = base.select(F.size("embedding").alias("dim")).head()["dim"]

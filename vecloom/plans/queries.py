@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from vecloom import session
 from vecloom.functions.vectors import bf16_vector, inner_product, l2_squared
 from vecloom.operators import inspect
-from vecloom.operators.flat import exact_knn
+from vecloom.operators.flat import Sizes, exact_knn
 from vecloom.operators.graph import build_graph, graph_search, knn_graph
 from vecloom.operators.ivf import build_ivf, ivf_assign, ivf_probes, ivf_search
 from vecloom.operators.kmeans import ivf_train, n_list_of
 from vecloom.operators.recall import recall_at_k
 from vecloom.plans.evaluate import SweepPoint, evaluate, recall_by_ef, recall_by_nprobe, sweep
 from vecloom.plans.workflow import build_flat, ground_truth, search
-from vecloom.sources.binary import read_fbin, read_i64bin, write_fbin, write_i64bin
+from vecloom.sources.binary import fbin_shape, read_fbin, read_i64bin, write_fbin, write_i64bin
 from vecloom.sources.dataset import as_queries, load_dataset, prefix
 from vecloom.sources.index_store import VectorIndex, load_index, save_index
 
@@ -206,8 +206,9 @@ def fbin_dataset_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = session.scratch_path(spark, "dataset")
     write_fbin(table, f"{folder}/dataset.bin")
     write_fbin(table, f"{folder}/query.bin")
-    base, queries = load_dataset(spark, folder, learn_limit=table.count() // 2)
-    return _neighbours(exact_knn(base, queries, K, "l2"))
+    n, dim = fbin_shape(f"{folder}/query.bin")
+    base, queries = load_dataset(spark, folder, learn_limit=n // 2)
+    return _neighbours(exact_knn(base, queries, K, "l2", sizes=Sizes(n // 2, n, dim)))
 
 
 def i64bin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest table (in bytes of vectors or result slots) that may be broadcast to the workers.
 BROADCAST_CONF = "spark.vecloom.broadcastBytes"
-BROADCAST_DEFAULT = 128 << 20
+BROADCAST_DEFAULT = 256 << 20
 
 #: Bytes of vectors held by one side of one shuffled block.
 BLOCK_CONF = "spark.vecloom.blockBytes"
@@ -41,6 +42,11 @@ def partition_bytes(spark: SparkSession) -> int:
     return _size(spark, PARTITION_CONF, PARTITION_DEFAULT)
 
 
+def small(df: DataFrame, size: int) -> DataFrame:
+    """`df` with a broadcast hint if its proven size is within the bound, else as it is."""
+    return F.broadcast(df) if size <= broadcast_bytes(df.sparkSession) else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: `spark.checkpoint.dir`, as the cluster names it.
 

@@ -116,7 +116,7 @@ class _Reader(DataSourceReader):
 
 
 class FbinReader(_Reader):
-    def _header(self, path: str) -> tuple[int, int]:
+    def header(self, path: str) -> tuple[int, int]:
         system, _ = _open(self.path)
         with system.open_input_file(path) as source:
             data = source.read(HEADER.size)
@@ -125,7 +125,7 @@ class FbinReader(_Reader):
         return HEADER.unpack(data)
 
     def _check(self, path: str, size: int) -> int:
-        rows, dim = self._header(path)
+        rows, dim = self.header(path)
         if dim == 0 or size != HEADER.size + rows * dim * 4:
             raise ValueError(f"{path}: header says {rows} x {dim}, but the file has {size} bytes")
         return dim
@@ -307,6 +307,15 @@ def read_fbin(spark: SparkSession, path: str, limit: int | None = None) -> DataF
     return (reader if limit is None else reader.option("limit", limit)).load(path)
 
 
+def fbin_shape(path: str, limit: int | None = None) -> tuple[int, int]:
+    """`(rows, dim)` of a file or folder from its first header and the file sizes, with no scan."""
+    reader = FbinReader({"path": path, "limit": limit})
+    parts = reader.partitions()
+    if not parts:
+        return 0, 0
+    return sum(p.stop - p.start for p in parts), reader.header(parts[0].path)[1]
+
+
 def write_fbin(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write `vec_id, embedding` in id order, one or more part files per task."""
     register(df.sparkSession)
