@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pathlib
 import struct
 
 import numpy as np
@@ -97,6 +98,14 @@ def test_parts_of_a_folder_are_read_in_name_order(spark, tmp_path):
     assert [r[0] for r in got] == list(range(7))
 
 
+def test_parts_of_late_attempts_are_not_read(spark):
+    base = table(spark, [[1, 2], [3, 4], [5, 6]])
+    path = session.scratch_path(spark, "fbin")
+    write_fbin(base, path)
+    _file(pathlib.Path(path) / "part-000000-000000-999", [[9, 9]])
+    assert _rows(read_fbin(spark, path)) == _rows(base)
+
+
 def test_ids_round_trip_with_empty_slots(spark):
     base = table(spark, [[1, 0], [0, 1]])
     asked = queries(spark, [[1, 0], [0, 1], [1, 1]])

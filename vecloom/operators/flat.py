@@ -34,8 +34,6 @@ STRATEGIES = ("auto", "broadcast_base", "broadcast_queries", "shuffle")
 
 #: Multiply-adds below which spreading a small table over more tasks costs more than it saves.
 _SPREAD_WORK = 1 << 30
-#: Base bytes one task scans at most before its running lists are emitted.
-_TASK_BYTES = 4 << 30
 
 
 @dataclass(frozen=True)
@@ -62,13 +60,16 @@ def measure(base: DataFrame, queries: DataFrame) -> Sizes:
     return Sizes(counts.get("base", 0), counts.get("queries", 0), first["dim"] if first else 0)
 
 
-def choose(base: DataFrame, queries: DataFrame, sizes: Sizes, k: int) -> str:
+def choose(base: DataFrame, queries: DataFrame, sizes: Sizes, k: int, wanted: str = "auto") -> str:
+    """The strategy to run: the one wanted if its broadcast fits the bound, else the best that does."""
     bound = session.broadcast_bytes(base.sparkSession)
-    if sizes.base * (vector_bytes(base, sizes.dim) + 8) <= bound:
-        return "broadcast_base"
-    if sizes.queries * (vector_bytes(queries, sizes.dim) + 8 + k * 16) <= bound:
-        return "broadcast_queries"
-    return "shuffle"
+    held = {
+        "broadcast_base": sizes.base * (vector_bytes(base, sizes.dim) + 8),
+        "broadcast_queries": sizes.queries * (vector_bytes(queries, sizes.dim) + 8 + k * 16),
+        "shuffle": 0,
+    }
+    fitting = [name for name, size in held.items() if size <= bound]
+    return wanted if wanted in fitting else fitting[0]
 
 
 def collect_vectors(df: DataFrame, id_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +103,8 @@ def exact_knn(
 
     `base` has `vec_id, embedding`; `queries` has `query_id, embedding`. With fewer than k base
     rows the result has fewer ranks. `precision="bf16"` rounds both sides to bfloat16 first.
-    `sizes`, where the caller knows them, saves counting both sides.
+    `strategy` is a preference: a broadcast beyond the bound is not made. `sizes`, where the caller
+    knows them, saves counting both sides.
     """
     positive("k", k)
     one_of("metric", metric, METRICS)
@@ -118,8 +120,7 @@ def exact_knn(
     if precision == "bf16":
         base = base.withColumn("embedding", bf16_vector("embedding"))
         queries = queries.withColumn("embedding", bf16_vector("embedding"))
-    if strategy == "auto":
-        strategy = choose(base, queries, sizes, k)
+    strategy = choose(base, queries, sizes, k, strategy)
     if strategy == "broadcast_base":
         streamed = spread(queries, "query_id", sizes.queries, sizes)
         return _against_base(base, streamed, k, metric, order)
@@ -184,10 +185,7 @@ def _against_queries(base, queries, k, metric, order, sizes) -> DataFrame:
             }
         )
 
-    # Every task emits one list per query, so large scans use fewer, longer tasks.
-    tasks = max(
-        4 * spark.sparkContext.defaultParallelism, sizes.base * sizes.dim * 4 // _TASK_BYTES
-    )
-    streamed = spread(base, "vec_id", sizes.base, sizes).coalesce(int(tasks))
+    streamed = spread(base, "vec_id", sizes.base, sizes)
+    streamed = session.long_tasks(streamed, sizes.base, vector_bytes(base, sizes.dim))
     partial = streamed.mapInArrow(search, "query_id bigint, neighbor_id bigint, score double")
     return _neighbours(top_k(partial, k, metric, order))

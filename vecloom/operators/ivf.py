@@ -156,10 +156,8 @@ def ivf_search(
     n = queries.count()
     if n == 0:
         return spark.createDataFrame([], NEIGHBOURS)
-    if strategy == "auto":
-        held = n * (vector_bytes(queries, meta.dim) + 8 + k * 16 + nprobe * 12)
-        strategy = "broadcast" if held <= session.broadcast_bytes(spark) else "shuffle"
-    if strategy == "broadcast":
+    held = n * (vector_bytes(queries, meta.dim) + 8 + k * 16 + nprobe * 12)
+    if strategy != "shuffle" and held <= session.broadcast_bytes(spark):
         found = _stream_lists(index, queries, k, nprobe, n)
     else:
         found = ivf_candidates(index, queries, k, nprobe, n)

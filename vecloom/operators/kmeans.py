@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vecloom import session
 from vecloom.functions import blocks
 from vecloom.functions.vectors import normalised
-from vecloom.operators.flat import exact_knn
+from vecloom.operators.flat import exact_knn, vector_bytes
 from vecloom.schema import CENTROIDS, one_of, positive
 
 ENGINES = ("lloyd", "ml")
@@ -90,6 +90,7 @@ def ivf_train(
     dim = base.select(F.size("embedding").alias("dim")).head()["dim"]
     seeds = first_drawn(base, n_list, n, seed)
     if n_list * dim * 8 <= session.broadcast_bytes(spark):
+        train = session.long_tasks(train, n, vector_bytes(train, dim))
         return _lloyd(train, seeds, iters, spherical)
     return _lloyd_shuffled(train, seeds, iters, spherical, dim)
 

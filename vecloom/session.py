@@ -23,6 +23,9 @@ BLOCK_DEFAULT = 64 << 20
 PARTITION_CONF = "spark.vecloom.partitionBytes"
 PARTITION_DEFAULT = 128 << 20
 
+#: Bytes of vectors a summarising task reads at most.
+TASK_BYTES = 4 << 30
+
 _shipped: set[str] = set()
 
 
@@ -61,9 +64,13 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark).rstrip('/')}/vecloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the scratch root."""
-    return f"{scratch_root(spark).rstrip('/')}/vecloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path under this application's scratch folder."""
+    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -85,6 +92,20 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results still reading them are lost."""
+    drop(spark, _own_scratch(spark))
+
+
+def long_tasks(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """Fewer, longer scan tasks, for scans where each task emits one summary at its end.
+
+    A few tasks per core remain, and a task reads at most about `TASK_BYTES`.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(4 * cores, rows * row_bytes // TASK_BYTES))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in the Python workers (once per application)."""
     sc = spark.sparkContext

@@ -34,6 +34,8 @@ from vecloom import session
 from vecloom.functions import blocks
 from vecloom.schema import VECTORS, positive
 
+#: Names of a folder's committed part files.
+COMMITTED = "_committed"
 HEADER = struct.Struct("<II")
 _SPLIT_BYTES = 64 << 20
 _CHUNK_BYTES = 4 << 20
@@ -56,8 +58,11 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
-def _files(path: str) -> list[tuple[str, int]]:
-    """(path, bytes) of the file, or of the folder's visible files in name order."""
+def _files(path: str, all_parts: bool = False) -> list[tuple[str, int]]:
+    """(path, bytes) of the file, or of the folder's visible files in name order.
+
+    A folder with a list of committed files counts only those, unless `all_parts` is set.
+    """
     system, local = _open(path)
     info = system.get_file_info(local)
     if info.type == fs.FileType.NotFound:
@@ -66,6 +71,10 @@ def _files(path: str) -> list[tuple[str, int]]:
         return [(local, info.size)]
     listed = system.get_file_info(fs.FileSelector(local))
     parts = [i for i in listed if i.is_file and not i.base_name.startswith(("_", "."))]
+    if not all_parts and any(i.base_name == COMMITTED for i in listed):
+        with system.open_input_file(posixpath.join(local, COMMITTED)) as source:
+            kept = set(source.read().decode().split())
+        parts = [i for i in parts if i.base_name in kept]
     return [(i.path, i.size) for i in sorted(parts, key=lambda i: i.base_name)]
 
 
@@ -188,9 +197,9 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Part files named by task, sequence and attempt; the commit deletes any others.
+    """Part files named by task, sequence and attempt; the commit lists the ones that count.
 
-    A part is written once it holds `_SPLIT_BYTES`, so a task's memory is bounded and no file is
+    So parts of failed or late attempts are never read. A part is written once it holds `_SPLIT_BYTES`, so a task's memory is bounded and no file is
     rewritten after the fact.
     """
 
@@ -236,11 +245,11 @@ class _Writer(DataSourceArrowWriter):
         system, local = _open(self.path)
         system.create_dir(local)
         kept = {name for m in messages if m for name in m.files}
-        for path, _ in _files(self.path):
+        with system.open_output_stream(posixpath.join(local, COMMITTED)) as out:
+            out.write("\n".join(sorted(kept)).encode())
+        for path, _ in _files(self.path, all_parts=True):
             if posixpath.basename(path) not in kept:
                 system.delete_file(path)
-        with system.open_output_stream(posixpath.join(local, "_SUCCESS")):
-            pass
 
     def abort(self, messages: list[Written | None]) -> None:
         system, local = _open(self.path)
