@@ -155,7 +155,7 @@ def test_unfinished_index_does_not_load(spark):
         load_index(spark, session.scratch_path(spark, "nothing"))
     index = build_flat(table(spark, [[1, 2]]), "ip")
     with pytest.raises(ValueError, match="no table"):
-        index.table("edges")
+        index.table("links")
     with pytest.raises(ValueError, match="not ivf"):
         ivf_search(index, queries(spark, [[1, 2]]))
     with pytest.raises(ValueError, match="index_type"):

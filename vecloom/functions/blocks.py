@@ -57,6 +57,7 @@ class RunningTopK:
         self.ids = np.full((len(queries), k), _NO_ID, np.int64)
         self._flip = -1.0 if order == "farthest" else 1.0
         self._square = _squares(queries)
+        self._longest = np.sqrt(self._square.max(initial=0.0))
 
     def update(self, base_ids: np.ndarray, base: np.ndarray, rows: np.ndarray | None = None):
         """Offer base rows to all queries, or only to those at positions `rows`."""
@@ -64,37 +65,43 @@ class RunningTopK:
         for b in range(0, len(base), BASE_TILE):
             block, block_ids = base[b : b + BASE_TILE], base_ids[b : b + BASE_TILE]
             square = _squares(block)
+            peak = np.sqrt(square.max())
+            kind = np.float32 if peak * (self._longest + peak) < 1e30 else np.float64
+            side = self._side(block, square, kind)
             for q in range(0, len(rows), QUERY_TILE):
-                self._offer(rows[q : q + QUERY_TILE], block_ids, block, square)
+                self._offer(rows[q : q + QUERY_TILE], block_ids, block, side, peak)
 
-    def _offer(self, rows, base_ids, base, base_square):
-        peak = np.sqrt(base_square.max())
+    def _side(self, base, square, kind):
+        """Base columns whose product with `[q, 1]` orders rows as their keys do for that query."""
+        side = base.T.astype(kind)
+        if self.l2:
+            side = np.concatenate([2 * side, -square[None].astype(kind)])
+        return -side if self._flip < 0 else side
+
+    def _offer(self, rows, base_ids, base, side, peak):
+        kind, dim = side.dtype.type, base.shape[1]
+        q = self.queries[rows].astype(kind, copy=False)
+        if self.l2:
+            q = np.concatenate([q, np.ones((len(q), 1), kind)], axis=1)
+        approx = q @ side
         norm = np.sqrt(self._square[rows])
-        single = peak * (norm.max() + peak) < 1e30
-        kind = np.float32 if single else np.float64
-        q, x = self.queries[rows].astype(kind), base.astype(kind, copy=False)
-        approx = q @ x.T
-        dim = base.shape[1]
         unit = (dim + 8) * np.finfo(kind).eps
         slack = unit * norm * peak + dim * 1e-37
+        floor = self.best[rows, -1]
         if self.l2:
-            approx *= 2
-            approx -= base_square.astype(kind)
             slack = 2 * slack + unit * peak * peak
             # The floor itself was rounded, in double, at the size of the whole distance.
             slack += (dim + 8) * np.finfo(np.float64).eps * (norm + peak) ** 2
-        if self._flip < 0:
-            np.negative(approx, out=approx)
-
-        floor = self.best[rows, -1]
-        if self.l2:
             floor = floor + self._flip * self._square[rows]
         floor = floor - slack
-        keep = approx >= _below(floor, kind)
-        if np.count_nonzero(keep) > 4 * self.k * len(rows) and len(base) > self.k:
-            kth = self._kth(approx)
-            floor = np.maximum(floor, kth - 2 * slack)
+
+        keep = None if np.isneginf(floor).all() else approx >= _below(floor, kind)
+        crowded = keep is None or np.count_nonzero(keep) > 4 * self.k * len(rows)
+        if crowded and len(base) > self.k:
+            floor = np.maximum(floor, self._kth(approx) - 2 * slack)
             keep = approx >= _below(floor, kind)
+        if keep is None:
+            keep = np.ones(approx.shape, bool)
         r, c = np.divmod(np.flatnonzero(keep), len(base))
         if len(r):
             self._merge(rows, r, base_ids[c], self._exact(rows[r], base, c))

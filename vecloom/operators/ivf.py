@@ -69,7 +69,7 @@ def write_lists(
     offsets = spark.createDataFrame(sizes, "list_id int, n bigint, start bigint")
     write_table(offsets.coalesce(1), path, "sizes", mode)
 
-    per_file = max(1, session.partition_bytes(spark) // (dim * 4))
+    per_file = session.file_rows(spark, n, dim * 4)
     files = math.ceil(n / per_file)
     buckets = min(files, n_list, _MAX_BUCKETS)
     slot = F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))

@@ -18,6 +18,7 @@ from vecloom.schema import CENTROIDS, one_of, positive
 
 ENGINES = ("lloyd", "ml")
 _HEX = 1 << 32
+_MERGE_BYTES = 8 << 20
 _SUMS = "list_id int, n bigint, total array<double>"
 
 
@@ -91,7 +92,7 @@ def ivf_train(
     seeds = first_drawn(base, n_list, n, seed)
     if n_list * dim * 8 <= session.broadcast_bytes(spark):
         train = session.long_tasks(train, n, vector_bytes(train, dim))
-        return _lloyd(train, seeds, iters, spherical)
+        return _lloyd(train, seeds, iters, spherical, n)
     return _lloyd_shuffled(train, seeds, iters, spherical, dim)
 
 
@@ -110,68 +111,79 @@ def _unit(centroids: np.ndarray) -> np.ndarray:
     return np.divide(centroids, norm, out=centroids.copy(), where=norm > 0)
 
 
+class _Sums:
+    """Vectors added up per list."""
+
+    def __init__(self, n_list: int, dim: int):
+        self.counts = np.zeros(n_list, np.int64)
+        self.totals = np.zeros((n_list, dim))
+
+    def add(self, lists: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> None:
+        if len(lists) == 0:
+            return
+        by = np.argsort(lists, kind="stable")
+        found, start = np.unique(lists[by], return_index=True)
+        self.totals[found] += np.add.reduceat(rows[by], start, axis=0, dtype=np.float64)
+        self.counts[found] += np.add.reduceat(counts[by], start)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        used = np.flatnonzero(self.counts)
+        return blocks.batches(
+            {
+                "list_id": pa.array(used, pa.int32()),
+                "n": pa.array(self.counts[used]),
+                "total": blocks.vector_column(self.totals[used]),
+            },
+            rows=1024,
+        )
+
+
 def _partial_sums(held, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: how many vectors are nearest to each centroid, and their sum."""
     centroids = held.value
     lists = np.arange(len(centroids))
-    counts = np.zeros(len(centroids), np.int64)
-    sums = np.zeros(centroids.shape)
+    sums = _Sums(*centroids.shape)
     for batch in stream:
         rows = blocks.matrix(batch.column("embedding"), centroids.shape[1])
         best = blocks.RunningTopK(rows, 1, "l2")
         best.update(lists, centroids)
-        nearest = best.ids[:, 0]
-        by = np.argsort(nearest, kind="stable")
-        found, start, n = np.unique(nearest[by], return_index=True, return_counts=True)
-        sums[found] += np.add.reduceat(rows[by].astype(np.float64), start, axis=0)
-        counts[found] += n
-    used = np.flatnonzero(counts)
-    yield from blocks.batches(
-        {
-            "list_id": pa.array(used, pa.int32()),
-            "n": pa.array(counts[used], pa.int64()),
-            "total": blocks.vector_column(sums[used]),
-        },
-        rows=1024,
-    )
+        sums.add(best.ids[:, 0], rows, np.ones(len(rows), np.int64))
+    yield from sums.batches()
 
 
-def _merge_sums(dim: int, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge_sums(n_list: int, dim: int, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per shuffle partition: the tasks' sums added up, one row per list."""
-    counts: dict[int, int] = {}
-    sums: dict[int, np.ndarray] = {}
+    sums = _Sums(n_list, dim)
     for batch in stream:
         totals = blocks.matrix(batch.column("total"), dim)
-        for i, list_id in enumerate(batch.column("list_id").to_pylist()):
-            sums[list_id] = sums[list_id] + totals[i] if list_id in sums else totals[i]
-            counts[list_id] = counts.get(list_id, 0) + batch.column("n")[i].as_py()
-    if sums:
-        yield from blocks.batches(
-            {
-                "list_id": pa.array(list(sums), pa.int32()),
-                "n": pa.array([counts[i] for i in sums], pa.int64()),
-                "total": blocks.vector_column(np.stack(list(sums.values()))),
-            },
-            rows=1024,
-        )
+        sums.add(batch.column("list_id").to_numpy(), totals, batch.column("n").to_numpy())
+    yield from sums.batches()
+
+
+def _merge_tasks(train: DataFrame, n: int, n_list: int, dim: int) -> int:
+    """Shuffle partitions for the tasks' sums, from the most rows there can be."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    size = min(n, 4 * cores * n_list) * dim * 8
+    return max(1, min(n_list, size // _MERGE_BYTES))
 
 
-def _lloyd(train: DataFrame, seeds: DataFrame, iters: int, spherical: bool) -> DataFrame:
+def _lloyd(train: DataFrame, seeds: DataFrame, iters: int, spherical: bool, n: int) -> DataFrame:
     """Centroids within the broadcast bound: sent to the tasks, updated from their sums."""
     spark = train.sparkSession
     table = seeds.select("list_id", "embedding").toArrow().sort_by("list_id")
     centroids = blocks.matrix(table.column("embedding")).astype(np.float64)
     if spherical:
         centroids = _unit(centroids)
-    dim = centroids.shape[1]
+    n_list, dim = centroids.shape
+    tasks = _merge_tasks(train, n, n_list, dim)
     for _ in range(iters):
         held = spark.sparkContext.broadcast(centroids)
         # At most one row per task and list is shuffled, however hot a list is.
         summed = (
             train.select("embedding")
             .mapInArrow(partial(_partial_sums, held), _SUMS)
-            .repartition("list_id")
-            .mapInArrow(partial(_merge_sums, dim), _SUMS)
+            .repartition(tasks, "list_id")
+            .mapInArrow(partial(_merge_sums, n_list, dim), _SUMS)
             .toArrow()
         )
         held.unpersist()

@@ -23,6 +23,9 @@ BLOCK_DEFAULT = 64 << 20
 PARTITION_CONF = "spark.vecloom.partitionBytes"
 PARTITION_DEFAULT = 128 << 20
 
+#: Bytes below which spreading an output over more files is not worth it.
+FILE_FLOOR_BYTES = 4 << 20
+
 #: Bytes of vectors a summarising task reads at most.
 TASK_BYTES = 4 << 30
 
@@ -92,6 +95,13 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def file_rows(spark: SparkSession, rows: int, row_bytes: int) -> int:
+    """Rows per output file: `partition_bytes` of them, or fewer so that every core gets a file."""
+    per_core = rows // spark.sparkContext.defaultParallelism
+    floor = FILE_FLOOR_BYTES // row_bytes
+    return max(1, min(partition_bytes(spark) // row_bytes, max(per_core, floor)))
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results still reading them are lost."""
     drop(spark, _own_scratch(spark))

@@ -8,7 +8,7 @@ vectors    vec_id, embedding, node_bucket (partition)              flat, graph
 centroids  list_id, centroid                                       ivf
 sizes      list_id, n                                              ivf
 lists      vec_id, embedding, list_id, list_bucket (partition)     ivf
-edges      src, dst, rank, score, node_bucket (partition)          graph
+links      src, neighbors, node_bucket (partition)                 graph
 entries    vec_id, embedding                                       graph
 ========== ======================================================= ==================
 """
@@ -24,17 +24,17 @@ from vecloom.schema import CENTROIDS, META, VECTORS
 TABLES = {
     "flat": ("vectors",),
     "ivf": ("centroids", "sizes", "lists"),
-    "graph": ("vectors", "edges", "entries"),
+    "graph": ("vectors", "links", "entries"),
 }
 COLUMNS = {
     "vectors": f"{VECTORS}, node_bucket int",
     "centroids": CENTROIDS,
     "sizes": "list_id int, n bigint",
     "lists": f"{VECTORS}, list_id int, list_bucket int",
-    "edges": "src bigint, dst bigint, rank int, score double, node_bucket int",
+    "links": "src bigint, neighbors array<bigint>, node_bucket int",
     "entries": VECTORS,
 }
-PARTITIONS = {"vectors": ["node_bucket"], "lists": ["list_bucket"], "edges": ["node_bucket"]}
+PARTITIONS = {"vectors": ["node_bucket"], "lists": ["list_bucket"], "links": ["node_bucket"]}
 
 
 @dataclass(frozen=True)
