@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
-SF_DIR = "/root/testdata/sf0.01"
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 

@@ -52,12 +52,12 @@ def vector_bytes(df: DataFrame, dim: int, vector: str = "embedding") -> int:
 
 def measure(base: DataFrame, queries: DataFrame) -> Sizes:
     """Row counts of both sides in one job, and the dimension of the first vector."""
-    sides = base.select(F.lit("base").alias("side")).unionAll(
-        queries.select(F.lit("queries").alias("side"))
+    sides = base.select(F.lit(1).alias("base"), F.lit(0).alias("queries")).unionAll(
+        queries.select(F.lit(0), F.lit(1))
     )
-    counts = {r["side"]: r["count"] for r in sides.groupBy("side").count().collect()}
+    counts = sides.agg(F.sum("base").alias("base"), F.sum("queries").alias("queries")).head()
     first = base.select(F.size("embedding").alias("dim")).head()
-    return Sizes(counts.get("base", 0), counts.get("queries", 0), first["dim"] if first else 0)
+    return Sizes(counts["base"] or 0, counts["queries"] or 0, first["dim"] if first else 0)
 
 
 def choose(base: DataFrame, queries: DataFrame, sizes: Sizes, k: int, wanted: str = "auto") -> str:

@@ -103,7 +103,9 @@ def build_ivf(
     one_of("coarse_metric", coarse_metric, METRICS)
     spark = base.sparkSession
     path = path or session.scratch_path(spark, "ivf")
-    write_table(centroids or ivf_train(base, **training), path, "centroids", mode)
+    if centroids is None:
+        centroids = ivf_train(base, **training)
+    write_table(centroids, path, "centroids", mode)
     stored = spark.read.parquet(f"{path}/centroids")
     n_list = stored.count()
     dim = stored.select(F.size("centroid").alias("dim")).head()["dim"]
