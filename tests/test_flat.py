@@ -126,3 +126,11 @@ def test_bf16_and_farthest_by_brute_force(spark):
     rounded = ((bits + 0x7FFF + ((bits >> 16) & 1)) & 0xFFFF0000).astype(np.uint32).view(np.float32)
     got = result(exact_knn(table(spark, base), queries(spark, base), 5, "ip", precision="bf16"))
     assert got == brute(rounded, rounded, 5, "ip")
+
+
+def test_wide_results_are_made_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(flat, "_STATE_BYTES", 100)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((30, 4)).astype(np.float32)
+    got = result(exact_knn(table(spark, base), queries(spark, base), 29, "l2"))
+    assert got == brute(base, base, 29, "l2")

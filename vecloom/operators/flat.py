@@ -34,6 +34,8 @@ STRATEGIES = ("auto", "broadcast_base", "broadcast_queries", "shuffle")
 
 #: Multiply-adds below which spreading a small table over more tasks costs more than it saves.
 _SPREAD_WORK = 1 << 30
+#: Bytes of result slots a task holds at a time for streamed queries.
+_STATE_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -148,10 +150,13 @@ def _against_base(base, queries, k, metric, order) -> DataFrame:
 
     def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = held.value
-        for batch in stream:
+        slots = min(k, len(ids))
+        step = max(1, _STATE_BYTES // (slots * 16))
+        sliced = (b.slice(s, step) for b in stream for s in range(0, b.num_rows, step))
+        for batch in sliced:
             query_ids = batch.column("query_id").to_numpy()
             rows = blocks.matrix(batch.column("embedding"), vectors.shape[1])
-            best = blocks.RunningTopK(rows, k, metric, order)
+            best = blocks.RunningTopK(rows, slots, metric, order)
             best.update(ids, vectors)
             position, rank, found, score = best.results()
             yield from blocks.batches(

@@ -62,8 +62,8 @@ def write_lists(
     """
     spark = assigned.sparkSession
     staged, staging = session.cut(assigned, "assigned")
-    sizes = staged.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    sizes = sizes.sort_values("list_id")
+    sizes = staged.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = session.collect_small(sizes, n_list, 24).to_pandas().sort_values("list_id")
     n = int(sizes["n"].sum())
     sizes["start"] = sizes["n"].cumsum() - sizes["n"]
     offsets = spark.createDataFrame(sizes, "list_id int, n bigint, start bigint")

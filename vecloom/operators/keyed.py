@@ -48,6 +48,7 @@ def keyed_knn(
     """
     spark = session.ship(base.sparkSession)
     per_chunk = max(1, session.block_bytes(spark) // (dim * 4))
+    per_query_chunk = max(1, session.block_bytes(spark) // (dim * 4 + k * 16))
     query_counts = queries.groupBy("list_id").agg(F.count(F.lit(1)).alias("m"))
     plan = (
         base_counts.select("list_id", "n")
@@ -57,7 +58,7 @@ def keyed_knn(
             "n",
             "m",
             _chunks("n", per_chunk).alias("base_chunks"),
-            _chunks("m", per_chunk).alias("query_chunks"),
+            _chunks("m", per_query_chunk).alias("query_chunks"),
         )
     )
     if n_keys * 32 <= session.broadcast_bytes(spark):

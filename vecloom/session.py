@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ FILE_FLOOR_BYTES = 4 << 20
 TASK_BYTES = 4 << 30
 
 _shipped: set[str] = set()
+_local_scratch: dict[str, str] = {}
 
 
 def _size(spark: SparkSession, key: str, default: int) -> int:
@@ -59,12 +61,14 @@ def scratch_root(spark: SparkSession) -> str:
     Only a local session may fall back to a temporary folder, since there every task sees it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if sc.applicationId not in _local_scratch:
+        _local_scratch[sc.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return _local_scratch[sc.applicationId]
 
 
 def _own_scratch(spark: SparkSession) -> str:
@@ -102,6 +106,17 @@ def file_rows(spark: SparkSession, rows: int, row_bytes: int) -> int:
     return max(1, min(partition_bytes(spark) // row_bytes, max(per_core, floor)))
 
 
+def collect_small(df: DataFrame, rows: int, row_bytes: int) -> pa.Table:
+    """`df` on the driver, if `rows` rows of that size are within the broadcast bound."""
+    bound = broadcast_bytes(df.sparkSession)
+    if rows * row_bytes > bound:
+        raise ValueError(
+            f"{rows} rows of {row_bytes} bytes pass {BROADCAST_CONF} = {bound}: raise it, "
+            "or use fewer lists"
+        )
+    return df.toArrow()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results still reading them are lost."""
     drop(spark, _own_scratch(spark))
