@@ -134,3 +134,13 @@ def test_wide_results_are_made_in_slices(spark, monkeypatch):
     base = rng.standard_normal((30, 4)).astype(np.float32)
     got = result(exact_knn(table(spark, base), queries(spark, base), 29, "l2"))
     assert got == brute(base, base, 29, "l2")
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+@pytest.mark.parametrize("value", [float("nan"), float("inf")])
+def test_values_must_be_finite(spark, strategy, value):
+    good, bad = [[1, 2]], [[1, 2], [value, 0]]
+    with pytest.raises(Exception, match="finite"):
+        exact_knn(table(spark, bad), queries(spark, good), 1, "l2", strategy=strategy).collect()
+    with pytest.raises(Exception, match="finite"):
+        exact_knn(table(spark, good), queries(spark, bad), 1, "ip", strategy=strategy).collect()

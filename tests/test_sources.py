@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from tests.helpers import SF_DIR, conf, ids_of, queries, result, table
+from tests.helpers import SF_DIR, brute, conf, ids_of, queries, result, table
 from vecloom import session
 from vecloom.operators.flat import exact_knn
 from vecloom.operators.ivf import build_ivf, ivf_search
@@ -116,6 +116,16 @@ def test_ids_round_trip_with_empty_slots(spark):
     assert read_i64bin(spark, path, 5, limit=1).count() == 2
 
 
+def test_index_from_raw_files(spark, tmp_path):
+    vectors = np.random.default_rng(0).standard_normal((80, 6)).astype(np.float32)
+    _file(tmp_path / "dataset.bin", vectors)
+    _file(tmp_path / "query.bin", vectors[:9])
+    base, asked = load_dataset(spark, str(tmp_path), learn_limit=60)
+    index = build_index(base, "ivf", "l2", stage=True, n_list=6, iters=2)
+    assert index.meta.n_base == 60
+    assert result(search(index, asked, 4, nprobe=6)) == brute(vectors[:60], vectors[:9], 4, "l2")
+
+
 def test_load_dataset(spark, tmp_path):
     _file(tmp_path / "dataset.bin", np.arange(12).reshape(6, 2))
     _file(tmp_path / "query.bin", np.arange(8).reshape(4, 2))

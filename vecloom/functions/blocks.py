@@ -146,7 +146,10 @@ class RunningTopK:
 
 
 def _squares(rows: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,ij->i", rows, rows, dtype=np.float64, casting="safe")
+    squares = np.einsum("ij,ij->i", rows, rows, dtype=np.float64, casting="safe")
+    if not np.isfinite(squares).all():
+        raise ValueError("embedding must hold finite values")
+    return squares
 
 
 def _below(floor: np.ndarray, kind: type) -> np.ndarray:

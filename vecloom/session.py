@@ -18,7 +18,7 @@ BROADCAST_DEFAULT = 256 << 20
 
 #: Bytes of vectors held by one side of one shuffled block.
 BLOCK_CONF = "spark.vecloom.blockBytes"
-BLOCK_DEFAULT = 64 << 20
+BLOCK_DEFAULT = 128 << 20
 
 #: Bytes of vectors in one output file / shuffle partition.
 PARTITION_CONF = "spark.vecloom.partitionBytes"
