@@ -160,6 +160,20 @@ def test_saved_index_searches_alike(spark, index_type):
     assert load_index(spark, path).meta == index.meta
 
 
+def test_a_failed_replacement_leaves_no_index(spark):
+    path = session.scratch_path(spark, "replaced")
+    build_flat(table(spark, [[1, 2]]), "ip", path)
+    with pytest.raises(FileExistsError):
+        build_index(table(spark, [[1, 2]]), "ivf", "l2", path=path)
+    bad = table(spark, [[1, 2], [1, 2, 3]])
+    with pytest.raises(Exception, match="dimension"):
+        build_index(bad, "ivf", "l2", path=path, mode="overwrite", n_list=1)
+    with pytest.raises(Exception):
+        load_index(spark, path)
+    build_index(table(spark, [[1, 2]]), "ivf", "l2", path=path, mode="overwrite")
+    assert load_index(spark, path, "ivf").meta.n_base == 1
+
+
 def test_unfinished_index_does_not_load(spark):
     with pytest.raises(Exception):
         load_index(spark, session.scratch_path(spark, "nothing"))

@@ -17,7 +17,7 @@ from vecloom.operators.keyed import keyed_knn
 from vecloom.operators.kmeans import embedding_of_centroid, ivf_train, nearest_list
 from vecloom.operators.topk import top_k
 from vecloom.schema import METRICS, NEIGHBOURS, one_of, positive
-from vecloom.sources.index_store import Meta, VectorIndex, write_meta, write_table
+from vecloom.sources.index_store import Meta, VectorIndex, begin, write_meta, write_table
 
 STRATEGIES = ("auto", "broadcast", "shuffle")
 _MAX_BUCKETS = 4096
@@ -103,6 +103,7 @@ def build_ivf(
     one_of("coarse_metric", coarse_metric, METRICS)
     spark = base.sparkSession
     path = path or session.scratch_path(spark, "ivf")
+    begin(spark, path, mode)
     if centroids is None:
         centroids = ivf_train(base, **training)
     write_table(centroids, path, "centroids", mode)
@@ -212,23 +213,23 @@ def _stream_lists(
     pairs = probes.select("query_id", "list_id").toArrow().sort_by("list_id")
     query_ids, vectors = collect_vectors(queries, "query_id")
     lists, starts = np.unique(pairs.column("list_id").to_numpy(), return_index=True)
-    position = np.searchsorted(query_ids, pairs.column("query_id").to_numpy())
-    asking = dict(zip(lists.tolist(), np.split(position, starts[1:])))
-    held = spark.sparkContext.broadcast((query_ids, vectors, asking))
+    # The queries that probe lists[i] are at asking[bounds[i]:bounds[i + 1]].
+    bounds = np.append(starts, pairs.num_rows)
+    asking = np.searchsorted(query_ids, pairs.column("query_id").to_numpy()).astype(np.int32)
+    held = spark.sparkContext.broadcast((query_ids, vectors, lists, bounds, asking))
     metric = meta.metric
 
     def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors, asking = held.value
+        query_ids, vectors, lists, bounds, asking = held.value
         best = blocks.RunningTopK(vectors, k, metric)
-        none = np.empty(0, np.int64)
         for batch in stream:
             ids = batch.column("vec_id").to_numpy()
             rows = blocks.matrix(batch.column("embedding"), vectors.shape[1])
             list_ids = batch.column("list_id").to_numpy()
             by = np.argsort(list_ids, kind="stable")
             found, start = np.unique(list_ids[by], return_index=True)
-            for list_id, members in zip(found.tolist(), np.split(by, start[1:])):
-                best.update(ids[members], rows[members], asking.get(list_id, none))
+            for i, members in zip(np.searchsorted(lists, found), np.split(by, start[1:])):
+                best.update(ids[members], rows[members], asking[bounds[i] : bounds[i + 1]])
         position, _, found, score = best.results()
         yield from blocks.batches(
             {

@@ -199,8 +199,8 @@ class Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     """Part files named by task, sequence and attempt; the commit lists the ones that count.
 
-    So parts of failed or late attempts are never read. A part is written once it holds `_SPLIT_BYTES`, so a task's memory is bounded and no file is
-    rewritten after the fact.
+    So parts of failed or late attempts are never read. A part is written once it holds
+    `_SPLIT_BYTES`, so a task's memory is bounded and no file is rewritten after the fact.
     """
 
     def __init__(self, options: dict, overwrite: bool):

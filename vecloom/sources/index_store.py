@@ -19,6 +19,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vecloom import session
 from vecloom.schema import CENTROIDS, META, VECTORS
 
 TABLES = {
@@ -63,6 +64,18 @@ class VectorIndex:
         return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.path}/{name}")
 
 
+def begin(spark: SparkSession, path: str, mode: str) -> None:
+    """Before anything is written: refuse an existing index, or unmark it if it is replaced."""
+    jvm = spark.sparkContext._jvm
+    meta = jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    system = meta.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(meta):
+        return
+    if mode != "overwrite":
+        raise FileExistsError(f"an index already exists at {path}")
+    session.drop(spark, f"{path}/meta")
+
+
 def write_table(df: DataFrame, path: str, name: str, mode: str = "error") -> None:
     writer = df.select(*[c.split()[0] for c in COLUMNS[name].split(", ")]).write.mode(mode)
     if name in PARTITIONS:
@@ -81,6 +94,7 @@ def save_index(index: VectorIndex, path: str, mode: str = "error") -> VectorInde
     """Copy an index to `path`, keeping its partitioning and the row order within files."""
     if path.rstrip("/") == index.path.rstrip("/"):
         return index
+    begin(index.spark, path, mode)
     for name in TABLES[index.meta.index_type]:
         write_table(index.table(name), path, name, mode)
     return write_meta(index.spark, path, index.meta, mode)
