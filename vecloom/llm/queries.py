@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from vecloom.llm import line_dedup
+from vecloom.llm import line_dedup, quality_rules
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
 ORACLES = {
+    "op4_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
