@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from vecloom.llm import line_dedup, quality_rules
+from vecloom.llm import line_dedup, preference, quality_rules
 
 QUERIES = {
+    "op2_preference_format": preference.op2_preference_format,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 
 ORACLES = {
+    "op2_preference_format": preference.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
