@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from vecloom.llm import line_dedup, packing, preference, quality_rules, sharding, token_files
+from vecloom.llm import (
+    decontaminate,
+    line_dedup,
+    packing,
+    preference,
+    quality_rules,
+    sharding,
+    token_files,
+)
 
 QUERIES = {
     "op2_preference_format": preference.op2_preference_format,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_token_files": token_files.op10_token_files,
 }
@@ -16,5 +25,6 @@ QUERIES = {
 ORACLES = {
     "op2_preference_format": preference.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
