@@ -5,6 +5,7 @@ from __future__ import annotations
 from vecloom.llm import (
     decontaminate,
     line_dedup,
+    ngram_join,
     packing,
     preference,
     quality_rules,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_token_files": token_files.op10_token_files,
 }
 
