@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vecloom.llm import (
     decontaminate,
+    language_model,
     line_dedup,
     ngram_join,
     packing,
@@ -15,6 +16,7 @@ from vecloom.llm import (
 
 QUERIES = {
     "op2_preference_format": preference.op2_preference_format,
+    "op3_lm_scoring": language_model.op3_lm_scoring,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_sharding": sharding.op5_sharding,
     "op6_packing": packing.op6_packing,
