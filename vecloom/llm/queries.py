@@ -12,9 +12,11 @@ from vecloom.llm import (
     quality_rules,
     sharding,
     token_files,
+    toxicity,
 )
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_preference_format": preference.op2_preference_format,
     "op3_lm_scoring": language_model.op3_lm_scoring,
     "op4_quality_rules": quality_rules.op4_quality_rules,
