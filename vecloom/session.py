@@ -31,6 +31,7 @@ FILE_FLOOR_BYTES = 4 << 20
 TASK_BYTES = 4 << 30
 
 _shipped: set[str] = set()
+_made: dict[str, list[str]] = {}
 _local_scratch: dict[str, str] = {}
 
 
@@ -77,7 +78,35 @@ def _own_scratch(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under this application's scratch folder."""
-    return f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+class Scratch:
+    """Remembers the scratch paths made while it is open, to delete them once nothing reads them.
+
+    Results are lazy, so a caller deletes only after it has stored what was built inside.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._before = set(self._all())
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths += [p for p in self._all() if p not in self._before]
+
+    def _all(self) -> list[str]:
+        return _made.get(self.spark.sparkContext.applicationId, [])
+
+    def delete(self) -> None:
+        for path in self.paths:
+            drop(self.spark, path)
+        self.paths = []
 
 
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -94,6 +123,9 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table made by `cut`."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    if path in made:
+        made.remove(path)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
