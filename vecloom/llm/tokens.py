@@ -3,15 +3,20 @@
 A text is cut before each run of plain white space that follows other characters. No token of the
 supported tokenizers reaches over such a place, so chunks can be encoded on their own, and a chunk met
 before needs no second encoding. Texts with other white space are encoded whole.
+
+For a tokenizer that lower-cases text and drops white space, chunks are lower-cased words, so that a
+word is encoded once for all its spellings and places.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -29,9 +34,33 @@ MEMO_CHARS = 64
 BATCH_CHARS = 1_000_000
 
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
-_OTHER_SPACE = re.compile(
-    r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
-)
+
+#: Characters that this module's cuts and the tokenizers' rules might take for white space differently,
+#: and the mark that keys use.
+_ODD = "\x00\x0b\x0c\x1c\x1d\x1e\x1f"
+_ODD_WIDE = "".join(
+    map(chr, [0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F])
+) + "\u2060\u3000\ufeff"
+
+#: Pairs and characters of white space that are not one space or new line between other characters.
+_LOOSE = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+
+
+#: Marks that are tokens apart from a letter or digit before them, if that is Latin. Normal forms of other
+#: letters, and the lower case of the dotted capital I, can end in an accent, which joins the marks.
+_MARKS = ".,;:!?"
+
+
+def _is_latin(letter: str) -> bool:
+    return letter.isalnum() and letter < "\u0180" and letter != "\u0130"
+
+
+def _has(text: str, characters: str) -> bool:
+    return any(c in text for c in characters)
+
+
+def _is_odd(text: str) -> bool:
+    return _has(text, _ODD) or (not text.isascii() and _has(text, _ODD_WIDE))
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -44,51 +73,109 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.folds = "Lowercase" in json.dumps(rules["normalizer"]) and all(
+            self._ids(f"{space}a{space}B") == self._ids("a b") for space in " \t\n\r"
+        )
         self.memo: dict[str, int] = {}
         self.used = 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
 
-    def _store(self, chunks: list[str]) -> list[str]:
-        """Encode new chunks and number them in the memo; returns those to forget after the batch."""
-        forget = []
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        rows = [x.ids for x in encoded]
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        # Chunks to remember come first, so that those to forget are at the end of the arrays.
-        free = MEMO_CHUNKS - len(self.memo)
-        lasting = [i for i, c in enumerate(chunks) if len(c) <= MEMO_CHARS][: max(0, free)]
-        passing = sorted(set(range(len(chunks))).difference(lasting))
-        order = lasting + passing
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _keys(self, text: str) -> list[str]:
+        """The chunks of a text as keys of the memo.
+
+        Most chunks follow one space, and their key leaves it out; a chunk that begins with a new line
+        is its own key; any other has a mark before it. A tokenizer that folds takes words as keys.
+        """
+        if _is_odd(text):
+            return ["\0" + text]
+        if self.folds:
+            return (text.lower() if text.isascii() else text.encode().lower().decode()).split()
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _LOOSE):
+            return [self._key(chunk) for chunk in _CHUNK.findall(text)]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\0" + keys[0]
+        return keys
+
+    @staticmethod
+    def _key(chunk: str) -> str:
+        if chunk[0] == "\n":
+            return chunk
+        one_space = chunk[0] == " " and chunk[1:2] not in ("", " ", "\n", "\t", "\r")
+        return chunk[1:] if one_space else "\0" + chunk
+
+    def _chunk(self, key: str) -> str:
+        if key[:1] == "\0":
+            return key[1:]
+        return key if self.folds or key[:1] == "\n" else " " + key
+
+    def _add(self, keys: list[str], rows: list[list[int]]) -> None:
+        """Number new keys in the memo, with their ids."""
         known = len(self.memo)
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        ends = self.used + np.cumsum(counts)
+        end = int(ends[-1]) if len(ends) else self.used
         self.start = _room(self.start, known + len(rows))
         self.count = _room(self.count, known + len(rows))
-        self.flat = _room(self.flat, self.used + int(counts.sum()))
-        own = counts[order] if order else counts
-        ends = self.used + np.cumsum(own)
-        self.count[known : known + len(rows)] = own
-        self.start[known : known + len(rows)] = ends - own
-        if order:
-            self.flat[self.used : int(ends[-1])] = [i for k in order for i in rows[k]]
-        for number, k in enumerate(order, known):
-            self.memo[chunks[k]] = number
-        forget = [chunks[k] for k in passing]
-        self.used += int(own[: len(lasting)].sum())
-        return forget
+        self.flat = _room(self.flat, end)
+        self.start[known : known + len(rows)] = ends - counts
+        self.count[known : known + len(rows)] = counts
+        self.flat[self.used : end] = np.fromiter(chain.from_iterable(rows), np.uint32, end - self.used)
+        self.memo.update(zip(keys, range(known, known + len(rows)), strict=True))
+        self.used = end
+
+    def _row(self, key: str) -> list[int]:
+        number = self.memo[key]
+        start = self.start[number]
+        return self.flat[start : start + self.count[number]].tolist()
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encode new keys. Sentence marks that end a word are tokens of their own, so a word with such
+        marks is put together from both."""
+        ended = {}
+        for key in keys:
+            word = key.rstrip(_MARKS)
+            if len(word) < len(key) and word and _is_latin(word[-1]):
+                ended[key] = word, key[len(word) :] if self.folds else "\0" + key[len(word) :]
+        needed = set(keys).difference(ended)
+        for pair in ended.values():
+            needed.update(pair)
+        needed = sorted(needed.difference(self.memo), key=len)
+        chunks = [self._chunk(k) for k in needed]
+        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        self._add(needed, [x.ids for x in encoded])
+        joined = sorted(ended, key=len)
+        self._add(joined, [self._row(a) + self._row(b) for a, b in map(ended.get, joined)])
+
+    def _forget(self, known: int, used: int) -> None:
+        """Drop the keys that were added last, down to `known` of them."""
+        while len(self.memo) > known:
+            self.memo.popitem()
+        self.used = used
 
     def _group(self, texts: list[str]) -> list[np.ndarray]:
         chunks: list[str] = []
         sizes = [0]
         for text in texts:
-            own = [text] if _OTHER_SPACE.search(text) else _CHUNK.findall(text)
+            own = self._keys(text)
             sizes.append(len(own))
             chunks += own
-        new = list(set(chunks).difference(self.memo))
-        forget = self._store(new) if new else []
+        known, used = len(self.memo), self.used
+        new = set(chunks).difference(self.memo)
+        if new:
+            self._learn([k for k in new if len(k) <= MEMO_CHARS])
+            if len(self.memo) <= MEMO_CHUNKS:
+                known, used = len(self.memo), self.used
+            long = [k for k in new if len(k) > MEMO_CHARS]
+            if long:
+                self._learn(long)
         which = np.fromiter(map(self.memo.__getitem__, chunks), np.int64, len(chunks))
-        for chunk in forget:
-            del self.memo[chunk]
+        self._forget(known, used)
         counts = self.count[which]
         ends = np.cumsum(counts)
         places = np.repeat(self.start[which] - (ends - counts), counts)
