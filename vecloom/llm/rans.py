@@ -5,7 +5,7 @@ coded words. All blocks share the table but start from their own states, so any
 without the others. Within a block, token i belongs to state i mod `LANES`; all states of all blocks
 advance together, one numpy operation per step.
 
-Layout, little-endian: MAGIC; u32 symbols, documents, blocks, steps; u64 tokens; u32 crc of the rest;
+Layout, little-endian: MAGIC; u32 symbols, documents, blocks, steps; u64 tokens; u32 crc of all else;
 then u32 symbol[symbols], u32 frequency[symbols]; i64 document id, u8 id is null, u32 length, each
 [documents]; u64 state[blocks][LANES]; u32 words up to the end of each block; u32 crc of each block's
 ids; u32 words.
@@ -20,7 +20,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"rANS\x01\x00\x00\x00"
-HEADER = struct.Struct("<8sIIIIQI")
+HEADER = struct.Struct("<8sIIIIQ")
+CHECK = struct.Struct("<I")
 SCALE = 20
 LANES = 128
 BLOCK_TOKENS = 1 << 16
@@ -101,10 +102,8 @@ def encode(ids: np.ndarray, documents: Documents) -> bytes:
             words[emitted].astype("<u4").tobytes(),
         ]
     )
-    head = HEADER.pack(
-        MAGIC, len(symbols), len(documents.ids), blocks, steps, len(ids), zlib.crc32(body)
-    )
-    return head + body
+    head = HEADER.pack(MAGIC, len(symbols), len(documents.ids), blocks, steps, len(ids))
+    return head + CHECK.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def _blocks(ids: np.ndarray, steps: int) -> list[np.ndarray]:
@@ -116,12 +115,14 @@ class Segment:
     """A segment read back; `tokens(a, b)` decodes only the blocks that hold tokens a to b."""
 
     def __init__(self, data: bytes):
-        if len(data) < HEADER.size:
+        at = HEADER.size + CHECK.size
+        if len(data) < at:
             raise CorruptSegment("shorter than its header")
-        magic, symbols, documents, blocks, steps, self.n_tokens, crc = HEADER.unpack_from(data)
-        if magic != MAGIC or zlib.crc32(memoryview(data)[HEADER.size :]) != crc:
+        magic, symbols, documents, blocks, steps, self.n_tokens = HEADER.unpack_from(data)
+        (crc,) = CHECK.unpack_from(data, HEADER.size)
+        head = zlib.crc32(memoryview(data)[: HEADER.size])
+        if magic != MAGIC or zlib.crc32(memoryview(data)[at:], head) != crc:
             raise CorruptSegment("not a segment, or changed since it was written")
-        at = HEADER.size
 
         def read(kind: str, n: int) -> np.ndarray:
             nonlocal at
