@@ -1,11 +1,7 @@
-"""Column expressions and Arrow helpers for document texts, shared by the operators of this package."""
+"""Column expressions and row helpers for document texts, shared by the operators of this package."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,17 +45,20 @@ def own_columns(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(c.alias(name) for name, c in columns.items()))
 
 
-def arrow_map(
-    df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """`mapInArrow` for a function of one batch."""
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns of `df` as one struct `row`, so that their names can't clash with internal ones."""
+    return df.select(F.struct("*").alias("row"))
 
-    def batches(stream):
-        for batch in stream:
-            yield from function(batch)
 
-    return df.mapInArrow(batches, schema)
+def unboxed(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The named fields of `row` as columns again, some of them replaced."""
+    return df.select(
+        *(replaced.get(c, F.col("row").getField(c)).alias(c) for c in columns)
+    )
 
 
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def row_keys(df: DataFrame) -> DataFrame:
+    """Adds `_row` and `_hash` to boxed documents: hashes of id and text together, and of the text."""
+    text_hash = F.xxhash64(whole(F.col("row.text")))
+    keyed = df.withColumn("_hash", text_hash)
+    return keyed.withColumn("_row", F.xxhash64(F.col("row.doc_id").cast("bigint"), "_hash"))
