@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom import session
-from vecloom.llm.text import own_columns, whole
+from vecloom.llm.text import boxed, own_columns, row_keys, unboxed, whole
 
 WINDOW = 10
 
@@ -33,11 +33,11 @@ GAP = 64
 BLOCK_BYTES = 16 << 20
 
 INDEX = (
-    "part int, shard int, doc_ids array<bigint>, n_words array<int>, "
+    "part int, shard int, doc_ids array<bigint>, text_hashes array<bigint>, n_words array<int>, "
     "terms binary, ends binary, positions binary"
 )
 MATCHES = (
-    "part int, shard int, doc int, doc_id bigint, n_words bigint, "
+    "part int, shard int, doc int, doc_id bigint, text_hash bigint, n_words bigint, "
     "spans array<struct<item_id:bigint,start:int,length:int>>, near_items array<bigint>"
 )
 
@@ -78,19 +78,23 @@ def build_index(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> N
     A null text has no words; equal or null ids stay rows of their own. Extra columns are ignored.
     """
     session.ship(docs.sparkSession)
+    text = whole(F.col("text"))
     documents = own_columns(
-        docs, doc_id=F.col("doc_id").cast("bigint"), text=whole(F.col("text")).cast("binary")
+        docs,
+        doc_id=F.col("doc_id").cast("bigint"),
+        text_hash=F.xxhash64(text),
+        text=text.cast("binary"),
     )
 
     def index(batches):
         part = TaskContext.get().partitionId()
         names = [f.split()[0] for f in INDEX.split(", ")]
         shard = 0
-        for ids, texts in _groups(batches, shard_bytes):
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        kinds += [pa.list_(pa.int32())] + [pa.binary()] * 3
+        for ids, hashes, texts in _groups(batches, shard_bytes):
             sizes, *blobs = _index_shard(texts)
-            row = [part, shard, ids, sizes, *blobs]
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            kinds += [pa.binary()] * 3
+            row = [part, shard, ids, hashes, sizes, *blobs]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names
             )
@@ -99,20 +103,21 @@ def build_index(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> N
     documents.mapInArrow(index, INDEX).write.option("compression", "zstd").parquet(path)
 
 
-def _groups(batches, size: int) -> Iterator[tuple[list[int | None], list[bytes]]]:
-    ids: list[int | None] = []
-    texts: list[bytes] = []
+def _groups(batches, size: int) -> Iterator[tuple[list[int | None], list[int], list[bytes]]]:
+    """Ids, text hashes and texts of documents that have `size` bytes of text together."""
+    group: tuple[list, list, list] = ([], [], [])
     held = 0
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            ids.append(doc_id)
-            texts.append(text)
-            held += len(text)
+        columns = (batch[c].to_pylist() for c in ("doc_id", "text_hash", "text"))
+        for row in zip(*columns, strict=True):
+            for values, value in zip(group, row, strict=True):
+                values.append(value)
+            held += len(row[2])
             if held >= size:
-                yield ids, texts
-                ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+                yield group
+                group, held = ([], [], []), 0
+    if group[0]:
+        yield group
 
 
 @dataclass(frozen=True)
@@ -226,7 +231,7 @@ def search_index(
     slop: int = 20,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row per indexed document: `part, shard, doc, doc_id, n_words, spans, near_items`.
+    """One row per indexed document: `part, shard, doc, doc_id, text_hash, n_words, spans, near_items`.
 
     `spans` are the stretches of words inside exact occurrences of an item's windows; `near_items` the
     items with a window whose words all lie within `slop` words of its rarest one, in any order (0: not
@@ -238,7 +243,7 @@ def search_index(
         raise ValueError(f"slop must be from 0 to {GAP - 1}, got {slop}")
     session.ship(spark)
     index = spark.read.schema(INDEX).parquet(path)
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     span = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
     kinds += [pa.list_(span), pa.list_(pa.int64())]
     names = [f.split()[0] for f in MATCHES.split(", ")]
@@ -256,6 +261,7 @@ def search_index(
                         [row["shard"]] * n,
                         range(n),
                         row["doc_ids"],
+                        row["text_hashes"],
                         row["n_words"],
                         [[dict(zip(span.names, s, strict=True)) for s in x] for x in spans],
                         near,
@@ -275,8 +281,9 @@ def search_index(
         merged = merged.unionByName(other)
     return merged.groupBy(*key).agg(
         F.any_value("doc_id").alias("doc_id"),
+        F.any_value("text_hash").alias("text_hash"),
         F.any_value("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
     )
 
@@ -315,6 +322,24 @@ def covered_words(spans: Column) -> Column:
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of `docs`, all columns, in which no window of a benchmark item occurs."""
+    spark = docs.sparkSession
+    path = session.scratch_path(spark, "positional-index")
+    build_index(docs, path)
+    found = search_index(spark, path, benchmark, window, slop=0)
+    hit = (
+        found.where(F.size("spans") > 0)
+        .select(F.xxhash64("doc_id", "text_hash").alias("_row"), F.col("text_hash").alias("_hash"))
+        .distinct()
+    )
+    hit, _ = session.cut(hit, "contaminated")
+    kept = row_keys(boxed(docs)).join(
+        session.small(hit, 96 * hit.count()), ["_row", "_hash"], "left_anti"
+    )
+    return unboxed(kept, docs.columns)
+
+
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     path = session.scratch_path(spark, "positional-index")

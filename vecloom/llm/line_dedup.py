@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom import session
-from vecloom.llm.text import SPACE, ascii_lower, own_columns, whole
+from vecloom.llm.text import SPACE, ascii_lower, boxed, own_columns, unboxed, whole
 
 POLICIES = ("drop_all", "keep_first")
 
@@ -129,41 +129,56 @@ def keep_bitmaps(
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """`docs` with its text cut to the kept lines, plus `n_lines` and `n_dropped`.
-
-    The bitmaps go back to their documents by id and text hash. A null text stays null.
-    """
-    marks = bitmaps.select(
-        F.col("doc_id").alias("_id"),
-        F.col("text_hash").alias("_hash"),
-        F.col("n_dropped").alias("_dropped"),
-        F.col("kept_bits").alias("_bits"),
-    )
-    text = whole(F.col("text"))
-    joined = docs.join(
-        marks,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")),
+def _kept_text(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """`row` (all columns of a document), `kept` (its text without lost lines), `n_lines`, `n_dropped`."""
+    text = whole(F.col("row.text"))
+    joined = boxed(docs).join(
+        bitmaps,
+        F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash")),
         "left",
     )
-    block = lambda i: F.floor(i / 64)
-    kept = F.filter(
-        F.split(text, "\n", -1),
-        lambda _, i: F.getbit(F.coalesce(F.col("_bits")[block(i)], F.lit(-1)), i % 64) == 1,
-    )
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    bits = lambda i: F.coalesce(F.col("kept_bits")[F.floor(i / 64)], F.lit(-1))
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: F.getbit(bits(i), i % 64) == 1)
+    newlines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
     return joined.select(
-        *others,
-        F.when(F.col("_bits").isNull(), F.col("text"))
+        "row",
+        F.when(F.col("kept_bits").isNull(), F.col("row.text"))
         .otherwise(F.array_join(kept, "\n"))
-        .alias("text"),
-        (F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
-        .cast("bigint")
-        .alias("n_lines"),
-        F.coalesce(F.col("_dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+        .alias("kept"),
+        (newlines + 1).cast("bigint").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("bigint").alias("n_dropped"),
     )
 
 
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """`docs` with its text cut to the kept lines, plus `n_lines` and `n_dropped`.
+
+    The bitmaps go back to their documents by id and text hash. A null text stays null. Columns of
+    `docs` that are named like the two new ones are replaced.
+    """
+    new = ("n_lines", "n_dropped")
+    cut = _kept_text(docs, bitmaps)
+    columns = [c for c in docs.columns if c not in new]
+    fields = [F.col("kept") if c == "text" else F.col("row").getField(c) for c in columns]
+    return cut.select(*(f.alias(c) for f, c in zip(fields, columns, strict=True)), *new)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, policy: str = "keep_first") -> DataFrame:
+    """`docs` with its columns and frequent lines cut; `n_chars`, if there, counts the new text.
+
+    A document that had words and keeps none is left out: all it said is in the lines kept elsewhere.
+    """
+    cut = _kept_text(docs, keep_bitmaps(docs, min_docs, policy=policy))
+    word = r"[^\x20\x09-\x0D]"
+    nothing_left = (F.col("n_dropped") > 0) & ~F.col("kept").rlike(word)
+    kept = cut.where(~F.coalesce(nothing_left, F.lit(False)))
+    replaced = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        chars = F.when(F.col("n_dropped") > 0, F.char_length("kept")).otherwise(F.col("row.n_chars"))
+        replaced["n_chars"] = chars.cast(docs.schema["n_chars"].dataType)
+    return unboxed(kept, docs.columns, **replaced)
+
+
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cut = apply_bitmaps(docs, keep_bitmaps(docs))

@@ -451,6 +451,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below `threshold`."""
+    spark = session.ship(docs.sparkSession)
+    held = spark.sparkContext.broadcast(model)
+
+    def clean(batches):
+        scorer = Scorer(held.value)
+        for batch in batches:
+            texts = ["" if x is None else str(x) for x in batch["text"].to_pylist()]
+            low = scorer.scores(scorer.features(texts)) < threshold
+            yield batch.filter(pa.array(low))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
