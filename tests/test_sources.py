@@ -192,3 +192,22 @@ def test_scratch_tables_lie_in_the_checkpoint_folder(spark):
     assert path.startswith(folder) and df.count() == 5
     session.drop(spark, path)
     assert build_ivf(table(spark, [[1, 2]]), "ip").path.startswith(folder)
+
+
+@pytest.mark.parametrize("order", [(3, 4, 4, 2), (4, 2, 3, 4)])
+def test_folder_of_mixed_dimensions_raises(spark, tmp_path, order):
+    for i in (0, 1):
+        rows, dim = order[2 * i : 2 * i + 2]
+        data = np.zeros((rows, dim), "<f4")
+        (tmp_path / f"part-{i}").write_bytes(struct.pack("<II", rows, dim) + data.tobytes())
+    with pytest.raises(Exception, match="values a row|header says|whole number"):
+        read_fbin(spark, str(tmp_path)).collect()
+
+
+def test_paths_follow_spark():
+    assert binary.arrow_uri("s3a://bucket/x") == "s3://bucket/x"
+    assert binary.arrow_uri("hdfs://host:1/x") == "hdfs://host:1/x"
+    assert binary.arrow_uri("file:/a/b") == binary.arrow_uri("file:///a/b") == "file:///a/b"
+    assert binary.arrow_uri("/a/b") == "/a/b"
+    assert binary.arrow_uri("/a/b", "hdfs://host:1") == "hdfs://host:1/a/b"
+    assert binary.arrow_uri("/a/b", "s3a://bucket/") == "s3://bucket/a/b"

@@ -9,6 +9,7 @@ order, so they do not depend on how the read is split.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import struct
 from collections.abc import Iterator
@@ -38,23 +39,50 @@ from vecloom.schema import VECTORS, positive
 COMMITTED = "_committed"
 HEADER = struct.Struct("<II")
 _SPLIT_BYTES = 64 << 20
+#: Read partitions at most; splits grow beyond `_SPLIT_BYTES` to keep to it.
+MAX_SPLITS = 20_000
+#: Schemes that Hadoop and Arrow name differently.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 _CHUNK_BYTES = 4 << 20
 
 
 @dataclass
 class Rows(InputPartition):
-    """Rows `start` to `stop` of one file; `first_id` is the id of row `start`."""
+    """Rows `start` to `stop` of one file; `first_id` is the id of row `start`, `dim` the planned width."""
 
     path: str
     size: int
     start: int
     stop: int
     first_id: int
+    dim: int = 0
+
+
+def arrow_uri(path: str, default_fs: str = "file:///") -> str:
+    """The path for Arrow, by Spark's rules: without a scheme it is on the default file system."""
+    scheme, colon, rest = path.partition(":")
+    if colon and "/" not in scheme:
+        scheme = _SCHEMES.get(scheme, scheme)
+        if scheme == "file":
+            return "file:///" + rest.lstrip("/")
+        return f"{scheme}:{rest}"
+    if default_fs.startswith("file:"):
+        return os.path.abspath(path)
+    scheme, _, rest = default_fs.partition(":")
+    root = f"{_SCHEMES.get(scheme, scheme)}:{rest.rstrip('/')}"
+    return f"{root}/{path.lstrip('/')}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as an Arrow URI, with the default file system of the session."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    default = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf)
+    return arrow_uri(path, default.toString())
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(arrow_uri(path))
     return fs.LocalFileSystem(), path
 
 
@@ -85,15 +113,22 @@ def _rows_in(path: str, size: int, head: int, width: int) -> int:
     return rows
 
 
-def _split(files: list[tuple[str, int]], head: int, width: int, limit: int | None) -> list[Rows]:
+def split_bytes(total: int) -> int:
+    """Bytes of one read partition of `total` bytes."""
+    return max(_SPLIT_BYTES, -(-total // MAX_SPLITS))
+
+
+def _split(
+    files: list[tuple[str, int]], head: int, width: int, limit: int | None, dim: int = 0
+) -> list[Rows]:
     """Row ranges of about equal bytes; ranges beyond `limit` rows are not read at all."""
-    step = max(1, _SPLIT_BYTES // width)
+    step = max(1, split_bytes(sum(size for _, size in files)) // width)
     parts, seen = [], 0
     for path, size in files:
         rows = _rows_in(path, size, head, width)
         wanted = rows if limit is None else min(rows, limit - seen)
         for start in range(0, wanted, step):
-            parts.append(Rows(path, size, start, min(start + step, wanted), seen + start))
+            parts.append(Rows(path, size, start, min(start + step, wanted), seen + start, dim))
         seen += rows
         if limit is not None and seen >= limit:
             break
@@ -154,12 +189,14 @@ class FbinReader(_Reader):
             return []
         # Sizes come from the listing, so one header is enough to plan; tasks check their own.
         dim = self._check(*files[0])
-        return _split(files, HEADER.size, dim * 4, self.limit)
+        return _split(files, HEADER.size, dim * 4, self.limit, dim)
 
     def read(self, part: Rows | None) -> Iterator[pa.RecordBatch]:
         if part is None:
             return
         dim = self._check(part.path, part.size)
+        if dim != part.dim:
+            raise ValueError(f"{part.path} has {dim} values a row, the first file {part.dim}")
         for first, values in self.read_rows(part, HEADER.size, dim * 4, "<f4"):
             rows = values.reshape(-1, dim)
             ids = pa.array(np.arange(first, first + len(rows)))
@@ -313,11 +350,13 @@ def register(spark: SparkSession) -> SparkSession:
 def read_fbin(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """`vec_id, embedding` of the first `limit` rows in file order (all by default)."""
     reader = register(spark).read.format("fbin")
-    return (reader if limit is None else reader.option("limit", limit)).load(path)
+    return (reader if limit is None else reader.option("limit", limit)).load(qualified(spark, path))
 
 
 def fbin_shape(path: str, limit: int | None = None) -> tuple[int, int]:
     """`(rows, dim)` of a file or folder from its first header and the file sizes, with no scan."""
+    spark = SparkSession.getActiveSession()
+    path = arrow_uri(path) if spark is None else qualified(spark, path)
     reader = FbinReader({"path": path, "limit": limit})
     parts = reader.partitions()
     if not parts:
@@ -329,13 +368,15 @@ def write_fbin(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write `vec_id, embedding` in id order, one or more part files per task."""
     register(df.sparkSession)
     placed = df.repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    placed.select("vec_id", "embedding").write.format("fbin").mode(_mode(mode)).save(path)
+    placed.select("vec_id", "embedding").write.format("fbin").mode(_mode(mode)).save(
+        qualified(df.sparkSession, path)
+    )
 
 
 def read_i64bin(spark: SparkSession, path: str, k: int, limit: int | None = None) -> DataFrame:
     """`query_id, rank, neighbor_id` of an id file with k slots per query; empty slots are left out."""
     reader = register(spark).read.format("i64bin").option("k", positive("k", k))
-    rows = (reader if limit is None else reader.option("limit", limit)).load(path)
+    rows = (reader if limit is None else reader.option("limit", limit)).load(qualified(spark, path))
     return rows.where("neighbor_id >= 0")
 
 
@@ -350,7 +391,7 @@ def write_i64bin(
         neighbours.select("query_id", "rank", "neighbor_id"), ["query_id", "rank"], "left"
     ).withColumn("neighbor_id", F.coalesce("neighbor_id", F.lit(-1)))
     placed = filled.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank")
-    placed.write.format("i64bin").mode(_mode(mode)).save(path)
+    placed.write.format("i64bin").mode(_mode(mode)).save(qualified(neighbours.sparkSession, path))
 
 
 def _mode(mode: str) -> str:

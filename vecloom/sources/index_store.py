@@ -90,13 +90,32 @@ def write_meta(spark: SparkSession, path: str, meta: Meta, mode: str = "error")
     return VectorIndex(spark, path, meta)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at `path`."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+#: Row order within the files of a table; tables not named here have none.
+ROW_ORDER = {
+    "lists": ("list_bucket", "list_id", "vec_id"),
+    "vectors": ("node_bucket", "vec_id"),
+    "links": ("node_bucket", "src"),
+}
+
+
 def save_index(index: VectorIndex, path: str, mode: str = "error") -> VectorIndex:
     """Copy an index to `path`, keeping its partitioning and the row order within files."""
     if path.rstrip("/") == index.path.rstrip("/"):
         return index
     begin(index.spark, path, mode)
     for name in TABLES[index.meta.index_type]:
-        write_table(index.table(name), path, name, mode)
+        rows = index.table(name)
+        if name in ROW_ORDER:
+            files = max(1, len(rows.inputFiles()))
+            rows = rows.repartitionByRange(files, *ROW_ORDER[name])
+            rows = rows.sortWithinPartitions(*ROW_ORDER[name])
+        write_table(rows, path, name, mode)
     return write_meta(index.spark, path, index.meta, mode)
 
 
