@@ -5,7 +5,7 @@ import pytest
 
 from tests.helpers import SF_DIR, brute, conf, queries, result, table
 from vecloom.operators import flat
-from vecloom.operators.flat import Sizes, choose, exact_knn
+from vecloom.operators.flat import Sizes, choose, exact_knn, measure
 from vecloom.plans.queries import scaled
 from vecloom.sources.dataset import as_queries
 
@@ -60,7 +60,7 @@ def test_dimension_mismatch_fails(spark, strategy):
     with pytest.raises(Exception, match="dimension mismatch"):
         exact_knn(base, queries(spark, [[1, 2]]), 1, "l2", strategy=strategy).collect()
     with pytest.raises(Exception, match="dimension mismatch"):
-        exact_knn(table(spark, [[1, 2]]), queries(spark, [[1, 2, 3]]), 1, strategy=strategy).collect()
+        exact_knn(table(spark, [[1, 2]]), queries(spark, [[1, 2, 3]]), 1, "l2", strategy=strategy).collect()
 
 
 def test_bad_arguments(spark):
@@ -74,7 +74,7 @@ def test_bad_arguments(spark):
         {"strategy": "x"},
     ]:
         with pytest.raises(ValueError):
-            exact_knn(t, q, **bad)
+            exact_knn(t, q, **({"k": 1, "metric": "l2"} | bad))
 
 
 def test_strategies_and_partitionings_agree(spark):
@@ -103,7 +103,7 @@ def test_choice_follows_the_bound(spark):
     with conf(spark, broadcastBytes=1000):
         assert choose(df, asked, Sizes(50, 10**9, 3), 10) == "broadcast_base"
         assert choose(df, asked, Sizes(10**9, 5, 3), 10) == "broadcast_queries"
-        assert choose(df, asked, Sizes(10**9, 5, 3), 100) == "shuffle"
+        assert choose(df, asked, Sizes(10**9, 5, 3), 100) == "tiled"
         assert choose(df, asked, Sizes(10**9, 10**9, 3), 10) == "shuffle"
 
 
@@ -144,3 +144,12 @@ def test_values_must_be_finite(spark, strategy, value):
         exact_knn(table(spark, bad), queries(spark, good), 1, "l2", strategy=strategy).collect()
     with pytest.raises(Exception, match="finite"):
         exact_knn(table(spark, good), queries(spark, bad), 1, "ip", strategy=strategy).collect()
+
+
+def test_tiles_leave_the_base_in_place(spark):
+    base, asked = scaled(spark, SF_DIR), as_queries(scaled(spark, SF_DIR)).where("query_id % 3 = 0")
+    want = result(exact_knn(base, asked, 10, "ip"))
+    with conf(spark, broadcastBytes=20_000):
+        sizes = measure(base, asked)
+        assert choose(base, asked, sizes, 10) == "tiled"
+        assert result(exact_knn(base, asked, 10, "ip")) == want

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import SF_DIR, brute, conf, queries, result, table
 from vecloom.operators.flat import exact_knn
+from vecloom.operators import ivf
 from vecloom.operators.ivf import build_ivf, ivf_assign, ivf_probes, ivf_search
 from vecloom.operators.kmeans import default_n_list, first_drawn, ivf_train, n_list_of
 from vecloom.plans.evaluate import evaluate, recall_by_nprobe
@@ -64,15 +65,6 @@ def test_shuffled_training_equals_broadcast_training(spark, base):
     np.testing.assert_allclose(np.linalg.norm(got, axis=1), 1)
 
 
-def test_ml_engine_and_sample(base):
-    ml = _centroids(ivf_train(base, n_list=8, iters=5, engine="ml"))
-    assert ml.shape == (8, 64)
-    sampled = _centroids(ivf_train(base, n_list=8, iters=5, sample_per_list=20))
-    assert sampled.shape == (8, 64) and np.isfinite(sampled).all()
-    with pytest.raises(ValueError):
-        ivf_train(base, engine="other")
-
-
 def test_more_lists_than_vectors_and_empty_lists(spark):
     vectors = [[0, 0], [0, 0], [9, 9]]
     centroids = ivf_train(table(spark, vectors), n_list=50, iters=2)
@@ -173,3 +165,30 @@ def test_arguments(spark, base, index):
     with pytest.raises(ValueError):
         build_ivf(base, "euclid")
     assert ivf_search(index, asked.where("query_id < 0"), 5).count() == 0
+
+
+def test_list_ranges_cover_and_join_the_nearest(monkeypatch):
+    lists = np.array([1, 2, 3, 10, 11, 40, 41, 90])
+    assert ivf.list_ranges(lists, lists) == [(1, 3), (10, 11), (40, 41), (90, 90)]
+    monkeypatch.setattr(ivf, "_MAX_RANGES", 2)
+    assert ivf.list_ranges(lists, lists) == [(1, 41), (90, 90)]
+    assert ivf.list_ranges(lists[:0], lists[:0]) == []
+
+
+def test_scan_filter_has_the_probed_lists(spark, base):
+    index = build_ivf(base, "l2", n_list=50, iters=1)
+    asked = as_queries(base).where("query_id = 7")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = ivf_search(index, asked, 5, nprobe=2)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan, re.S).group(1)
+    assert "GreaterThanOrEqual(list_id" in pushed and "LessThanOrEqual(list_id" in pushed
+
+
+def test_offsets_follow_list_order(spark):
+    rows = [(i, 1 + i % 3) for i in range(0, 20_000, 7)]
+    got = ivf._offsets(spark.createDataFrame(rows, "list_id int, n bigint")).collect()
+    at = 0
+    for row in sorted(got):
+        assert row["start"] == at
+        at += row["n"]

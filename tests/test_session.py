@@ -6,6 +6,9 @@ import pytest
 
 from tests.helpers import conf
 from vecloom import session
+from vecloom.operators.keyed import block_tasks
+from vecloom.sources.binary import split_bytes
+from vecloom.sources.index_store import exists
 
 
 def _stub(master, folder=None):
@@ -25,13 +28,6 @@ def test_scratch_is_the_folder_the_cluster_names():
     assert local == session.scratch_root(_stub("local[2]"))
 
 
-def test_nothing_large_reaches_the_driver(spark):
-    df = spark.range(10)
-    assert session.collect_small(df, 10, 8).num_rows == 10
-    with conf(spark, broadcastBytes=79), pytest.raises(ValueError, match="broadcastBytes"):
-        session.collect_small(df, 10, 8)
-
-
 def test_small_tables_get_a_hint_only_within_the_bound(spark):
     left, right = spark.range(10), spark.range(10)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -59,3 +55,17 @@ def test_long_tasks_only_merge_partitions(spark):
     assert session.long_tasks(spark.range(0, 10, 1, 2), 10, 8).rdd.getNumPartitions() == 2
     huge = session.long_tasks(many, 10 * cores * session.TASK_BYTES // 8, 8)
     assert huge.rdd.getNumPartitions() == 10 * cores
+
+
+def test_scratch_scope_deletes_only_its_own(spark):
+    kept, _ = session.cut(spark.range(3).toDF("a"), "kept")
+    with session.Scratch(spark) as scratch:
+        _, gone = session.cut(spark.range(3).toDF("a"), "gone")
+    scratch.delete()
+    assert kept.count() == 3 and not exists(spark, gone)
+
+
+def test_partition_counts_stay_bounded_at_100_tb(spark):
+    assert block_tasks(spark, 100 << 40) == 50_000
+    assert 100 * (1 << 40) // split_bytes(100 << 40) <= 20_000
+    assert block_tasks(spark, 1) == spark.sparkContext.defaultParallelism

@@ -30,7 +30,7 @@ from vecloom.operators.keyed import keyed_knn
 from vecloom.operators.topk import top_k
 from vecloom.schema import METRICS, NEIGHBOURS, ORDERS, PRECISIONS, one_of, positive
 
-STRATEGIES = ("auto", "broadcast_base", "broadcast_queries", "shuffle")
+STRATEGIES = ("auto", "broadcast_base", "broadcast_queries", "tiled", "shuffle")
 
 #: Multiply-adds below which spreading a small table over more tasks costs more than it saves.
 _SPREAD_WORK = 1 << 30
@@ -68,9 +68,10 @@ def choose(base: DataFrame, queries: DataFrame, sizes: Sizes, k: int, wanted: st
     held = {
         "broadcast_base": sizes.base * (vector_bytes(base, sizes.dim) + 8),
         "broadcast_queries": sizes.queries * (vector_bytes(queries, sizes.dim) + 8 + k * 16),
-        "shuffle": 0,
     }
-    fitting = [name for name, size in held.items() if size <= bound]
+    # Beyond the bound, the larger side stays where it is if the queries are the smaller one.
+    beyond = ["tiled", "shuffle"] if sizes.queries < sizes.base else ["shuffle", "tiled"]
+    fitting = [name for name, size in held.items() if size <= bound] + beyond
     return wanted if wanted in fitting else fitting[0]
 
 
@@ -94,8 +95,8 @@ def spread(df: DataFrame, id_col: str, rows: int, sizes: Sizes) -> DataFrame:
 def exact_knn(
     base: DataFrame,
     queries: DataFrame,
-    k: int = 10,
-    metric: str = "ip",
+    k: int,
+    metric: str,
     order: str = "nearest",
     precision: str = "f32",
     strategy: str = "auto",
@@ -127,7 +128,9 @@ def exact_knn(
         streamed = spread(queries, "query_id", sizes.queries, sizes)
         return _against_base(base, streamed, k, metric, order)
     if strategy == "broadcast_queries":
-        return _against_queries(base, queries, k, metric, order, sizes)
+        return _against_queries(base, queries, k, metric, order, sizes)[0]
+    if strategy == "tiled":
+        return _in_tiles(base, queries, k, metric, order, sizes)
     found = keyed_knn(
         base.withColumn("list_id", F.lit(0)),
         queries.withColumn("list_id", F.lit(0)),
@@ -171,7 +174,43 @@ def _against_base(base, queries, k, metric, order) -> DataFrame:
     return queries.mapInArrow(search, NEIGHBOURS)
 
 
-def _against_queries(base, queries, k, metric, order, sizes) -> DataFrame:
+def _tiles(queries: DataFrame, sizes: Sizes, k: int) -> int:
+    """Hash tiles of the queries such that each, with its results, is within the broadcast bound."""
+    bound = session.broadcast_bytes(queries.sparkSession)
+    per_tile = max(1, bound // (vector_bytes(queries, sizes.dim) + 8 + k * 16))
+    tiles = max(1, -(-sizes.queries // per_tile))
+    while tiles < 2 * sizes.queries:
+        counts = queries.groupBy(_tile(tiles).alias("tile")).count()
+        if counts.agg(F.max("count")).head()[0] <= per_tile:
+            break
+        tiles *= 2
+    return tiles
+
+
+def _tile(tiles: int):
+    return F.pmod(F.xxhash64("query_id"), F.lit(tiles))
+
+
+def _in_tiles(base, queries, k, metric, order, sizes) -> DataFrame:
+    """Neither side within the bound: the base is read in place once for each tile of the queries.
+
+    A tile's broadcast is released before the next one is made, and no vector is shuffled.
+    """
+    spark = base.sparkSession
+    tiles = _tiles(queries, sizes, k)
+    path = session.scratch_path(spark, "tiles")
+    for tile in range(tiles):
+        part = queries.where(_tile(tiles) == tile)
+        if part.isEmpty():
+            continue
+        found, held = _against_queries(base, part, k, metric, order, sizes)
+        found.write.mode("append").parquet(path)
+        held.unpersist()
+    return spark.read.schema(NEIGHBOURS).parquet(path)
+
+
+def _against_queries(base, queries, k, metric, order, sizes):
+    """The neighbours, and the broadcast queries."""
     spark = base.sparkSession
     held = spark.sparkContext.broadcast(collect_vectors(queries, "query_id"))
 
@@ -193,4 +232,4 @@ def _against_queries(base, queries, k, metric, order, sizes) -> DataFrame:
     streamed = spread(base, "vec_id", sizes.base, sizes)
     streamed = session.long_tasks(streamed, sizes.base, vector_bytes(base, sizes.dim))
     partial = streamed.mapInArrow(search, "query_id bigint, neighbor_id bigint, score double")
-    return _neighbours(top_k(partial, k, metric, order))
+    return _neighbours(top_k(partial, k, metric, order)), held

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom import session
@@ -21,6 +21,8 @@ from vecloom.sources.index_store import Meta, VectorIndex, begin, write_meta, wr
 
 STRATEGIES = ("auto", "broadcast", "shuffle")
 _MAX_BUCKETS = 4096
+#: Ranges of lists in one scan filter.
+_MAX_RANGES = 64
 
 
 def ivf_assign(base: DataFrame, centroids: DataFrame, coarse_metric: str = "l2") -> DataFrame:
@@ -63,10 +65,8 @@ def write_lists(
     spark = assigned.sparkSession
     staged, staging = session.cut(assigned, "assigned")
     sizes = staged.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = session.collect_small(sizes, n_list, 24).to_pandas().sort_values("list_id")
-    n = int(sizes["n"].sum())
-    sizes["start"] = sizes["n"].cumsum() - sizes["n"]
-    offsets = spark.createDataFrame(sizes, "list_id int, n bigint, start bigint")
+    offsets, placing = session.cut(_offsets(sizes), "offsets")
+    n = offsets.agg(F.sum("n")).head()[0]
     write_table(offsets.coalesce(1), path, "sizes", mode)
 
     per_file = session.file_rows(spark, n, dim * 4)
@@ -81,9 +81,25 @@ def write_lists(
     )
     write_table(placed, path, "lists", mode)
     session.drop(spark, staging)
+    session.drop(spark, placing)
     return n, buckets
 
 
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """`list_id, n, start`: where each list begins if all are laid out in order.
+
+    Sums run within runs of 4,096 lists and over the runs, so no task sorts all lists.
+    """
+    sizes = sizes.withColumn("run", F.floor(F.col("list_id") / 4096))
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sizes.groupBy("run").agg(F.sum("n").alias("rows"))
+    runs = runs.select("run", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("run").orderBy("list_id").rowsBetween(Window.unboundedPreceding, -1)
+    local = sizes.withColumn("local", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    start = (F.col("first") + F.col("local")).alias("start")
+    return local.join(runs, "run").select("list_id", "n", start)
+
+
 def build_ivf(
     base: DataFrame,
     metric: str,
@@ -133,9 +149,30 @@ def ivf_probes(
     )
 
 
-def _probed_buckets(index: VectorIndex, buckets: list[int]) -> DataFrame:
-    """List rows of some bucket directories; the others are not scanned."""
-    return index.table("lists").where(F.col("list_bucket").isin(buckets))
+def list_ranges(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """At most `_MAX_RANGES` ranges that cover the given ones (sorted), joined at the smallest gaps."""
+    if len(first) == 0:
+        return []
+    gaps = first[1:] - last[:-1]
+    cuts = np.sort(np.argsort(-gaps, kind="stable")[: _MAX_RANGES - 1])
+    cuts = cuts[gaps[cuts] > 1]
+    starts = np.concatenate([[first[0]], first[cuts + 1]])
+    ends = np.concatenate([last[cuts], [last[-1]]])
+    return [(int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
+
+
+def _probed_rows(
+    index: VectorIndex, buckets: list[int], ranges: list[tuple[int, int]]
+) -> DataFrame:
+    """List rows of some bucket directories and ranges of lists.
+
+    Other directories are not scanned. Files are in list order, so row groups outside the ranges are
+    skipped too. Rows of other lists within the ranges are still there.
+    """
+    wanted = F.lit(False)
+    for a, b in ranges:
+        wanted |= F.col("list_id").between(a, b)
+    return index.table("lists").where(F.col("list_bucket").isin(buckets) & wanted)
 
 
 def ivf_search(
@@ -192,9 +229,13 @@ def ivf_candidates(
         queries.select("query_id", "embedding"), "query_id"
     )
     bucket = _bucket(meta.n_list, meta.n_bucket)
-    buckets = [r[0] for r in probes.select(bucket).distinct().collect()]
+    seen = probes.groupBy(bucket.alias("bucket")).agg(
+        F.min("list_id").alias("first"), F.max("list_id").alias("last")
+    )
+    seen = sorted(seen.collect())  # one row per directory, at most _MAX_BUCKETS
+    ends = [np.array([r[c] for r in seen], np.int64) for c in ("first", "last")]
     return keyed_knn(
-        _probed_buckets(index, buckets),
+        _probed_rows(index, [r["bucket"] for r in seen], list_ranges(*ends)),
         asked,
         k,
         meta.metric,
@@ -245,6 +286,8 @@ def _stream_lists(
         wanted = spark.createDataFrame(pa.table({"list_id": pa.array(lists, pa.int32())}))
         wanted = session.small(wanted, len(lists) * 16)
         buckets = np.unique(lists.astype(np.int64) * meta.n_bucket // meta.n_list)
-        rows = _probed_buckets(index, buckets.tolist()).join(wanted, "list_id", "left_semi")
+        wide = lists.astype(np.int64)
+        rows = _probed_rows(index, buckets.tolist(), list_ranges(wide, wide))
+        rows = rows.join(wanted, "list_id", "left_semi")
     rows = rows.select("list_id", "vec_id", "embedding")
     return rows.mapInArrow(search, "query_id bigint, neighbor_id bigint, score double")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecloom import session
@@ -18,6 +18,21 @@ from vecloom.functions import blocks
 from vecloom.schema import CANDIDATES
 
 
+#: Shuffle partitions at most: the driver tracks each pair of map and reduce tasks.
+MAX_TASKS = 50_000
+
+
+def block_tasks(spark: SparkSession, size: int) -> int:
+    """Shuffle partitions for `size` bytes of vectors: of the usual size, or larger if too many."""
+    tasks = min(MAX_TASKS, math.ceil(size / session.partition_bytes(spark)))
+    return max(tasks, spark.sparkContext.defaultParallelism)
+
+
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of one value of the vectors of `df`."""
+    return 8 if dict(df.dtypes)["embedding"] == "array<double>" else 4
+
+
 def _chunks(rows: str, per_chunk: int) -> Column:
     return F.ceil(F.col(rows) / F.lit(per_chunk)).cast("int")
 
@@ -47,8 +62,9 @@ def keyed_knn(
     (`list_id, n`), `n_keys` bounds the number of keys.
     """
     spark = session.ship(base.sparkSession)
-    per_chunk = max(1, session.block_bytes(spark) // (dim * 4))
-    per_query_chunk = max(1, session.block_bytes(spark) // (dim * 4 + k * 16))
+    width, query_width = (dim * value_bytes(df) for df in (base, queries))
+    per_chunk = max(1, session.block_bytes(spark) // width)
+    per_query_chunk = max(1, session.block_bytes(spark) // (query_width + k * 16))
     query_counts = queries.groupBy("list_id").agg(F.count(F.lit(1)).alias("m"))
     plan = (
         base_counts.select("list_id", "n")
@@ -70,8 +86,7 @@ def keyed_knn(
     ).head()[0]
     if rows is None:
         return spark.createDataFrame([], CANDIDATES)
-    tasks = math.ceil(rows * dim * 4 / session.partition_bytes(spark))
-    tasks = max(tasks, spark.sparkContext.defaultParallelism)
+    tasks = block_tasks(spark, rows * max(width, query_width))
     plan = session.small(plan.select("list_id", "base_chunks", "query_chunks"), n_keys * 32)
 
     # Both sides may come from one table, so the query side gets its own column names.

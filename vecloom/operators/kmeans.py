@@ -14,9 +14,8 @@ from vecloom import session
 from vecloom.functions import blocks
 from vecloom.functions.vectors import normalised
 from vecloom.operators.flat import exact_knn, vector_bytes
-from vecloom.schema import CENTROIDS, one_of, positive
+from vecloom.schema import CENTROIDS, positive
 
-ENGINES = ("lloyd", "ml")
 _HEX = 1 << 32
 _MERGE_BYTES = 8 << 20
 _SUMS = "list_id int, n bigint, total array<double>"
@@ -64,46 +63,25 @@ def ivf_train(
     n_list: int | None = None,
     iters: int = 10,
     seed: int = 0,
-    sample_per_list: int | None = None,
     spherical: bool = False,
-    engine: str = "lloyd",
 ) -> DataFrame:
     """Centroids `list_id, centroid` of `base` (`vec_id, embedding`), trained with L2.
 
     Starts from `n_list` random vectors and runs `iters` Lloyd steps. A list that loses all its
-    vectors keeps its centroid. `sample_per_list` trains on a random share of that many vectors per
-    list instead of all. `spherical` brings centroids to unit length after each step.
-    `engine="ml"` hands the work to `pyspark.ml`'s k-means.
+    vectors keeps its centroid. `spherical` brings centroids to unit length after each step.
     """
-    one_of("engine", engine, ENGINES)
     spark = session.ship(base.sparkSession)
     base = base.select("vec_id", "embedding")
     n = base.count()
     if n == 0:
         raise ValueError("cannot train on an empty table")
     n_list = min(n, positive("n_list", n_list or default_n_list(n)))
-    train = base
-    if sample_per_list is not None:
-        positive("sample_per_list", sample_per_list)
-        train, _ = session.cut(base.where(_share(seed + 1, n_list * sample_per_list, n)), "sample")
-    if engine == "ml":
-        return _ml(train, n_list, iters, seed)
     dim = base.select(F.size("embedding").alias("dim")).head()["dim"]
     seeds = first_drawn(base, n_list, n, seed)
     if n_list * dim * 8 <= session.broadcast_bytes(spark):
-        train = session.long_tasks(train, n, vector_bytes(train, dim))
+        train = session.long_tasks(base, n, vector_bytes(base, dim))
         return _lloyd(train, seeds, iters, spherical, n)
-    return _lloyd_shuffled(train, seeds, iters, spherical, dim)
-
-
-def _ml(train: DataFrame, n_list: int, iters: int, seed: int) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    features = train.select(array_to_vector("embedding").alias("features"))
-    model = KMeans(k=n_list, maxIter=iters, seed=seed).fit(features)
-    rows = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
-    return train.sparkSession.createDataFrame(rows, CENTROIDS)
+    return _lloyd_shuffled(base, seeds, iters, spherical, dim)
 
 
 def _unit(centroids: np.ndarray) -> np.ndarray:

@@ -8,7 +8,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,17 +137,6 @@ def file_rows(spark: SparkSession, rows: int, row_bytes: int) -> int:
     return max(1, min(partition_bytes(spark) // row_bytes, max(per_core, floor)))
 
 
-def collect_small(df: DataFrame, rows: int, row_bytes: int) -> pa.Table:
-    """`df` on the driver, if `rows` rows of that size are within the broadcast bound."""
-    bound = broadcast_bytes(df.sparkSession)
-    if rows * row_bytes > bound:
-        raise ValueError(
-            f"{rows} rows of {row_bytes} bytes pass {BROADCAST_CONF} = {bound}: raise it, "
-            "or use fewer lists"
-        )
-    return df.toArrow()
-
-
 def clear_scratch(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results still reading them are lost."""
     drop(spark, _own_scratch(spark))
