@@ -39,7 +39,7 @@ def test_truth_base_must_match_the_index(spark):
 def test_recall_is_low_when_few_vectors_exist(spark):
     base, asked = table(spark, [[1, 2], [2, 1]]), queries(spark, [[1, 1]])
     truth = ground_truth(base, asked, 10, "ip")
-    assert recall_at_k(exact_knn(base, asked, 10), truth, 10, 1).head()["recall"] == 0.2
+    assert recall_at_k(exact_knn(base, asked, 10, "ip"), truth, 10, 1).head()["recall"] == 0.2
 
 
 def test_recall_by_ef(spark):

@@ -39,7 +39,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert QUERIES.items() <= entry.queries().items()
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"graph_recall_sweep_ef", "sweep_timings"}
+    assert set(QUERIES) - set(ORACLES) == {"sweep_timings"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

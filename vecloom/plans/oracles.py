@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from vecloom.plans.queries import GRAPH_M, K, NPROBE, NPROBES
+from vecloom.plans.queries import EFS, GRAPH_M, K, NPROBE, NPROBES
 
 LLOYD_STEPS = 10
+#: Rounds of a beam; a round on a finished beam changes nothing, so more than are needed do no harm.
+BEAM_ROUNDS = 10
+#: Lists that the default graph build probes.
+GRAPH_NPROBE = 32
 
 _PLAIN = "embedding"
 _SCALED = "list_transform(embedding, lambda x: CAST(x * (1 + vec_id % 5) AS FLOAT))"
@@ -146,8 +150,63 @@ def _sweep_recalls() -> str:
     count = "(SELECT count(*) FROM v)"
     row = "SELECT '{0}' AS index, {1} AS k, {2} AS n_base, {2} AS n_query, {3} AS knob, {4} AS recall"
     rows = [row.format("flat", K, count, 0, _hits("knn k2"))]
+    rows += [row.format("flat", K, count, 1, _hits("knn16"))]
     rows += [row.format("ivf", K, count, p, _hits(f"best{p}")) for p in knobs]
-    return _with(*_nprobe_results(knobs), select=" UNION ALL ".join(rows))
+    bf16 = [_vectors(_BF16_PLAIN, "w"), _knn("ip", base="w", queries="w", name="knn16")]
+    return _with(*_nprobe_results(knobs), *bf16, select=" UNION ALL ".join(rows))
+
+
+def _sweep_grid() -> str:
+    """The rows of the timed steps of `sweep_timings`."""
+    steps = [("flat", "add", 0, 1), ("ivf", "train", 0, 1), ("ivf", "add", 0, 1), ("graph", "add", 0, 1)]
+    steps += [("flat", "search", 0, 2), ("graph", "search", 32, 2)]
+    steps += [("ivf", "search", p, 2) for p in (NPROBE, 4 * NPROBE)]
+    rows = [
+        f"SELECT '{index}' AS index, '{phase}' AS phase, n AS n_base, "
+        f"{'n' if phase == 'search' else 0} AS n_query, {knob} AS knob, {rep} AS rep, true AS timed FROM c"
+        for index, phase, knob, reps in steps
+        for rep in range(reps)
+    ]
+    return _with("c AS (SELECT count(*) AS n FROM embeddings)", select=" UNION ALL ".join(rows))
+
+
+def _beam(ef: int) -> list[str]:
+    """Beam search of width `ef` over `edges` from the drawn entries; `found{ef}` has the best k."""
+
+    def best(rows: str, name: str) -> str:
+        return f"""{name} AS MATERIALIZED (
+            SELECT query_id, node, score, expanded FROM ({rows}) QUALIFY row_number() OVER (
+                PARTITION BY query_id ORDER BY score, node) <= {ef})"""
+
+    score = _score("l2", "q.e", "n.e")
+    ctes = [
+        best(
+            f"""SELECT q.vec_id AS query_id, n.vec_id AS node, {score} AS score, false AS expanded
+            FROM v q, v n WHERE n.vec_id IN (SELECT vec_id FROM entries)""",
+            f"beam{ef}_0",
+        )
+    ]
+    for i in range(BEAM_ROUNDS):
+        old, reached = f"beam{ef}_{i}", f"reached{ef}_{i}"
+        ctes += [
+            f"""{reached} AS MATERIALIZED (
+                SELECT DISTINCT b.query_id, a.dst AS node FROM {old} b JOIN linked a ON a.src = b.node
+                WHERE NOT b.expanded AND (b.query_id, a.dst) NOT IN (
+                    SELECT (query_id, node) FROM {old}))""",
+            best(
+                f"""SELECT query_id, node, score, true AS expanded FROM {old} UNION ALL
+                SELECT r.query_id, r.node, {score}, false FROM {reached} r
+                JOIN v q ON q.vec_id = r.query_id JOIN v n ON n.vec_id = r.node""",
+                f"beam{ef}_{i + 1}",
+            ),
+        ]
+    return [
+        *ctes,
+        f"""found{ef} AS MATERIALIZED (
+            SELECT query_id, node AS neighbor_id, score, CAST(row_number() OVER (
+                PARTITION BY query_id ORDER BY score, node) AS INTEGER) AS rank
+            FROM beam{ef}_{BEAM_ROUNDS} QUALIFY rank <= {K})""",
+    ]
 
 
 def _half(metric: str, vector: str) -> str:
@@ -180,6 +239,26 @@ _REVERSE = f"""reverse AS MATERIALIZED (
 _EDGES = """SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(score, 6) + 0.0 AS score
     FROM (SELECT * FROM forward UNION ALL SELECT * FROM reverse)"""
 
+#: The forward edges of a graph built through inverted lists.
+_IVF_FORWARD = f"""forward AS MATERIALIZED (
+    SELECT query_id AS src, neighbor_id AS dst, score, row_number() OVER (
+        PARTITION BY query_id ORDER BY score, neighbor_id) AS rank
+    FROM pairs WHERE query_id <> neighbor_id QUALIFY rank <= {GRAPH_M})"""
+
+#: Edges as searched: one more to each vector that none leads to, along chains of a neighbour.
+_LINKED = [
+    "both_ways AS (SELECT * FROM forward UNION ALL SELECT * FROM reverse)",
+    """linked AS MATERIALIZED (
+        SELECT src, dst FROM both_ways UNION ALL
+        SELECT coalesce(lag(src) OVER (PARTITION BY dst, src % 64 ORDER BY score, src), dst), src
+        FROM forward WHERE rank = 1 AND src NOT IN (SELECT dst FROM both_ways))""",
+    """entries AS MATERIALIZED (
+        SELECT vec_id FROM v QUALIFY row_number() OVER (ORDER BY md5('0:' || vec_id), vec_id)
+            <= (SELECT floor(4 * sqrt(count(*))) FROM v))""",
+]
+
+_IVF_GRAPH = [_vectors(_PLAIN), *_ivf("l2", "l2", GRAPH_NPROBE), _IVF_FORWARD, _REVERSE]
+
 _IP_SCALED = _flat(_SCALED, "ip")
 _L2_SCALED = _flat(_SCALED, "l2")
 
@@ -192,6 +271,7 @@ ORACLES: dict[str, str] = {
     "flat_l2_stream_base": _L2_SCALED,
     "flat_ip_shuffle": _IP_SCALED,
     "flat_l2_shuffle": _L2_SCALED,
+    "flat_ip_tiled": _IP_SCALED,
     "flat_ip_farthest": _flat(_SCALED, "ip", "farthest"),
     "flat_l2_farthest": _flat(_SCALED, "l2", "farthest"),
     "flat_bf16_topk": _flat(_BF16_SCALED, "ip"),
@@ -267,11 +347,23 @@ ORACLES: dict[str, str] = {
     ),
     "recall_sweep_nprobe": _recall_by_nprobe(),
     "knn_graph_exact": _with(_vectors(_PLAIN), _FORWARD, _REVERSE, select=_EDGES),
+    "knn_graph_ivf": _with(*_IVF_GRAPH, select=_EDGES),
+    "graph_search_ef32": _with(
+        _vectors(_PLAIN), _FORWARD, _REVERSE, *_LINKED, *_beam(32), select=_result("found32")
+    ),
     "graph_search_full_width": _flat(_PLAIN, "l2"),
+    "graph_recall_sweep_ef": _with(
+        *_IVF_GRAPH,
+        _knn("l2"),
+        *_LINKED,
+        *(cte for ef in EFS for cte in _beam(ef)),
+        select=" UNION ALL ".join(f"SELECT {ef} AS ef, {_hits(f'found{ef}')} AS recall" for ef in EFS),
+    ),
     "fbin_roundtrip": _long("embeddings", "vec_id", "embedding", "CAST(x AS DOUBLE)"),
     "fbin_dataset_search": _half("l2", _SCALED),
     "i64bin_roundtrip": _with(
         _vectors(_SCALED), _knn("ip"), select="SELECT query_id, rank, neighbor_id FROM knn"
     ),
     "sweep_recalls": _sweep_recalls(),
+    "sweep_grid": _sweep_grid(),
 }

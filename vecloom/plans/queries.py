@@ -181,6 +181,19 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
     return build_graph(base, "l2", m=GRAPH_M), base
 
 
+def knn_graph_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph as it is built by default, with neighbours found through inverted lists."""
+    edges = knn_graph(embeddings(spark, sf_dir), GRAPH_M, "l2")
+    return rounded(edges.select("src", "dst", "rank", "score"), "score")
+
+
+def graph_search_ef32(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A beam much narrower than the table, over exact edges."""
+    base = embeddings(spark, sf_dir)
+    index = build_graph(base, "l2", m=GRAPH_M, candidates="exact")
+    return _neighbours(graph_search(index, as_queries(base), K, ef=32))
+
+
 def graph_search_full_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A beam as wide as the table visits all of it, so the result is exact."""
     index, base = _graph(spark, sf_dir)
@@ -232,9 +245,19 @@ def sweep_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep(base, as_queries(base), _points(), "ip", K, reps=2)[0]
 
 
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which steps a sweep times; the times themselves are only checked not to be negative."""
+    timings = sweep_timings(spark, sf_dir)
+    return timings.withColumn("timed", F.col("millis") >= 0).drop("millis")
+
+
 def sweep_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = embeddings(spark, sf_dir)
-    points = [SweepPoint("flat"), SweepPoint("ivf", knobs=(NPROBE, 4 * NPROBE))]
+    points = [
+        SweepPoint("flat"),
+        SweepPoint("flat", knobs=(1,), precision="bf16"),
+        SweepPoint("ivf", knobs=(NPROBE, 4 * NPROBE)),
+    ]
     return rounded(sweep(base, as_queries(base), points, "ip", K, reps=1)[1], "recall")
 
 
@@ -247,6 +270,7 @@ QUERIES: dict[str, Query] = {
     "flat_l2_stream_base": _flat(scaled, "l2", strategy="broadcast_queries"),
     "flat_ip_shuffle": _flat(scaled, "ip", strategy="shuffle"),
     "flat_l2_shuffle": _flat(scaled, "l2", strategy="shuffle"),
+    "flat_ip_tiled": _flat(scaled, "ip", strategy="tiled"),
     "flat_ip_farthest": _flat(scaled, "ip", order="farthest"),
     "flat_l2_farthest": _flat(scaled, "l2", order="farthest"),
     "flat_bf16_topk": _flat(scaled, "ip", precision="bf16"),
@@ -273,6 +297,8 @@ QUERIES: dict[str, Query] = {
     "ivf_recall": ivf_recall,
     "recall_sweep_nprobe": recall_sweep_nprobe,
     "knn_graph_exact": knn_graph_exact,
+    "knn_graph_ivf": knn_graph_ivf,
+    "graph_search_ef32": graph_search_ef32,
     "graph_search_full_width": graph_search_full_width,
     "graph_recall_sweep_ef": graph_recall_sweep_ef,
     "fbin_roundtrip": fbin_roundtrip,
@@ -280,4 +306,5 @@ QUERIES: dict[str, Query] = {
     "i64bin_roundtrip": i64bin_roundtrip,
     "sweep_timings": sweep_timings,
     "sweep_recalls": sweep_recalls,
+    "sweep_grid": sweep_grid,
 }
