@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom import session
 from vecloom.llm.text import own_columns, whole
 
 #: Turns that share one running sum; the sums of blocks are added up apart.
 BLOCK_TURNS = 256
+
+#: Bytes that a row of numbers takes in a broadcast table, at most.
+ROW_BYTES = 128
 LAST = (1 << 63) - 1
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -68,8 +72,14 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     `unknown`, a null text empty, a null pair id one pair of its own. A pair with one side only has no
     prompt; equal sides are all prompt. Extra columns are ignored; empty inputs give no rows.
     """
-    turns = _turns(chosen, "chosen").unionByName(_turns(rejected, "rejected"))
-    joined = turns.join(_divergence(turns), F.col("pair_id").eqNullSafe(F.col("_pair")))
+    turns, _ = session.cut(
+        _turns(chosen, "chosen").unionByName(_turns(rejected, "rejected")), "turns"
+    )
+    diverges, _ = session.cut(_divergence(turns), "divergence")
+    joined = turns.join(
+        session.small(diverges, ROW_BYTES * diverges.count()),
+        F.col("pair_id").eqNullSafe(F.col("_pair")),
+    )
     common = F.col("_diverges").isNull() | (F.col("turn") < F.col("_diverges"))
     rows = (
         joined.where(~common | (F.col("side") == "chosen"))
@@ -95,6 +105,8 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
             F.coalesce(F.sum("_chars").over(before), F.lit(0)).alias("_start"),
         )
     )
+    starts, _ = session.cut(starts, "part-starts")
+    starts = session.small(starts, ROW_BYTES * starts.count())
     same = (
         F.col("pair_id").eqNullSafe(F.col("_p"))
         & (F.col("part") == F.col("_part"))
