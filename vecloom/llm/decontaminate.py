@@ -30,7 +30,7 @@ SHARD_BYTES = 2 << 20
 GAP = 64
 
 #: Bytes of benchmark text that one pass over the index searches for.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 INDEX = (
     "part int, shard int, doc_ids array<bigint>, text_hashes array<bigint>, n_words array<int>, "
@@ -140,7 +140,7 @@ def phrases(items: list[tuple[int, str | None]], window: int = WINDOW) -> Phrase
             found.setdefault(n, {}).setdefault(tuple(own[i : i + n]), set()).add(item_id)
     return Phrases(
         terms,
-        {n: np.array(list(x), np.int64) for n, x in found.items()},
+        {n: np.array(list(x), np.int32) for n, x in found.items()},
         {n: [sorted(ids) for ids in x.values()] for n, x in found.items()},
     )
 

@@ -43,7 +43,7 @@ MAX_ENTRIES = 2_000
 CONTEXT = 8
 
 #: Tokens that a worker remembers as no match.
-MEMO_TOKENS = 1_000_000
+MEMO_TOKENS = 300_000
 
 _EDGE = ".,;:!?…()[]{}<>\"'`´“”„«»‹›*_~-–—/\\|#"
 _OPENING = "\"“„«‹`"
