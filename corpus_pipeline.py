@@ -6,8 +6,6 @@ Each stage takes what the one before it kept, as a table, and returns what it ke
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,26 +14,7 @@ from vecloom import session
 from vecloom.llm import decontaminate, line_dedup, ngram_join, packing, toxicity
 from vecloom.llm.text import crc32_of, read
 
-#: A scratch scope of the stage that ran last, for each application.
-_LAST: dict[str, session.Scratch] = {}
-
-
-def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """Deletes the scratch tables of the stage before, whose result has been stored by then."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        if app in _LAST:
-            _LAST.pop(app).delete()
-        with session.Scratch(spark) as scratch:
-            result = function(spark, docs, sf_dir)
-        _LAST[app] = scratch
-        return result
 
-    return run_stage
-
-
-@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from four fifths of the labels."""
     labels = read(spark, sf_dir, "labels")
@@ -44,25 +23,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, model)
 
 
-@_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay where they come first."""
     return line_dedup.dedup_lines(docs, min_docs=10, policy="keep_first")
 
 
-@_stage
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity of 0.8 or more)."""
     return ngram_join.keep_one(docs, n=5, percent=80)
 
 
-@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ten consecutive words of a benchmark item, or all of a shorter one, go."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
-@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4,096 tokens."""
     packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -82,14 +57,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result but the last is written as Parquet and read again."""
+    """All stages over `documents`; each result but the last is written as Parquet and read again.
+
+    What a stage leaves in the scratch folder is deleted once its result is written, and a result once
+    the next one is.
+    """
     docs = read(spark, sf_dir, "documents")
-    stored: list[str] = []
+    before: str | None = None
     for name, stage in STAGES[:-1]:
         path = session.scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if stored:
-            session.drop(spark, stored.pop())
-        stored.append(path)
+        with session.Scratch(spark) as scratch:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        scratch.delete()
+        if before:
+            session.drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
