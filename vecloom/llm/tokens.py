@@ -16,7 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -31,7 +31,7 @@ MEMO_CHUNKS = 1_000_000
 MEMO_CHARS = 64
 
 #: Characters of text that are encoded together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 3_000_000
 
 _CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+\Z")
 
@@ -116,24 +116,22 @@ class Encoder:
 
     def _add(self, keys: list[str], rows: list[list[int]]) -> None:
         """Number new keys in the memo, with their ids."""
-        known = len(self.memo)
         counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        ends = self.used + np.cumsum(counts)
-        end = int(ends[-1]) if len(ends) else self.used
-        self.start = _room(self.start, known + len(rows))
-        self.count = _room(self.count, known + len(rows))
+        ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(counts.sum()))
+        self._append(keys, ids, counts)
+
+    def _append(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        known, new = len(self.memo), len(keys)
+        end = self.used + len(ids)
+        self.start = _room(self.start, known + new)
+        self.count = _room(self.count, known + new)
         self.flat = _room(self.flat, end)
-        self.start[known : known + len(rows)] = ends - counts
-        self.count[known : known + len(rows)] = counts
-        self.flat[self.used : end] = np.fromiter(chain.from_iterable(rows), np.uint32, end - self.used)
-        self.memo.update(zip(keys, range(known, known + len(rows)), strict=True))
+        self.start[known : known + new] = self.used + np.cumsum(counts) - counts
+        self.count[known : known + new] = counts
+        self.flat[self.used : end] = ids
+        self.memo.update(zip(keys, range(known, known + new), strict=True))
         self.used = end
 
-    def _row(self, key: str) -> list[int]:
-        number = self.memo[key]
-        start = self.start[number]
-        return self.flat[start : start + self.count[number]].tolist()
-
     def _learn(self, keys: list[str]) -> None:
         """Encode new keys. Sentence marks that end a word are tokens of their own, so a word with such
         marks is put together from both."""
@@ -145,12 +143,30 @@ class Encoder:
         needed = set(keys).difference(ended)
         for pair in ended.values():
             needed.update(pair)
-        needed = sorted(needed.difference(self.memo), key=len)
+        needed = list(needed.difference(self.memo))
         chunks = [self._chunk(k) for k in needed]
         encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         self._add(needed, [x.ids for x in encoded])
-        joined = sorted(ended, key=len)
-        self._add(joined, [self._row(a) + self._row(b) for a, b in map(ended.get, joined)])
+        if ended:
+            self._join(ended)
+
+    def _join(self, ended: dict[str, tuple[str, str]]) -> None:
+        """Number keys whose ids are those of two other keys, one after the other."""
+        joined = list(ended)
+        both = chain.from_iterable(map(ended.__getitem__, joined))
+        parts = np.fromiter(map(self.memo.__getitem__, both), np.int64, 2 * len(joined))
+        ids = self._gather(parts)[0]
+        counts = self.count[parts].reshape(-1, 2).sum(axis=1)
+        self._append(joined, ids, counts)
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the keys with these numbers, one after the other, and where each ends."""
+        counts = self.count[which]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.repeat(self.start[which] - (ends - counts), counts)
+        places += np.arange(total)
+        return self.flat[places], ends
 
     def _forget(self, known: int, used: int) -> None:
         """Drop the keys that were added last, down to `known` of them."""
@@ -166,20 +182,20 @@ class Encoder:
             sizes.append(len(own))
             chunks += own
         known, used = len(self.memo), self.used
-        new = set(chunks).difference(self.memo)
-        if new:
+        which = np.fromiter(map(self.memo.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(which < 0).tolist()
+        if missing:
+            new = {chunks[i] for i in missing}
             self._learn([k for k in new if len(k) <= MEMO_CHARS])
             if len(self.memo) <= MEMO_CHUNKS:
                 known, used = len(self.memo), self.used
             long = [k for k in new if len(k) > MEMO_CHARS]
             if long:
                 self._learn(long)
-        which = np.fromiter(map(self.memo.__getitem__, chunks), np.int64, len(chunks))
+            learned = (self.memo[chunks[i]] for i in missing)
+            which[missing] = np.fromiter(learned, np.int64, len(missing))
+        out, ends = self._gather(which)
         self._forget(known, used)
-        counts = self.count[which]
-        ends = np.cumsum(counts)
-        places = np.repeat(self.start[which] - (ends - counts), counts)
-        out = self.flat[places + np.arange(len(places))]
         edges = np.concatenate([[0], ends])[np.cumsum(sizes)]
         return [out[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
