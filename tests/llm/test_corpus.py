@@ -95,6 +95,24 @@ def test_automaton_equals_definition(spark, order):
         assert sum(p(t, history[-order + 1 :] if order > 1 else ()) for t in events) == pytest.approx(1)
 
 
+def test_lm_arcs_do_not_depend_on_corpus_size(spark):
+    """N-grams found twice are arcs however many other tokens there are, with histories spread or not."""
+    random = np.random.default_rng(7)
+    filler = [" ".join(f"w{i}" for i in random.zipf(1.3, 400) % 5000) for _ in range(100)]
+    texts = ["one rare pair", "another rare pair", *filler, "rare pair", "common the " * 50]
+    docs = documents(spark, texts)
+    train = F.col("doc_id") < 102
+    p, _ = reference_model(texts[:102], 0, 3)
+    for block_bytes in (2_000, 1 << 20):
+        rows = language_model.train_and_score(docs, train, block_bytes=block_bytes).collect()
+        scores = {r["doc_id"]: r["score"] for r in rows}
+        assert len(scores) == len(texts)
+        for i in (0, 1, 2, 50, 102, 103):
+            own = split_tokens(texts[i])
+            want = sum(math.log10(p(t, tuple(own[max(0, j - 2) : j]))) for j, t in enumerate(own))
+            assert scores[i] == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_odd_tables(spark):
     docs = odd_documents(spark)
     assert language_model.train_and_score(docs, F.col("doc_id") >= 0).count() == docs.count()

@@ -1,23 +1,25 @@
 """N-gram language model as a weighted backoff automaton, trained and applied by blocks of documents.
 
 Every word and the end of a text is a token. All training tokens are counted, and unigrams leave the
-weight of one unknown word. N-grams that make up a given share of all training tokens become arcs, their
-histories states. A state has a failure arc to its longest shorter history, which carries the weight
-that its own arcs leave. A text is scored in one pass from left to right: at each token, failure arcs
-are followed until a state has an arc for it (the empty history has one for every token), weights are
-added up, and the arc leads to the next state.
-
-Counts of words are exact and of any number, so they are never broadcast: documents are packed into
-blocks, every block sends each of its words once, and gets back the count of those that other blocks
-have too. States and arcs are broadcast; the share bounds their number (at most 1 / share for each
-order), whatever the size of the corpus.
-
-Words are named by 64-bit hashes in all that moves.
+weight of one unknown word. Every n-gram found twice or more is an arc, its history a state. A state has
+a failure arc to the history that is one token shorter, which carries the weight that its own arcs leave.
+
+The automaton grows with the corpus and is never held in one place. Documents are packed into blocks. For
+each order, a block sends each of its n-grams once to the bucket of its history; the bucket adds up the
+counts of all blocks and sends back to each block the counts of its own n-grams and the sums over the
+arcs of its own histories, so each block holds the states and arcs that its texts meet. Nothing is
+broadcast. A history with more than the mean load of a bucket is spread over as many buckets as it needs.
+An n-gram is only sent if both n-grams of the order below that it contains are arcs, without which it
+cannot be one.
+
+The state before a token is the longest history there that has arcs, so the weights along the path of a
+text (failure arcs, then the arc of the token) are found for all tokens of a block at once, order by order.
+
+Words are named by 64-bit hashes, n-grams by the numbers that their buckets give them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from vecloom import session
 from vecloom.llm.text import own_columns, whole
 
-#: N-grams of two tokens or more with this share of the training tokens become arcs.
-SHARE = 2.0**-14
+#: N-grams of two tokens or more that the training texts hold so often become arcs, at any size of corpus.
+LEAST = 2
 ORDER = 3
 
 #: Discount of every count of an arc.
@@ -41,12 +43,25 @@ DISCOUNT = 0.75
 #: Bytes of text in one block; a longer document is a block of its own.
 BLOCK_BYTES = 24 << 20
 
+#: Tokens for which there is one bucket, and buckets at least.
+BUCKET_TOKENS = 1 << 21
+LEAST_BUCKETS = 64
+
+#: Whether Spark deletes the shuffle files of a query at its end.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The end of a text. A word holds no white space, so no word has this name.
 END = b"\n"
 
 BLOCKS = (
     "part int, block int, doc_ids array<bigint>, train array<boolean>, sizes array<int>, "
-    "names binary, counts binary, codes binary"
+    "names binary, codes binary"
+)
+MESSAGES = "part int, block int, bucket int, body binary"
+#: Rows without a part are totals over the words of a bucket.
+REPLIES = (
+    "part int, block int, level int, bucket int, body binary, "
+    "words bigint, once bigint, twice bigint, tokens bigint"
 )
 SCORES = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
@@ -62,6 +77,18 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _bundle(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one string; bytes of equal weight lie together, since high ones are mostly zero."""
+    sizes = np.array([len(a) for a in arrays], np.int64)
+    values = np.concatenate([sizes, *(a.astype(np.int64, copy=False) for a in arrays)])
+    return _pack(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T))
+
+
+def _unbundle(data: bytes, n: int) -> list[np.ndarray]:
+    values = np.ascontiguousarray(_unpack(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+    return np.split(values[n:], np.cumsum(values[: n - 1]))
+
+
 def word_name(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -69,8 +96,7 @@ def word_name(word: bytes) -> int:
 def _blocks(docs: DataFrame, train: Column, block_bytes: int) -> DataFrame:
     """Documents as arrays of word codes; a block has its own code for each of its words.
 
-    `names[code]` is the hash of the word, `counts[code]` how often the training documents of the block
-    have it; `sizes` are the tokens of each document, its end included.
+    `names[code]` is the hash of the word; `sizes` are the tokens of each document, its end included.
     """
     documents = own_columns(
         docs,
@@ -80,7 +106,7 @@ def _blocks(docs: DataFrame, train: Column, block_bytes: int) -> DataFrame:
     )
     names = [f.split()[0] for f in BLOCKS.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-    kinds += [pa.list_(pa.int32())] + [pa.binary()] * 3
+    kinds += [pa.list_(pa.int32())] + [pa.binary()] * 2
 
     def pack(batches):
         part = TaskContext.get().partitionId()
@@ -90,11 +116,9 @@ def _blocks(docs: DataFrame, train: Column, block_bytes: int) -> DataFrame:
 
         def close():
             all_codes = np.concatenate(codes)
-            training = np.repeat(is_train, sizes)
-            counts = np.bincount(all_codes[training], minlength=len(code))
             hashes = np.fromiter(map(word_name, code), np.uint64, len(code))
             row = [part, block, ids, is_train, sizes]
-            row += [_pack(hashes), _pack(counts.astype(np.int32)), _pack(all_codes)]
+            row += [_pack(hashes), _pack(all_codes)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names
             )
@@ -121,337 +145,235 @@ def _blocks(docs: DataFrame, train: Column, block_bytes: int) -> DataFrame:
     return documents.select("doc_id", "train", "text").mapInArrow(pack, BLOCKS)
 
 
-def _shared_counts(blocks: DataFrame) -> DataFrame:
-    """`part, block, code, n`: the training count of each word of a block over all blocks.
+@dataclass
+class _Level:
+    """The distinct n-grams of one order in a block, and what their buckets reply.
 
-    Rows with a null part are totals over words: `code` 0 the words, 1 those found once, 2 those found
-    twice, 3 all tokens. A word goes back only to blocks where its own count is not all of it.
+    Per token: `at`, the place of the n-gram that ends there, and `history`, the place of its history in
+    the order below, both -1 where there is none or it is too rare to matter. Per n-gram: `own` training
+    occurrences in the block; `totals` in all (0 for those that are no arcs) and `ids` once replied. Per
+    history of the order below: the sum `arc_sum` and number `arcs` of the counts of all its arcs, of
+    other blocks too. `order` and `bucket` say which n-grams went to which bucket, in the order sent.
     """
 
-    def explode(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                names = _unpack(row["names"], np.uint64)
-                counts = _unpack(row["counts"], np.int32)
-                n = len(names)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names.view(np.int64)),
-                        pa.array(np.full(n, row["part"], np.int32)),
-                        pa.array(np.full(n, row["block"], np.int32)),
-                        pa.array(np.arange(n, dtype=np.int32)),
-                        pa.array(counts),
-                    ],
-                    ["name", "part", "block", "code", "own"],
-                )
-
-    def totals(batches):
-        seen = np.zeros(4, np.int64)
-        for table in _whole_keys(batches, "name"):
-            names = table["name"].to_numpy()
-            if not len(names):
-                continue
-            first = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])
-            own = table["own"].to_numpy()
-            sums = np.add.reduceat(own.astype(np.int64), first)
-            seen += [(sums > 0).sum(), (sums == 1).sum(), (sums == 2).sum(), sums.sum()]
-            n = np.repeat(sums, np.diff(np.append(first, len(names))))
-            more = pa.array(n != own)
-            columns = [table[c].filter(more).combine_chunks() for c in ("part", "block", "code")]
-            columns.append(pa.array(n).filter(more))
-            yield pa.RecordBatch.from_arrays(columns, ["part", "block", "code", "n"])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.nulls(4, pa.int32()),
-                pa.nulls(4, pa.int32()),
-                pa.array(range(4), pa.int32()),
-                pa.array(seen),
-            ],
-            ["part", "block", "code", "n"],
-        )
-
-    rows = blocks.select("part", "block", "names", "counts").mapInArrow(
-        explode, "name bigint, part int, block int, code int, own int"
-    )
-    by_name = rows.repartition("name").sortWithinPartitions("name")
-    return by_name.mapInArrow(totals, "part int, block int, code int, n bigint")
-
-
-def _whole_keys(batches, key: str) -> Iterator[pa.Table]:
-    """Sorted rows as tables that never cut a key in two."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if rest is None else pa.concat_tables([rest, table])
-        if not len(table):
-            continue
-        keys = table[key].to_numpy()
-        last = int(np.searchsorted(keys, keys[-1], side="left"))
-        rest = table.slice(last)
-        yield table.slice(0, last)
-    if rest is not None:
-        yield rest
+    at: np.ndarray
+    history: np.ndarray
+    own: np.ndarray | None
+    words: np.ndarray | None
+    order: np.ndarray | None
+    bucket: np.ndarray | None
+    asked: np.ndarray | None
+    asked_ids: np.ndarray | None
+    asked_bucket: np.ndarray | None
+    under: np.ndarray | None
+    totals: np.ndarray | None = None
+    ids: np.ndarray | None = None
+    arc_sum: np.ndarray | None = None
+    arcs: np.ndarray | None = None
 
 
 @dataclass(frozen=True)
-class Automaton:
-    """States are histories of frequent tokens; state 0 is the empty history.
+class _Plan:
+    buckets: int
+    least: float = LEAST
+    tokens: int = 0
 
-    `names` (sorted) are the frequent tokens, numbered from 1. `arc_keys` (sorted) are state * size +
-    token. Weights are log10. `after[token]` is the state of that token alone.
-    """
+    @property
+    def load(self) -> int:
+        """The mean load of a bucket; a history with more is spread."""
+        return max(1, -(-self.tokens // self.buckets))
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _scatter(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64)
+
+
+class _Block:
+    def __init__(self, row: dict, replies: list[dict], plan: _Plan):
+        self.row = row
+        self.plan = plan
+        self.names = _unpack(row["names"], np.uint64)
+        self.codes = _unpack(row["codes"], np.int32)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.training = np.repeat(np.array(row["train"], bool), self.sizes)
+        self.levels: list[_Level] = []
+        for level in range(1, 1 + max((r["level"] for r in replies), default=0)):
+            own = sorted((r for r in replies if r["level"] == level), key=lambda r: r["bucket"])
+            self._replied(self.open(), [r["body"] for r in own])
+
+    def open(self) -> _Level:
+        level = self._grams() if self.levels else self._words()
+        self.levels.append(level)
+        return level
+
+    def _words(self) -> _Level:
+        bucket = (self.names % np.uint64(self.plan.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        own = np.bincount(self.codes[self.training], minlength=len(self.names))
+        words = self.names.view(np.int64)
+        return _Level(
+            self.codes, _NONE, own, words, order, bucket[order], _NONE, _NONE, _NONE, _NONE
+        )
 
-    names: np.ndarray
-    arc_keys: np.ndarray
-    arc_weights: np.ndarray
-    arc_targets: np.ndarray
-    failure: np.ndarray
-    failure_weights: np.ndarray
-    after: np.ndarray
-    depth: int
-    tokens: int
-    words: int
-    unknown_mass: float
-    unigram_discount: float
+    def _grams(self) -> _Level:
+        plan, lower, n_words = self.plan, self.levels[-1], len(self.names)
+        history = np.full(len(self.codes), -1, np.int32)
+        history[1:] = lower.at[:-1]
+        history[self.starts] = -1
+        often = np.append(lower.totals >= plan.least, False)
+        history[~often[history]] = -1
+        wanted = (history >= 0) & often[lower.at]
+        keys = history[wanted].astype(np.int64) * n_words + self.codes[wanted]
+        grams = np.unique(keys)
+        at = np.full(len(self.codes), -1, np.int32)
+        at[wanted] = np.searchsorted(grams, keys)
+        del keys, wanted
+        own = np.bincount(at[self.training & (at >= 0)], minlength=len(grams)).astype(np.int32)
+        first, last = (grams // n_words).astype(np.int32), self.levels[0].ids[grams % n_words]
+        del grams
+        spread = np.minimum(plan.buckets, -(-lower.totals // plan.load))
+        bucket = (lower.ids[first] + _scatter(last) % spread[first]) % plan.buckets
+        bucket = bucket.astype(np.int32)
+        order = np.argsort(bucket, kind="stable").astype(np.int32)
+        # Histories ask for their sums, each in all buckets that it is spread over.
+        used = np.flatnonzero(np.bincount(history[history >= 0], minlength=len(lower.totals)))
+        times = spread[used]
+        asked = np.repeat(used, times)
+        turn = np.arange(len(asked)) - np.repeat(np.cumsum(times) - times, times)
+        asked_bucket = (lower.ids[asked] + turn) % plan.buckets
+        by = np.argsort(asked_bucket, kind="stable")
+        asked, asked_bucket = asked[by], asked_bucket[by]
+        bucket = bucket[order]
+        sent = bucket * np.int64(len(lower.totals)) + first[order]
+        ask = asked_bucket * len(lower.totals) + asked
+        under = np.searchsorted(sent, ask, "right") - np.searchsorted(sent, ask, "left")
+        asked_ids = lower.ids[asked]
+        return _Level(
+            at, history, own, last, order, bucket, asked, asked_ids, asked_bucket, under
+        )
 
-    @property
-    def size(self) -> int:
-        return len(self.names) + 1
-
-    def unigrams(self, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of tokens with these training counts, 0 being the unknown word."""
-        known = np.maximum(counts - self.unigram_discount, 0) / max(self.tokens, 1)
-        return np.log10(np.where(counts > 0, known, self.unknown_mass))
-
-    def numbers(self, names: np.ndarray) -> np.ndarray:
-        """The number of each frequent token, 0 for all others."""
-        if not len(self.names):
-            return np.zeros(len(names), np.int64)
-        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
-        return np.where(self.names[at] == names, at + 1, 0)
-
-    def scores(self, tokens: np.ndarray, unigrams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Log10 probability of each document; `tokens` are numbers, one document after the other.
-
-        All documents are read at once, one token of each per step, longest first, so that those still
-        read are always the first ones. Each carries its state.
-        """
-        order = np.argsort(-sizes, kind="stable")
-        starts = (np.cumsum(sizes) - sizes)[order]
-        lengths = sizes[order]
-        state = np.zeros(len(sizes), np.int64)
-        total = np.zeros(len(sizes))
-        reading = len(sizes)
-        for t in range(int(lengths[0]) if len(lengths) else 0):
-            while reading and lengths[reading - 1] <= t:
-                reading -= 1
-            at = starts[:reading] + t
-            token = tokens[at]
-            here = state[:reading].copy()
-            weight = np.zeros(reading)
-            target = np.zeros(reading, np.int64)
-            open_ = np.flatnonzero(here)
-            for _ in range(self.depth):
-                if not len(open_):
-                    break
-                keys = here[open_] * self.size + token[open_]
-                arc = np.minimum(np.searchsorted(self.arc_keys, keys), len(self.arc_keys) - 1)
-                found = self.arc_keys[arc] == keys
-                hit, hit_arc = open_[found], arc[found]
-                weight[hit] += self.arc_weights[hit_arc]
-                target[hit] = self.arc_targets[hit_arc]
-                # Marks the documents that have taken their arc.
-                here[hit] = -1
-                open_ = open_[~found]
-                weight[open_] += self.failure_weights[here[open_]]
-                here[open_] = self.failure[here[open_]]
-                open_ = open_[here[open_] > 0]
-            empty = here >= 0
-            weight[empty] += unigrams[at[empty]]
-            target[empty] = self.after[token[empty]]
-            total[:reading] += weight
-            state[:reading] = target
-        out = np.empty(len(sizes))
-        out[order] = total
+    def messages(self) -> pa.Table:
+        """One row for each bucket: histories, how many n-grams each has, their last words and counts."""
+        level = self.open()
+        buckets = np.unique(np.concatenate([level.bucket, level.asked_bucket]))
+        edges = [
+            zip(np.searchsorted(b, buckets, "left"), np.searchsorted(b, buckets, "right"), strict=True)
+            for b in (level.bucket, level.asked_bucket)
+        ]
+        words, own = level.words[level.order], level.own[level.order]
+        bodies = [
+            _bundle(level.asked_ids[c:d], level.under[c:d], words[a:b], own[a:b])
+            for (a, b), (c, d) in zip(*edges, strict=True)
+        ]
+        n = len(buckets)
+        columns = [np.full(n, self.row["part"], np.int32), np.full(n, self.row["block"], np.int32)]
+        columns.append(buckets.astype(np.int32))
+        arrays = [*map(pa.array, columns), pa.array(bodies, pa.binary())]
+        return pa.Table.from_arrays(arrays, ["part", "block", "bucket", "body"])
+
+    def _replied(self, level: _Level, bodies: list[bytes]) -> None:
+        parts = [_unbundle(b, 4) for b in bodies]
+        totals, ids, arc_sum, arcs = (
+            np.concatenate(x) for x in (zip(*parts, strict=True) if parts else [[_NONE]] * 4)
+        )
+        level.totals = np.zeros(len(level.own), np.int64)
+        level.totals[level.order] = totals
+        level.ids = np.full(len(level.own), -1, np.int64)
+        level.ids[level.order[totals >= LEAST]] = ids
+        if len(self.levels) > 1:
+            n = len(self.levels[-2].totals)
+            level.arc_sum = np.bincount(level.asked, arc_sum, n)
+            level.arcs = np.bincount(level.asked, arcs, n)
+        level.own = level.words = level.order = level.bucket = None
+        level.asked = level.asked_ids = level.asked_bucket = level.under = None
+
+    def probabilities(self, unigrams: np.ndarray) -> np.ndarray:
+        """Probability of every token after the tokens before it; `unigrams` has that of each word."""
+        out = unigrams[self.codes]
+        for lower, level in zip(self.levels[:-1], self.levels[1:], strict=True):
+            state = np.append(level.arcs > 0, False)
+            here = np.flatnonzero(state[level.history])
+            history = level.history[here]
+            total = lower.totals[history]
+            left = 1 - (level.arc_sum - DISCOUNT * level.arcs)[history] / total
+            count = np.append(level.totals, 0)[level.at[here]]
+            out[here] = np.maximum(count - DISCOUNT, 0) / total + left * out[here]
         return out
 
 
-def _ngrams(
-    blocks: DataFrame, names: np.ndarray, kept: list[np.ndarray], least: float
-) -> np.ndarray:
-    """N-grams of the next order with `least` training occurrences or more: rows of tokens, last the count.
+def _reply(table: pa.Table, level: int, plan: _Plan) -> pa.Table:
+    """Add up the n-grams of one bucket and answer every block: its counts, numbers of its arcs, and sums
+    of the arcs of its histories. The histories of a bucket are whole, or spread as `_Block` does."""
+    bucket = table["bucket"][0].as_py()
+    bodies = [_unbundle(b, 4) for b in table["body"].to_pylist()]
+    asked, under, words, own = map(np.concatenate, zip(*bodies, strict=True))
+    histories, asked_at = np.unique(asked, return_inverse=True)
+    keys = words
+    if level > 1:
+        top = int(words.max(initial=0)) + 1
+        if len(histories) * top >= 1 << 62:
+            words = np.unique(words, return_inverse=True)[1]
+            top = len(words)
+        first = np.repeat(asked_at, under)
+        keys = first * top + words
+    grams, at = np.unique(keys, return_inverse=True)
+    totals = np.bincount(at, own, len(grams)).astype(np.int64)
+    stats = [(totals > 0).sum(), (totals == 1).sum(), (totals == 2).sum(), totals.sum()]
+    if level > 1:
+        totals[totals < plan.least] = 0
+    # Frequent n-grams get small numbers, which pack well.
+    ids = np.empty(len(grams), np.int64)
+    ids[np.argsort(-totals, kind="stable")] = np.arange(len(grams)) * plan.buckets + bucket
+    arc_sum = arcs = np.zeros(len(histories), np.int64)
+    if level > 1:
+        kept = np.flatnonzero(totals)
+        arc_history = grams[kept] // top
+        arc_sum = np.bincount(arc_history, totals[kept], len(histories)).astype(np.int64)
+        arcs = np.bincount(arc_history, minlength=len(histories))
+    answers = []
+    a = c = 0
+    for body in bodies:
+        b, d = a + len(body[2]), c + len(body[0])
+        count, number = totals[at[a:b]], ids[at[a:b]]
+        history = asked_at[c:d]
+        answers.append(
+            _bundle(count, number[count >= LEAST], arc_sum[history], arcs[history])
+        )
+        a, c = b, d
+    n = len(answers)
+    columns = [
+        pa.concat_arrays([table[c].combine_chunks(), pa.nulls(1, pa.int32())])
+        for c in ("part", "block")
+    ]
+    columns += [pa.array(np.full(n + 1, x, np.int32)) for x in (level, bucket)]
+    columns.append(pa.array([*answers, None], pa.binary()))
+    columns += [pa.array([None] * n + [int(x)], pa.int64()) for x in stats]
+    return pa.Table.from_arrays(columns, [f.split()[0] for f in REPLIES.split(", ")])
+
 
-    An n-gram can only be that frequent if both n-grams of the order below that it contains are; `kept`
-    has the rows of all lower orders, so others are not even sent.
-    """
-    spark = blocks.sparkSession
-    held = spark.sparkContext.broadcast((names, kept))
-    order = len(kept) + 2
-    size = len(names) + 1
+def _with_replies(blocks: DataFrame, replies: DataFrame, plan: _Plan, use, schema: str) -> DataFrame:
+    """`use` of every block with all that its buckets have replied so far."""
 
-    def count(batches):
-        all_names, lower = held.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                tokens, inside = _block_tokens(row, all_names)
-                grams, count = np.unique(
-                    _grams(tokens, inside, lower, order, size), return_counts=True
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams), pa.array(count)], ["gram", "n"]
-                )
-
-    counted = (
-        blocks.select("train", "sizes", "names", "codes")
-        .mapInArrow(count, "gram bigint, n bigint")
-        .groupBy("gram")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least)
-        .toArrow()  # at most training tokens / least rows
-    )
-    held.unpersist()
-    grams, n = counted["gram"].to_numpy(), counted["n"].to_numpy()
-    rows = _split(grams, kept[-1] if kept else None, size)
-    found = np.column_stack([rows, n]) if len(rows) else np.zeros((0, order + 1), np.int64)
-    return found[np.lexsort(found.T[::-1])]
-
-
-def _block_tokens(row: dict, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the frequent tokens of a block's training documents, and where a document goes on."""
-    own = _unpack(row["names"], np.uint64)
-    at = np.minimum(np.searchsorted(names, own), max(len(names) - 1, 0))
-    number = np.where(names[at] == own, at + 1, 0) if len(names) else np.zeros(len(own), np.int64)
-    tokens = number[_unpack(row["codes"], np.int32)]
-    sizes = np.array(row["sizes"], np.int64)
-    training = np.repeat(np.array(row["train"], bool), sizes)
-    tokens = np.where(training, tokens, 0)
-    goes_on = np.ones(len(tokens), bool)
-    goes_on[np.cumsum(sizes) - 1] = False
-    return tokens, goes_on
-
-
-def _grams(
-    tokens: np.ndarray, goes_on: np.ndarray, lower: list[np.ndarray], order: int, size: int
-) -> np.ndarray:
-    """The n-grams of a block as history * size + token; a history of two tokens or more is numbered by
-    its row among the kept n-grams of the order below."""
-    previous = tokens[:-1]
-    valid = (previous > 0) & (tokens[1:] > 0) & goes_on[:-1]
-    history = np.where(valid, previous, 0)
-    last = tokens[1:]
-    if order == 3:
-        pairs = lower[0]
-        number = _lookup(pairs[:, 0] * size + pairs[:, 1], history * size + last, valid)
-        # Both pairs that the three tokens contain must be kept.
-        history, last = number[:-1], last[1:]
-        valid = (history > 0) & (number[1:] > 0)
-    return (history * size + last)[valid]
-
-
-def _lookup(keys: np.ndarray, wanted: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """1 + the place of each wanted value among the sorted keys, 0 where it is not there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(valid & (keys[at] == wanted), at + 1, 0)
-
-
-def _split(grams: np.ndarray, lower: np.ndarray | None, size: int) -> np.ndarray:
-    history, last = grams // size, grams % size
-    if lower is None:
-        return np.column_stack([history, last])
-    return np.column_stack([lower[history - 1][:, :-1], last])
-
-
-def build_automaton(
-    names: np.ndarray,
-    counts: np.ndarray,
-    end: int,
-    kept: list[np.ndarray],
-    stats: tuple[int, int, int, int],
-) -> Automaton:
-    """The automaton of frequent tokens (`names` sorted, with their counts) and their kept n-grams."""
-    words, once, twice, tokens = stats
-    # One discount for all unigrams (n1 / (n1 + 2 n2)); what it takes away is the unknown word's.
-    discount = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
-    mass = discount * words / tokens if tokens else 1.0
-    size = len(names) + 1
-    unigram = np.concatenate([[0], np.maximum(counts - discount, 0) / max(tokens, 1)])
-    # Histories: every first part of a kept n-gram, by order. The end of a text is never in one.
-    state_of: dict[tuple[int, ...], int] = {(): 0}
-    for rows in kept:
-        for gram in rows[:, :-1].tolist():
-            if end not in gram[:-1]:
-                state_of.setdefault(tuple(gram[:-1]), len(state_of))
-    n = len(state_of)
-    failure = np.zeros(n, np.int64)
-    failure_weights = np.zeros(n)
-    after = np.zeros(size, np.int64)
-    gram_count = {(t + 1,): int(c) for t, c in enumerate(counts)}
-    for rows in kept:
-        gram_count |= {tuple(r[:-1]): r[-1] for r in rows.tolist()}
-
-    def longest(history: tuple[int, ...]) -> int:
-        while history not in state_of:
-            history = history[1:]
-        return state_of[history]
-
-    arcs: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-    for rows in kept:
-        for *history, token, count in rows.tolist():
-            if tuple(history) in state_of:
-                arcs.setdefault(tuple(history), []).append((token, count))
-    probability: dict[tuple[int, ...], dict[int, float]] = {}
-    left: dict[tuple[int, ...], float] = {}
-    keys, weights, targets = [], [], []
-
-    def lower(history: tuple[int, ...], token: int) -> float:
-        """Probability after a history, which may be no state."""
-        while history not in state_of:
-            history = history[1:]
-        if not history:
-            return float(unigram[token])
-        known = probability[history].get(token)
-        return left[history] * lower(history[1:], token) if known is None else known
-
-    for history in sorted(arcs, key=len):
-        total = gram_count[history]
-        left[history] = 1 - sum(c - DISCOUNT for _, c in arcs[history]) / total
-        probability[history] = {
-            token: (count - DISCOUNT) / total + left[history] * lower(history[1:], token)
-            for token, count in arcs[history]
-        }
-    for history, own in probability.items():
-        state = state_of[history]
-        failure[state] = longest(history[1:])
-        failure_weights[state] = np.log10(left[history])
-        for token, p in own.items():
-            keys.append(state * size + token)
-            weights.append(np.log10(p))
-            targets.append(0 if token == end else longest((*history, token)))
-    for token in range(1, size):
-        after[token] = 0 if token == end else longest((token,))
-    order = np.argsort(keys, kind="stable")
-    return Automaton(
-        names,
-        np.array(keys, np.int64)[order],
-        np.array(weights, float)[order],
-        np.array(targets, np.int64)[order],
-        failure,
-        failure_weights,
-        after,
-        len(kept),
-        tokens,
-        words,
-        mass,
-        discount,
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        answers = right.select(["level", "bucket", "body"]).to_pylist()
+        return pa.concat_tables([use(_Block(row, answers, plan)) for row in left.to_pylist()])
+
+    own = replies.where("part IS NOT NULL").select("part", "block", "level", "bucket", "body")
+    return (
+        blocks.groupBy("part", "block")
+        .cogroup(own.groupBy("part", "block"))
+        .applyInArrow(run, schema)
     )
 
 
 def train_and_score(
     docs: DataFrame,
     train: Column,
-    share: float = SHARE,
+    share: float = 0.0,
     order: int = ORDER,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -459,104 +381,79 @@ def train_and_score(
 
     `base_score` is the add-one unigram score. `score` is the automaton's log10 probability of the text
     and its end, over the same events: the words of the training texts, the end, and one unknown word.
-    A null text is empty: its end alone. Rows with equal or null ids are documents of their own. Without
-    training texts every token is unknown. Extra columns are ignored; an empty table gives no rows.
+    N-grams found twice or more are arcs; a caller may ask for those with a `share` of all training
+    tokens only. A null text is empty: its end alone. Rows with equal or null ids are documents of their
+    own. Without training texts every token is unknown. Extra columns are ignored; an empty table gives
+    no rows.
     """
-    if not 0 < share < 1 or order not in (1, 2, 3):
-        raise ValueError("share must be between 0 and 1, order 1, 2 or 3")
-    spark = session.ship(docs.sparkSession)
+    if not 0 <= share < 1 or order not in (1, 2, 3):
+        raise ValueError("share must be at least 0 and below 1, order 1, 2 or 3")
+    session.ship(docs.sparkSession)
     blocks, _ = session.cut(_blocks(docs, train, block_bytes), "lm-blocks")
-    shared, _ = session.cut(_shared_counts(blocks), "lm-counts")
-    sums = {
-        r["code"]: r["n"]
-        for r in shared.where("part IS NULL").groupBy("code").agg(F.sum("n").alias("n")).collect()
-    }
-    words, once, twice, tokens = (sums.get(i, 0) for i in range(4))
-    least = max(2.0, share * tokens)
-    names, counts = _frequent(blocks, shared, least)
-    kept: list[np.ndarray] = []
-    for _ in range(order - 1):
-        kept.append(_ngrams(blocks, names, kept, least))
-        if not len(kept[-1]):
-            kept.pop()
-            break
-    end = int(np.searchsorted(names, np.uint64(word_name(END)))) + 1 if len(names) else 0
-    model = build_automaton(names, counts, end, kept, (words, once, twice, tokens))
-    held = spark.sparkContext.broadcast(model)
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables([_score_block(row, right, held.value) for row in left.to_pylist()])
-
-    rows = blocks.select("part", "block", "doc_ids", "train", "sizes", "names", "counts", "codes")
-    known = shared.where("part IS NOT NULL")
-    return (
-        rows.groupBy("part", "block")
-        .cogroup(known.groupBy("part", "block"))
-        .applyInArrow(score, SCORES)
-    )
-
+    held = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    n = blocks.agg(F.sum(held)).first()[0] or 0
+    plan = _Plan(max(LEAST_BUCKETS, -(-n // BUCKET_TOKENS)))
 
-def _frequent(
-    blocks: DataFrame, shared: DataFrame, least: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Names and counts of the tokens found `least` times or more, sorted by name."""
-
-    # A token that is frequent overall is that frequent in some block; the shared counts hold its total.
-    wanted = shared.where(F.col("part").isNotNull() & (F.col("n") >= least)).select(
-        "part", "block", "code", "n"
-    )
-    picked = blocks.select("part", "block", "names", "counts").join(
-        wanted.groupBy("part", "block").agg(
-            F.collect_list(F.struct("code", "n")).alias("found")
-        ),
-        ["part", "block"],
-        "left",
-    )
-
-    def named(batches):
+    def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                names = _unpack(row["names"], np.uint64)
-                total = _unpack(row["counts"], np.int32).astype(np.int64)
-                for item in row["found"] or []:
-                    total[item["code"]] = item["n"]
-                often = np.flatnonzero(total >= least)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[often].view(np.int64)), pa.array(total[often])], ["name", "n"]
-                )
-
-    table = (
-        picked.mapInArrow(named, "name bigint, n bigint")
-        .groupBy("name")
-        .agg(F.max("n").alias("n"))
-        .toArrow()  # at most training tokens / least rows
+                yield from _Block(row, [], plan).messages().to_batches()
+
+    replies = None
+    words = once = twice = tokens = 0
+    for level in range(1, order + 1):
+        if replies is None:
+            messages = blocks.mapInArrow(send, MESSAGES)
+        else:
+            messages = _with_replies(blocks, replies, plan, _Block.messages, MESSAGES)
+        answer = _answers(messages, level, plan)
+        answer = _stored(answer, f"lm-replies-{level}")
+        if replies is None:
+            sums = [F.sum(c) for c in ("words", "once", "twice", "tokens")]
+            words, once, twice, tokens = (x or 0 for x in answer.agg(*sums).first())
+            plan = _Plan(plan.buckets, max(LEAST, share * tokens), tokens)
+        replies = answer if replies is None else replies.unionByName(answer)
+    # One discount for all unigrams (n1 / (n1 + 2 n2)); what it takes away is the unknown word's.
+    discount = once / (once + 2 * twice) if 0 < once and 0 < twice else 0.5
+    unknown = discount * words / tokens if tokens else 1.0
+
+    def score(block: _Block) -> pa.Table:
+        counts = block.levels[0].totals
+        known = np.maximum(counts - discount, 0) / max(tokens, 1)
+        found = block.probabilities(np.where(counts > 0, known, unknown))
+        base = np.log10((counts + 1) / (tokens + words + 1))[block.codes]
+        columns = [
+            pa.array(block.row["doc_ids"], pa.int64()),
+            pa.array([not t for t in block.row["train"]]),
+            pa.array(block.sizes),
+            pa.array(np.add.reduceat((counts > 0)[block.codes].astype(np.int64), block.starts)),
+            pa.array(np.full(len(block.sizes), tokens, np.int64)),
+            pa.array(np.add.reduceat(base, block.starts)),
+            pa.array(np.add.reduceat(np.log10(found), block.starts)),
+        ]
+        return pa.Table.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
+
+    return _with_replies(blocks, replies, plan, score, SCORES)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """`session.cut`, after which Spark deletes the shuffle files of `df`, which nothing reads again."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP_CONF, None)
+    conf.set(CLEANUP_CONF, "true")
+    try:
+        return session.cut(df, name)[0]
+    finally:
+        if before is None:
+            conf.unset(CLEANUP_CONF)
+        else:
+            conf.set(CLEANUP_CONF, before)
+
+
+def _answers(messages: DataFrame, level: int, plan: _Plan) -> DataFrame:
+    return messages.groupBy("bucket").applyInArrow(
+        lambda table: _reply(table, level, plan), REPLIES
     )
-    names = table["name"].to_numpy().view(np.uint64) if len(table) else np.zeros(0, np.uint64)
-    counts = table["n"].to_numpy() if len(table) else np.zeros(0, np.int64)
-    order = np.argsort(names)
-    return names[order], counts[order]
-
-
-def _score_block(row: dict, shared: pa.Table, model: Automaton) -> pa.Table:
-    counts = _unpack(row["counts"], np.int32).astype(np.int64)
-    counts[shared["code"].to_numpy()] = shared["n"].to_numpy()
-    codes = _unpack(row["codes"], np.int32)
-    sizes = np.array(row["sizes"], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    base = np.log10((counts + 1) / (model.tokens + model.words + 1))[codes]
-    known = (counts > 0)[codes]
-    unigrams = model.unigrams(counts)[codes]
-    numbers = model.numbers(_unpack(row["names"], np.uint64))[codes]
-    columns = [
-        pa.array(row["doc_ids"], pa.int64()),
-        pa.array([not t for t in row["train"]]),
-        pa.array(sizes),
-        pa.array(np.add.reduceat(known.astype(np.int64), starts)),
-        pa.array(np.full(len(sizes), model.tokens, np.int64)),
-        pa.array(np.add.reduceat(base, starts)),
-        pa.array(model.scores(numbers, unigrams, sizes)),
-    ]
-    return pa.Table.from_arrays(columns, [f.split()[0] for f in SCORES.split(", ")])
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
