@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, odd_documents
-from vecloom.llm import line_dedup, preference, quality_rules
+from vecloom.llm import line_dedup, preference, quality_rules, ranks
 
 PAIRS = "pair_id bigint, turn bigint, role string, text string"
 
@@ -56,6 +56,22 @@ def test_preference_odd_rows(spark):
     assert preference.preference_segments(left.limit(0), right.limit(0)).count() == 0
 
 
+def test_every_conversation_finds_a_partner(spark, monkeypatch):
+    """Sparse ids leave conversations alone in their block of 64; they are paired all the same."""
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 3)
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    for ids in ([0, 1000, 2000, 2001, *range(5000, 9000, 300)], [5, 7, 640], [3, 300], [9]):
+        turns = [(i, t, r, f"{r} {i}") for i in ids for t, r in enumerate(("user", "assistant"))]
+        # One without an assistant turn has no reply to contrast.
+        table = spark.createDataFrame([*turns, (77_777, 0, "user", "alone")], schema)
+        chosen, rejected = preference.contrast_pairs(table)
+        want = set(ids) if len(ids) > 1 else set()
+        assert sorted(r["pair_id"] for r in chosen.collect()) == sorted([*want, *want])
+        replies = {r["pair_id"]: r["text"] for r in rejected.where("turn = 1").collect()}
+        assert set(replies) == want
+        assert all(x != f"assistant {i}" and x.startswith("assistant") for i, x in replies.items())
+
+
 def brute_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

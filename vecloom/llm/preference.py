@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom import session
+from vecloom.llm.ranks import ranked
 from vecloom.llm.text import own_columns, whole
 
 #: Turns that share one running sum; the sums of blocks are added up apart.
@@ -132,13 +133,45 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+def _partners(df: DataFrame) -> DataFrame:
+    return df.select(
+        "pair_id", F.col("reply.turn").alias("_turn"), F.col("other.text").alias("_other")
+    )
+
+
+def _lone_partners(sized: DataFrame) -> DataFrame:
+    """Partners of the conversations whose block has no other: a ring of them, by gapless rank.
+
+    One conversation of a larger block is in the ring too, so that even a single one finds a reply.
+    """
+    lone = sized.where(F.col("size") == 1).select("pair_id", "reply", F.lit(True).alias("alone"))
+    least = F.min(F.struct("pair_id", "reply")).alias("least")
+    another = (
+        sized.where(F.col("size") > 1)
+        .agg(least)
+        .where(F.col("least").isNotNull())
+        .select("least.pair_id", "least.reply", F.lit(False).alias("alone"))
+    )
+    ring, _ = session.cut(lone.unionByName(another), "lone-conversations")
+    n = ring.count()
+    if n < 2:
+        # Nobody is alone, or there is nobody else.
+        return _partners(ring.limit(0).withColumn("other", F.col("reply")))
+    placed = ranked(ring.withColumn("_all", F.lit(0)), ["_all"], ["pair_id"], "rank", n)
+    before = F.pmod(F.col("rank") - 1, F.lit(n))
+    following = placed.select(before.alias("rank"), F.col("reply").alias("other"))
+    return _partners(placed.where("alone").join(following, "rank"))
+
+
 def contrast_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected turns for conversations that come without ratings.
 
     Chosen is each conversation up to its last assistant turn. Rejected has the reply of another
     conversation there: the next by id among those of the same `conv_id div 64`, the last taking the
-    first. A conversation without an assistant turn or without another one in its block has no pair.
-    Null ids and turn numbers are left out, since they name no conversation or place.
+    first. Conversations that are alone in their block, and one of the others, take the reply of the
+    next by rank among themselves. So only a conversation without an assistant turn, or the only one
+    with such a turn in the table, has no pair. Null ids and turn numbers are left out, since they name
+    no conversation or place.
     """
     turns = own_columns(
         conversations.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()),
@@ -151,15 +184,12 @@ def contrast_pairs(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = turns.where(F.col("role") == "assistant").groupBy("pair_id").agg(reply)
     block = Window.partitionBy(F.floor(F.col("pair_id") / 64)).orderBy("pair_id")
     everyone = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    partners = (
-        last.withColumn("first", F.first("reply").over(everyone))
-        .withColumn("size", F.count(F.lit(1)).over(everyone))
+    sized = last.withColumn("size", F.count(F.lit(1)).over(everyone))
+    partners = _partners(
+        sized.withColumn("first", F.first("reply").over(everyone))
         .withColumn("other", F.coalesce(F.lead("reply").over(block), F.col("first")))
         .where(F.col("size") > 1)
-        .select(
-            "pair_id", F.col("reply.turn").alias("_turn"), F.col("other.text").alias("_other")
-        )
-    )
+    ).unionByName(_lone_partners(sized))
     chosen = turns.join(partners, "pair_id").where(F.col("turn") <= F.col("_turn"))
     rejected = chosen.where(F.col("turn") < F.col("_turn")).unionByName(
         partners.select(
