@@ -36,6 +36,16 @@ def test_memo_equals_library(memo, text):
     assert [x.tolist() for x in memo.batch([text, text])] == [want, want]
 
 
+SPELLINGS = ["<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*SPELLINGS, "a", "B", "é", " ", "\n", "."]), max_size=8).map("".join))
+def test_spellings_of_special_tokens(memo, text):
+    want = memo.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in memo.batch([text, text])] == [want, want]
+
+
 def test_full_memo_still_right(monkeypatch):
     monkeypatch.setattr(tokens, "MEMO_CHUNKS", 20)
     encode = tokens.Encoder(BYTE)

@@ -5,7 +5,8 @@ supported tokenizers reaches over such a place, so chunks can be encoded on thei
 before needs no second encoding. Texts with other white space are encoded whole.
 
 For a tokenizer that lower-cases text and drops white space, chunks are lower-cased words, so that a
-word is encoded once for all its spellings and places.
+word is encoded once for all its spellings and places. Added tokens that the library finds in the text
+as it is are told apart from other spellings: a text with such a spelling is encoded whole.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ class Encoder:
         self.folds = "Lowercase" in json.dumps(rules["normalizer"]) and all(
             self._ids(f"{space}a{space}B") == self._ids("a b") for space in " \t\n\r"
         )
+        self.exact = [t["content"] for t in rules["added_tokens"] if not t["normalized"]]
         self.memo: dict[str, int] = {}
         self.used = 0
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -95,7 +97,10 @@ class Encoder:
         if _is_odd(text):
             return ["\0" + text]
         if self.folds:
-            return (text.lower() if text.isascii() else text.encode().lower().decode()).split()
+            folded = text.lower() if text.isascii() else text.encode().lower().decode()
+            if any(folded.count(t) != text.count(t) for t in self.exact):
+                return ["\0" + text]
+            return folded.split()
         if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _LOOSE):
             return [self._key(chunk) for chunk in _CHUNK.findall(text)]
         keys = text.replace("\n", " \n").split(" ")
