@@ -28,7 +28,7 @@ TOP_TERMS = 50
 
 #: Groups on one side of a tile, and pairs of cells that a tile may hold.
 TILE_GROUPS = 256
-TILE_PAIRS = 1 << 21
+TILE_PAIRS = 1 << 17
 
 #: Entries (group and term) that a task counts before it passes them on.
 HELD_ENTRIES = 400_000
@@ -57,17 +57,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
     )
 
     def rows_of(held):
+        """A batch per group, its counts let go as it is made."""
         names = ["lang", "source", "term", "n", "docs"]
-        lang, source, term, n, docs = [], [], [], [], []
-        for (own_lang, own_source), counts in held.items():
-            lang += [own_lang] * len(counts)
-            source += [own_source] * len(counts)
-            term += [t.decode() for t in counts]
-            n += [c[0] for c in counts.values()]
-            docs += [c[1] for c in counts.values()]
-        types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-        columns = [pa.array(c, t) for c, t in zip([lang, source, term, n, docs], types, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names)
+        while held:
+            (lang, source), counts = held.popitem()
+            columns = [
+                pa.array([lang] * len(counts)),
+                pa.array([source] * len(counts)),
+                pa.array(list(counts), pa.binary()).cast(pa.string()),
+                pa.array([n for n, _ in counts.values()], pa.int64()),
+                pa.array([docs for _, docs in counts.values()], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     def count(batches):
         held: dict[tuple, dict[bytes, list[int]]] = {}
@@ -89,10 +90,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                         entry[1] += 1
                 size += len(group)
                 if size >= HELD_ENTRIES:
-                    yield rows_of(held)
-                    held, size = {}, 0
-        if held:
-            yield rows_of(held)
+                    yield from rows_of(held)
+                    size = 0
+        yield from rows_of(held)
 
     # By source too, so that a term of every text is no larger a key than its sources' share.
     return (
@@ -146,7 +146,8 @@ def tree_distances(
 
     `zero_left` and `zero_right` price an empty cell of each row. Both trees are walked level by level
     with all pairs of quadrants over the same columns; pairs of empty ones only add their real columns
-    (`width` of them in all) to a count per pair of row ranges.
+    (`width` of them in all) to a count per pair of row ranges. For a tree and itself, only pairs of a row
+    and a later one are right.
     """
     n_left, n_right = len(zero_left), len(zero_right)
     pairs = [np.array([0 if len(t.values) else -1], np.int64) for t in (left, right)]
@@ -181,6 +182,8 @@ def tree_distances(
         columns = np.repeat(columns, 8) << 1 | side
         span = 1 << (height - level - 1)
         real = (rows[0] * span < n_left) & (rows[1] * span < n_right) & (columns * span < width)
+        if left is right:
+            real &= rows[0] <= rows[1]
         pairs, rows, columns = [p[real] for p in pairs], [r[real] for r in rows], columns[real]
 
     def prices(tree, nodes, at, zero):
@@ -189,13 +192,13 @@ def tree_distances(
         return out
 
     found = prices(left, pairs[0], rows[0], zero_left) - prices(right, pairs[1], rows[1], zero_right)
-    # A tile has at most 2**22 columns and a price is below 2**31, so the sums are exact.
+    # Prices are below 2**31 and a tile's columns below 2**22, so the sums are exact.
     sums = np.bincount(rows[0] * n_right + rows[1], np.abs(found), n_left * n_right)
     sums = sums.astype(np.int64).reshape(n_left, n_right)
     return sums + empty * np.abs(zero_left[:, None] - zero_right[None, :])
 
 
-def _tile(key: tuple, table: pa.Table) -> pa.Table:
+def _tile(key: tuple, table: pa.Table, tile_groups: int) -> pa.Table:
     """Distances of all pairs of groups of one tile: rows with a null term give the groups and their
     prices of an absent term, the others the nonzero cells."""
     lang, block_a, block_b = key[0].as_py(), key[1].as_py(), key[2].as_py()
@@ -208,7 +211,7 @@ def _tile(key: tuple, table: pa.Table) -> pa.Table:
     sides = []
     size = max(1, width)
     for block in (block_a, block_b):
-        own = group // TILE_GROUPS == block
+        own = group // tile_groups == block
         heads = own & ~is_cell
         names = group[heads]
         order = np.argsort(names)
@@ -218,8 +221,9 @@ def _tile(key: tuple, table: pa.Table) -> pa.Table:
         sides.append((names, zero, rows, column[cells], price[is_cell][cells]))
         size = max(size, len(names))
     height = (size - 1).bit_length()
-    trees = [QuadTree(height, *side[2:]) for side in sides]
-    found = tree_distances(*trees, height, width, sides[0][1], sides[1][1])
+    left = QuadTree(height, *sides[0][2:])
+    right = left if block_a == block_b else QuadTree(height, *sides[1][2:])
+    found = tree_distances(left, right, height, width, sides[0][1], sides[1][1])
     a = np.repeat(sides[0][0], len(sides[1][0]))
     b = np.tile(sides[1][0], len(sides[0][0]))
     once = a < b
@@ -233,18 +237,20 @@ def _tile(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def group_distances(groups: DataFrame, cells: DataFrame) -> DataFrame:
+def group_distances(
+    groups: DataFrame, cells: DataFrame, tile_groups: int = TILE_GROUPS, tile_pairs: int = TILE_PAIRS
+) -> DataFrame:
     """`lang, a, b, value` for every pair `a < b` of the numbered groups of a language.
 
     `groups` has `lang, at, n_groups, n_terms, zero` (the price of an absent term), `cells` the nonzero
-    `lang, at, n_groups, n_terms, term, price`. A tile holds at most `TILE_GROUPS` groups a side and, by
+    `lang, at, n_groups, n_terms, term, price`. A tile holds at most `tile_groups` groups a side and, by
     the hash of the term, a share of the columns, so that neither a language with many sources nor one
     with most of the cells is one task.
     """
-    blocks = F.ceil(F.col("n_groups") / TILE_GROUPS).cast("int")
-    side = F.least("n_groups", F.lit(TILE_GROUPS))
-    tiles = F.greatest(F.ceil(F.col("n_terms") * side * side / TILE_PAIRS), F.lit(1)).cast("bigint")
-    own = F.floor(F.col("at") / TILE_GROUPS).cast("int")
+    blocks = F.ceil(F.col("n_groups") / tile_groups).cast("int")
+    side = F.least("n_groups", F.lit(tile_groups))
+    tiles = F.greatest(F.ceil(F.col("n_terms") * side * side / tile_pairs), F.lit(1)).cast("bigint")
+    own = F.floor(F.col("at") / tile_groups).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     pairs = F.transform(
         every, lambda x: F.struct(F.least(x, own).alias("block_a"), F.greatest(x, own).alias("block_b"))
@@ -273,20 +279,22 @@ def group_distances(groups: DataFrame, cells: DataFrame) -> DataFrame:
     def distances(key, table):
         # The heads carry the number of columns; they are put first.
         heads_first = table.sort_by([("width", "descending")])
-        return _tile(key, heads_first)
+        return _tile(key, heads_first, tile_groups)
 
     tiled = rows.groupBy("lang", "block_a", "block_b", "tile").applyInArrow(distances, _SUMS)
     return tiled.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS) -> DataFrame:
+def audit(
+    docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS, **tiles: int
+) -> DataFrame:
     """`lang, source, part, item, value, rank`: distances between sources, and each one's own terms.
 
     Part `pair` ranks the other sources of a language by the sum of absolute differences of term shares;
     part `term` the `top_terms` terms that a source uses more than its language. Shares are smoothed and
     in billionths, all arithmetic is on integers. Null text, lang and source are empty; empty texts make
     groups without terms, which count; every row is a document, also with a repeated id; other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. `tiles` are those of `group_distances`.
     """
     counted, _ = session.cut(term_counts(docs), "term-counts")
     in_lang = Window.partitionBy("lang", "term")
@@ -326,7 +334,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS)
         _price(F.col("lang_n"), F.col("lang_total"), F.col("n_terms")).alias("lang_price"),
     )
     names = groups.select("lang", "at", "source")
-    once = group_distances(groups, cells)
+    once = group_distances(groups, cells, **tiles)
     both = once.unionByName(once.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     item = names.select("lang", F.col("at").alias("b"), F.col("source").alias("item"))
     pairs = (
