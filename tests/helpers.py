@@ -53,3 +53,25 @@ class conf:
     def __exit__(self, *_):
         for key in self.values:
             self.spark.conf.unset(key)
+
+
+def scan_paths(df):
+    """For every scan of the plan, the names of the operators from the root down to it."""
+    paths = []
+    adaptive = "spark.sql.adaptive.enabled"
+    was = df.sparkSession.conf.get(adaptive)
+    df.sparkSession.conf.set(adaptive, "false")
+
+    def walk(node, above):
+        above = [*above, node.nodeName()]
+        children = node.children()
+        if children.size() == 0:
+            paths.append(above)
+        for i in range(children.size()):
+            walk(children.apply(i), above)
+
+    try:
+        walk(df._jdf.queryExecution().executedPlan(), [])
+    finally:
+        df.sparkSession.conf.set(adaptive, was)
+    return paths

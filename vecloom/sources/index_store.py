@@ -4,17 +4,23 @@
 table      columns                                                 index types
 ========== ======================================================= ==================
 meta       one row, see `schema.META`; written last                all
-vectors    vec_id, embedding, node_bucket (partition)              flat, graph
+vectors    vec_id, embedding, node_bucket (partition)              flat
+vectors    vec_id, embedding, bucketed and sorted by vec_id        graph
 centroids  list_id, centroid                                       ivf
 sizes      list_id, n                                              ivf
 lists      vec_id, embedding, list_id, list_bucket (partition)     ivf
-links      src, neighbors, node_bucket (partition)                 graph
+links      src, neighbors, bucketed and sorted by src              graph
 entries    vec_id, embedding                                       graph
 ========== ======================================================= ==================
+
+Bucketed tables are read through the session's catalog, which alone tells Spark how files are clustered:
+a join on the id then moves the other side only. They are external tables named after their path, so
+dropping one from the catalog leaves its files.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +38,13 @@ COLUMNS = {
     "centroids": CENTROIDS,
     "sizes": "list_id int, n bigint",
     "lists": f"{VECTORS}, list_id int, list_bucket int",
-    "links": "src bigint, neighbors array<bigint>, node_bucket int",
+    "links": "src bigint, neighbors array<bigint>",
     "entries": VECTORS,
 }
-PARTITIONS = {"vectors": ["node_bucket"], "lists": ["list_bucket"], "links": ["node_bucket"]}
+PARTITIONS = {"vectors": ["node_bucket"], "lists": ["list_bucket"]}
+#: Tables of a graph that are bucketed, by column.
+BUCKETED = {"vectors": "vec_id", "links": "src"}
+BUCKETED_COLUMNS = {"vectors": VECTORS, "links": COLUMNS["links"]}
 
 
 @dataclass(frozen=True)
@@ -61,6 +70,8 @@ class VectorIndex:
     def table(self, name: str) -> DataFrame:
         if name not in TABLES[self.meta.index_type]:
             raise ValueError(f"a {self.meta.index_type} index has no table {name!r}")
+        if self.meta.index_type == "graph" and name in BUCKETED:
+            return bucketed_table(self.spark, self.path, name, self.meta.n_bucket)
         return self.spark.read.schema(COLUMNS[name]).parquet(f"{self.path}/{name}")
 
 
@@ -83,6 +94,34 @@ def write_table(df: DataFrame, path: str, name: str, mode: str = "error") -> Non
     writer.parquet(f"{path}/{name}")
 
 
+def _catalog_name(path: str, name: str, buckets: int) -> str:
+    place = hashlib.md5(f"{path.rstrip('/')}/{name}".encode()).hexdigest()
+    return f"vecloom_{name}_{place[:16]}_{buckets}"
+
+
+def write_bucketed(df: DataFrame, path: str, name: str, buckets: int, mode: str = "error") -> None:
+    """Write a table of a graph in hash buckets of its id, one sorted file each."""
+    spark, column, table = df.sparkSession, BUCKETED[name], _catalog_name(path, name, buckets)
+    if mode == "overwrite":
+        session.drop(spark, f"{path}/{name}")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    rows = df.select(*(c.split()[0] for c in BUCKETED_COLUMNS[name].split(", ")))
+    writer = rows.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column)
+    writer.option("path", f"{path}/{name}").format("parquet").saveAsTable(table)
+
+
+def bucketed_table(spark: SparkSession, path: str, name: str, buckets: int) -> DataFrame:
+    """A table written by `write_bucketed`, registered in this session's catalog if it is not yet."""
+    table, column = _catalog_name(path, name, buckets), BUCKETED[name]
+    if not spark.catalog.tableExists(table):
+        place = f"{path}/{name}".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(
+            f"CREATE TABLE {table} ({BUCKETED_COLUMNS[name]}) USING parquet "
+            f"CLUSTERED BY ({column}) SORTED BY ({column}) INTO {buckets} BUCKETS LOCATION '{place}'"
+        )
+    return spark.table(table)
+
+
 def write_meta(spark: SparkSession, path: str, meta: Meta, mode: str = "error") -> VectorIndex:
     """Finish an index: only a directory with `meta` loads."""
     row = tuple(asdict(meta).values())
@@ -100,7 +139,6 @@ def exists(spark: SparkSession, path: str) -> bool:
 ROW_ORDER = {
     "lists": ("list_bucket", "list_id", "vec_id"),
     "vectors": ("node_bucket", "vec_id"),
-    "links": ("node_bucket", "src"),
 }
 
 
@@ -111,6 +149,9 @@ def save_index(index: VectorIndex, path: str, mode: str = "error") -> VectorInde
     begin(index.spark, path, mode)
     for name in TABLES[index.meta.index_type]:
         rows = index.table(name)
+        if index.meta.index_type == "graph" and name in BUCKETED:
+            write_bucketed(rows, path, name, index.meta.n_bucket, mode)
+            continue
         if name in ROW_ORDER:
             files = max(1, len(rows.inputFiles()))
             rows = rows.repartitionByRange(files, *ROW_ORDER[name])
