@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import SF_DIR, brute, conf, queries, result, table
+from tests.helpers import SF_DIR, brute, conf, queries, result, scan_paths, table
+from vecloom import session
 from vecloom.operators.flat import exact_knn
 from vecloom.operators import ivf
 from vecloom.operators.ivf import build_ivf, ivf_assign, ivf_probes, ivf_search
@@ -65,6 +66,24 @@ def test_shuffled_training_equals_broadcast_training(spark, base):
     np.testing.assert_allclose(np.linalg.norm(got, axis=1), 1)
 
 
+def test_vectors_stay_in_place_beyond_the_bound(spark, base, monkeypatch):
+    """With centroids that no task may hold whole, nothing that is shuffled or joined has a vector."""
+    centroids = ivf_train(base, n_list=11, iters=1).cache()
+    with conf(spark, broadcastBytes=1500, blockBytes=9000):
+        assigned = ivf_assign(base, centroids)
+        assert not any("Exchange" in step or "Join" in step for p in scan_paths(assigned) for step in p)
+        seen = []
+        cut = session.cut
+        monkeypatch.setattr(session, "cut", lambda df, name: (seen.append(df), cut(df, name))[1])
+        ivf_train(base, n_list=11, iters=1)
+    moved = [p for df in seen[1:] for p in scan_paths(df) if "MapInArrow" in p]
+    assert moved
+    for path in moved:
+        # From the scan of the vectors up to the sums there is no exchange.
+        last = max(i for i, step in enumerate(path) if step == "MapInArrow")
+        assert not any("Exchange" in step for step in path[last:])
+
+
 def test_more_lists_than_vectors_and_empty_lists(spark):
     vectors = [[0, 0], [0, 0], [9, 9]]
     centroids = ivf_train(table(spark, vectors), n_list=50, iters=2)

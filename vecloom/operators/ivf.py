@@ -14,7 +14,7 @@ from vecloom import session
 from vecloom.functions import blocks
 from vecloom.operators.flat import Sizes, collect_vectors, exact_knn, vector_bytes
 from vecloom.operators.keyed import keyed_knn
-from vecloom.operators.kmeans import embedding_of_centroid, ivf_train, nearest_list
+from vecloom.operators.kmeans import CentroidTiles, embedding_of_centroid, ivf_train, tile_lists
 from vecloom.operators.topk import top_k
 from vecloom.schema import METRICS, NEIGHBOURS, one_of, positive
 from vecloom.sources.index_store import Meta, VectorIndex, begin, write_meta, write_table
@@ -25,15 +25,29 @@ _MAX_BUCKETS = 4096
 _MAX_RANGES = 64
 
 
-def ivf_assign(base: DataFrame, centroids: DataFrame, coarse_metric: str = "l2") -> DataFrame:
-    """`vec_id, embedding, list_id`: every vector with the list of its nearest centroid."""
+def ivf_assign(
+    base: DataFrame, centroids: DataFrame, coarse_metric: str = "l2", held_bytes: int | None = None
+) -> DataFrame:
+    """`vec_id, embedding, list_id`: every vector with the list of its nearest centroid.
+
+    Vectors are assigned where they are read. Centroids of more than `held_bytes` (by default the
+    broadcast bound) pass by in tiles of that size; `centroids` should then be a stored table.
+    """
     one_of("coarse_metric", coarse_metric, METRICS)
     spark = session.ship(base.sparkSession)
     base = base.select("vec_id", "embedding")
     n_list = centroids.count()
     dim = centroids.select(F.size("centroid").alias("dim")).head()["dim"]
-    if n_list * dim * 8 > session.broadcast_bytes(spark):
-        return base.join(nearest_list(base, centroids, coarse_metric), "vec_id")
+    held_bytes = held_bytes or session.broadcast_bytes(spark)
+    assigned = "vec_id bigint, embedding array<float>, list_id int"
+    if n_list * dim * 8 > held_bytes:
+        tiles = CentroidTiles(centroids, tile_lists(held_bytes, dim), coarse_metric)
+
+        def assign_in_tiles(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, _, lists in tiles.nearest(stream):
+                yield from table.append_column("list_id", pa.array(lists, pa.int32())).to_batches()
+
+        return base.mapInArrow(assign_in_tiles, assigned)
     held = spark.sparkContext.broadcast(
         collect_vectors(centroids.select("list_id", embedding_of_centroid()), "list_id")
     )
@@ -46,7 +60,7 @@ def ivf_assign(base: DataFrame, centroids: DataFrame, coarse_metric: str = "l2")
             best.update(lists, vectors)
             yield batch.append_column("list_id", pa.array(best.ids[:, 0], pa.int32()))
 
-    return base.mapInArrow(assign, "vec_id bigint, embedding array<float>, list_id int")
+    return base.mapInArrow(assign, assigned)
 
 
 def _bucket(n_list: int, buckets: int) -> Column:

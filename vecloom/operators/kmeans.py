@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from vecloom import session
 from vecloom.functions import blocks
 from vecloom.functions.vectors import normalised
-from vecloom.operators.flat import exact_knn, vector_bytes
+from vecloom.operators.flat import vector_bytes
 from vecloom.schema import CENTROIDS, positive
 
 _HEX = 1 << 32
@@ -64,11 +65,13 @@ def ivf_train(
     iters: int = 10,
     seed: int = 0,
     spherical: bool = False,
+    held_bytes: int | None = None,
 ) -> DataFrame:
     """Centroids `list_id, centroid` of `base` (`vec_id, embedding`), trained with L2.
 
     Starts from `n_list` random vectors and runs `iters` Lloyd steps. A list that loses all its
-    vectors keeps its centroid. `spherical` brings centroids to unit length after each step.
+    vectors keeps its centroid. `spherical` brings centroids to unit length after each step. Centroids of
+    more than `held_bytes` (by default the broadcast bound) stay a table and reach tasks in tiles.
     """
     spark = session.ship(base.sparkSession)
     base = base.select("vec_id", "embedding")
@@ -78,10 +81,11 @@ def ivf_train(
     n_list = min(n, positive("n_list", n_list or default_n_list(n)))
     dim = base.select(F.size("embedding").alias("dim")).head()["dim"]
     seeds = first_drawn(base, n_list, n, seed)
-    if n_list * dim * 8 <= session.broadcast_bytes(spark):
-        train = session.long_tasks(base, n, vector_bytes(base, dim))
+    held_bytes = held_bytes or session.broadcast_bytes(spark)
+    train = session.long_tasks(base, n, vector_bytes(base, dim))
+    if n_list * dim * 8 <= held_bytes:
         return _lloyd(train, seeds, iters, spherical, n)
-    return _lloyd_shuffled(base, seeds, iters, spherical, dim)
+    return _lloyd_tiled(train, seeds, iters, spherical, dim, tile_lists(held_bytes, dim))
 
 
 def _unit(centroids: np.ndarray) -> np.ndarray:
@@ -177,48 +181,128 @@ def _lloyd(train: DataFrame, seeds: DataFrame, iters: int, spherical: bool, n: i
     )
 
 
-def _lloyd_shuffled(
-    train: DataFrame, seeds: DataFrame, iters: int, spherical: bool, dim: int
+def tile_lists(held_bytes: int, dim: int) -> int:
+    """Centroids of a tile of at most `held_bytes`."""
+    return max(1, held_bytes // (dim * 8))
+
+
+class CentroidTiles:
+    """Stored centroids as broadcast tiles: tasks hold one at a time, however many there are.
+
+    A tile is read by its range of lists, so the driver holds one at a time too; on an executor the others
+    are files. `nearest` reads vectors in groups and takes each group past all tiles.
+    """
+
+    def __init__(self, centroids: DataFrame, per_tile: int, metric: str):
+        spark = centroids.sparkSession
+        self.metric = metric
+        self.dim = centroids.select(F.size("centroid").alias("dim")).head()["dim"]
+        self.group_bytes = session.block_bytes(spark)
+        last = centroids.agg(F.max("list_id")).head()[0]
+        self.tiles = []
+        for first in range(0, last + 1, per_tile):
+            own = centroids.where(F.col("list_id").between(first, first + per_tile - 1))
+            table = own.select("list_id", "centroid").toArrow().sort_by("list_id")
+            held = table.column("list_id").to_numpy(), blocks.matrix(table.column("centroid"), self.dim)
+            self.tiles.append(spark.sparkContext.broadcast(held))
+
+    def nearest(self, stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+        """Groups of rows, their vectors, and the list nearest to each."""
+        group, size = [], 0
+        for batch in stream:
+            group.append(batch)
+            size += batch.num_rows * self.dim * 4
+            if size >= self.group_bytes:
+                yield self._group(group)
+                group, size = [], 0
+        if size:
+            yield self._group(group)
+
+    def _group(self, group: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(group)
+        rows = blocks.matrix(table.column("embedding"), self.dim)
+        best = blocks.RunningTopK(rows, 1, self.metric)
+        for tile in self.tiles:
+            best.update(*tile.value)
+            # The worker reads the tile's file again for the next group, so that it holds only one.
+            vars(tile).pop("_value", None)
+        return table, rows, best.ids[:, 0]
+
+    def release(self) -> None:
+        for tile in self.tiles:
+            tile.unpersist()
+
+
+def _tiled_sums(tiles: CentroidTiles, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per group of vectors: how many are nearest to each list, and their sum."""
+    for _, rows, lists in tiles.nearest(stream):
+        by = np.argsort(lists, kind="stable")
+        found, start, counts = np.unique(lists[by], return_index=True, return_counts=True)
+        totals = np.add.reduceat(rows[by], start, axis=0, dtype=np.float64)
+        yield from blocks.batches(
+            {
+                "list_id": pa.array(found, pa.int32()),
+                "n": pa.array(counts.astype(np.int64)),
+                "total": blocks.vector_column(totals),
+            },
+            rows=1024,
+        )
+
+
+def _merge_tile(per_tile: int, dim: int, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per range of lists: the groups' sums added up, one row per list."""
+    sums, first = _Sums(per_tile, dim), 0
+    for batch in stream:
+        lists = batch.column("list_id").to_numpy()
+        first = int(lists[0]) // per_tile * per_tile if len(lists) else first
+        totals = blocks.matrix(batch.column("total"), dim)
+        sums.add(lists - first, totals, batch.column("n").to_numpy())
+    used = np.flatnonzero(sums.counts)
+    yield from blocks.batches(
+        {
+            "list_id": pa.array(used + first, pa.int32()),
+            "n": pa.array(sums.counts[used]),
+            "total": blocks.vector_column(sums.totals[used]),
+        },
+        rows=1024,
+    )
+
+
+def _lloyd_tiled(
+    train: DataFrame, seeds: DataFrame, iters: int, spherical: bool, dim: int, per_tile: int
 ) -> DataFrame:
-    """Centroids beyond the bound: they stay a table, cut once per step."""
+    """Centroids beyond the bound: a table, cut once per step, that tasks see tile by tile.
+
+    Vectors stay where they are read; only sums of vectors by list are shuffled, to the task that merges
+    their range of lists.
+    """
     spark = train.sparkSession
     shape = normalised if spherical else (lambda c: F.transform(c, lambda x: x.cast("double")))
     centroids, path = session.cut(
         seeds.select("list_id", shape(F.col("embedding")).alias("centroid")), "centroids"
     )
+    ranges = math.ceil(centroids.count() / per_tile)
     for _ in range(iters):
-        nearest = nearest_list(train, centroids, "l2")
-        means = [F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(dim)]
-        total = (
-            train.join(nearest, "vec_id")
-            .groupBy("list_id")
-            .agg(*means)
-            .select("list_id", F.array(*[f"m{i}" for i in range(dim)]).alias("mean"))
+        tiles = CentroidTiles(centroids, per_tile, "l2")
+        summed = (
+            train.select("embedding")
+            .mapInArrow(partial(_tiled_sums, tiles), _SUMS)
+            .repartitionById(ranges, F.floor(F.col("list_id") / per_tile).cast("int"))
+            .mapInArrow(partial(_merge_tile, per_tile, dim), _SUMS)
+            .select("list_id", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
         )
-        stepped = centroids.join(total, "list_id", "left").select(
+        stepped = centroids.join(summed, "list_id", "left").select(
             "list_id",
             F.when(F.col("mean").isNull(), F.col("centroid"))
             .otherwise(shape(F.col("mean")))
             .alias("centroid"),
         )
         centroids, done = session.cut(stepped, "centroids")
+        tiles.release()
         session.drop(spark, path)
         path = done
     return centroids
 
 
-def nearest_list(base: DataFrame, centroids: DataFrame, coarse_metric: str) -> DataFrame:
-    """`vec_id, list_id` of the nearest centroid, by the exact join with k = 1."""
-    found = exact_knn(
-        centroids.select(F.col("list_id").cast("bigint").alias("vec_id"), embedding_of_centroid()),
-        base.select(F.col("vec_id").alias("query_id"), "embedding"),
-        1,
-        coarse_metric,
-    )
-    return found.select(
-        F.col("query_id").alias("vec_id"), F.col("neighbor_id").cast("int").alias("list_id")
-    )
-
-
 def embedding_of_centroid() -> Column:
     return F.col("centroid").alias("embedding")

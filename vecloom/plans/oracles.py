@@ -367,3 +367,4 @@ ORACLES: dict[str, str] = {
     "sweep_recalls": _sweep_recalls(),
     "sweep_grid": _sweep_grid(),
 }
+ORACLES |= {f"{name}_tiled": ORACLES[name] for name in ("ivf_centroids", "ivf_assign")}

@@ -29,6 +29,8 @@ NPROBE = 8
 NPROBES = (1, 4, 16, 32)
 EFS = (10, 32, 128)
 GRAPH_M = 32
+#: Bytes of centroids that the tiled queries hold at a time.
+_TILE_BYTES = 8 << 10
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +135,18 @@ def ivf_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf_assign(base, ivf_train(base)).select("vec_id", "list_id")
 
 
+def ivf_centroids_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained with a few of the centroids in a task at a time."""
+    trained = ivf_train(embeddings(spark, sf_dir), held_bytes=_TILE_BYTES)
+    return rounded(_long(trained, "list_id", "centroid"), "value")
+
+
+def ivf_lists_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = embeddings(spark, sf_dir)
+    centroids, _ = session.cut(ivf_train(base), "centroids")
+    return ivf_assign(base, centroids, held_bytes=_TILE_BYTES).select("vec_id", "list_id")
+
+
 def ivf_probe_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = embeddings(spark, sf_dir)
     return ivf_probes(ivf_train(base), as_queries(base), NPROBE)
@@ -288,6 +302,8 @@ QUERIES: dict[str, Query] = {
     "ground_truth_preview": ground_truth_preview,
     "ivf_centroids": ivf_centroids,
     "ivf_assign": ivf_lists,
+    "ivf_centroids_tiled": ivf_centroids_tiled,
+    "ivf_assign_tiled": ivf_lists_tiled,
     "ivf_probes": ivf_probe_lists,
     "ivf_search_l2": _ivf("l2"),
     "ivf_search_ip": _ivf("ip"),
