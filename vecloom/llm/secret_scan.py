@@ -2,8 +2,8 @@
 
 Long runs of key characters are candidates. The smallest alphabet that holds a candidate (hex, base32,
 base36, base62, base64) is its encoding, and three tests say how well it fits a string drawn evenly from
-it: chi-squared of the symbol counts, Wald and Wolfowitz runs of low and high symbols, and correlation of
-neighbours. Their p-values become one by Fisher's method. Of truly random strings, p is spread evenly;
+it: chi-squared of the symbol counts, Wald and Wolfowitz runs of digits and other symbols, and correlation
+of neighbours. Their p-values become one by Fisher's method. Of truly random strings, p is spread evenly;
 words and paths have small ones. So the strings with p above 1/2 tell how many random ones a class of like
 encoding and length holds, and each class gets the lowest threshold at which at most a tenth of what
 passes is not random. Longer strings show their order more clearly and get a lower threshold.
@@ -120,17 +120,18 @@ def _tail(z: Column) -> Column:
     return F.lit(2.0) / (F.exp(F.lit(1.5976) * size + F.lit(0.07056) * size * size * size) + 1.0)
 
 
-def _step(a: Column, v: Column, half: Column) -> Column:
-    """Running sums over the values of a string's symbols."""
-    begins, high = a["last"] < 0, v >= half
-    changes = begins | (high != (a["last"] >= half))
+def _step(a: Column, symbol: Column) -> Column:
+    """Running sums over a string's symbols: their values, and runs of digits and others."""
+    v, begins = symbol["value"], a["last"] < 0
+    changes = begins | (symbol["digit"] != a["was"])
     return F.struct(
         v.alias("last"),
+        symbol["digit"].alias("was"),
         (a["sum"] + v).alias("sum"),
         (a["squares"] + v * v).alias("squares"),
         (a["products"] + F.when(begins, 0).otherwise(a["last"] * v)).alias("products"),
         (a["runs"] + F.when(changes, 1).otherwise(0)).alias("runs"),
-        (a["high"] + F.when(high, 1).otherwise(0)).alias("high"),
+        (a["digits"] + F.when(symbol["digit"], 1).otherwise(0)).alias("digits"),
         F.when(begins, v).otherwise(a["first"]).alias("first"),
     )
 
@@ -143,7 +144,7 @@ def _evidence(x: Column) -> Column:
     chi = m * x["squares"].cast("double") / n - n
     spread = F.lit(2.0) / (F.lit(9.0) * (m - 1.0))
     z_chi = (F.cbrt(chi / (m - 1.0)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
-    both = F.lit(2.0) * number("high") * (n - number("high"))
+    both = F.lit(2.0) * number("digits") * (n - number("digits"))
     z_runs = (number("runs") - (both / n + 1.0)) / F.sqrt(both * (both - n) / (n * n * (n - 1.0)))
     z_runs = F.when(both > n, z_runs).otherwise(F.lit(_MAX_Z))
     mean = number("sum") / n
@@ -159,19 +160,19 @@ def _p_value(symbols: Column, alphabet: Column) -> Column:
     """How well a string fits even draws from `alphabet`: p of the three tests by Fisher's method."""
 
     def facts(x):
-        half = F.floor(F.char_length(x["alphabet"]) / 2)
         counts = F.transform(
             F.split(x["alphabet"], ""),
             lambda c: F.char_length(x["symbols"]) - F.char_length(F.replace(x["symbols"], c, F.lit(""))),
         )
         values = F.transform(
-            F.array_remove(F.split(x["symbols"], ""), ""), lambda c: F.instr(x["alphabet"], c) - 1
+            F.array_remove(F.split(x["symbols"], ""), ""),
+            lambda c: F.struct((F.instr(x["alphabet"], c) - 1).alias("value"), c.between("0", "9").alias("digit")),
         )
         zero, none = F.lit(0).cast("bigint"), F.lit(-1)
-        sums = [zero.alias(c) for c in ("sum", "squares", "products", "runs", "high")]
-        start = F.struct(none.alias("last"), *sums, none.alias("first"))
+        sums = [zero.alias(c) for c in ("sum", "squares", "products", "runs", "digits")]
+        start = F.struct(none.alias("last"), F.lit(False).alias("was"), *sums, none.alias("first"))
         return F.struct(
-            F.aggregate(values, start, lambda a, v: _step(a, v, half)).alias("a"),
+            F.aggregate(values, start, _step).alias("a"),
             F.aggregate(counts, zero, lambda total, c: total + c.cast("bigint") * c).alias("squares"),
             F.char_length(x["symbols"]).cast("double").alias("n"),
             F.char_length(x["alphabet"]).cast("double").alias("m"),
@@ -325,23 +326,24 @@ coded AS (
     {_sql_case((e, f"'{e[1]}'") for e in ENCODINGS.values())} AS alphabet
   FROM span WHERE kind = {len(KINDS)} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
 folded AS (
-  SELECT id, s, n, code, alphabet, length(alphabet)::DOUBLE AS m, length(alphabet) // 2 AS half,
+  SELECT id, s, n, code, alphabet, length(alphabet)::DOUBLE AS m,
     CASE WHEN code IN (0, 2) THEN lower(value) ELSE value END AS symbols
   FROM coded WHERE code IS NOT NULL),
 listed AS (
-  SELECT *, list_transform(string_split(symbols, ''), lambda c: instr(alphabet, c) - 1) AS v FROM folded),
+  SELECT *, list_transform(string_split(symbols, ''), lambda c: instr(alphabet, c) - 1) AS v,
+    list_transform(string_split(symbols, ''), lambda c: c BETWEEN '0' AND '9') AS digit FROM folded),
 facts AS (
   SELECT *, n::DOUBLE AS x, list_sum(v)::DOUBLE AS total,
     list_sum(list_transform(string_split(alphabet, ''),
       lambda c: (n - length(replace(symbols, c, ''))) * (n - length(replace(symbols, c, '')))))::DOUBLE AS same,
     list_sum(list_transform(v, lambda y: y * y))::DOUBLE AS squares,
     list_sum(list_transform(range(1, n), lambda i: v[i] * v[i + 1]))::DOUBLE AS products,
-    (1 + len(list_filter(range(1, n), lambda i: (v[i] >= half) <> (v[i + 1] >= half))))::DOUBLE AS runs,
-    len(list_filter(v, lambda y: y >= half))::DOUBLE AS high, (v[1] + v[n])::DOUBLE AS ends
+    (1 + len(list_filter(range(1, n), lambda i: digit[i] <> digit[i + 1])))::DOUBLE AS runs,
+    len(list_filter(digit, lambda y: y))::DOUBLE AS digits, (v[1] + v[n])::DOUBLE AS ends
   FROM listed),
 parts AS (
   SELECT *, m * same / x - x AS chi, 2.0::DOUBLE / (9.0::DOUBLE * (m - 1.0)) AS spread,
-    2.0::DOUBLE * high * (x - high) AS pairs, total / x AS mean FROM facts),
+    2.0::DOUBLE * digits * (x - digits) AS pairs, total / x AS mean FROM facts),
 scores AS (
   SELECT *, (cbrt(chi / (m - 1.0)) - (1.0::DOUBLE - spread)) / sqrt(spread) AS z1,
     CASE WHEN pairs > x THEN (runs - (pairs / x + 1.0)) / sqrt(pairs * (pairs - x) / (x * x * (x - 1.0)))
