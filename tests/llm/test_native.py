@@ -6,9 +6,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
-from tests.llm.helpers import documents, odd_documents
+from tests.llm.helpers import DOCUMENTS, documents, odd_documents
 from vecloom.llm import line_dedup, preference, quality_rules, ranks
 
 PAIRS = "pair_id bigint, turn bigint, role string, text string"
@@ -163,3 +164,19 @@ def test_native_plans_have_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_dedup_counts_documents_by_id_and_text(spark):
+    """One rule in code, docstring and SQL: equal rows are one document, other texts of an id others."""
+    equal = [((1, None)[i % 2], f"same {i % 2}\nown") for i in range(20)]
+    several = [(2, f"line of one id\n{i}") for i in range(10)] + [(None, f"line of none\n{i}") for i in range(10)]
+    nine = [(i, "nine\nof them") for i in range(100, 109)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in equal + several + nine]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    got = cut.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+    duck = duckdb.connect()
+    duck.register("documents", docs.toArrow())
+    want = duck.execute(line_dedup.ORACLE).fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert Counter(r["n_dropped"] for r in got.collect()) == {0: 29, 1: 20}

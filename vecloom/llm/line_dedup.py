@@ -57,8 +57,9 @@ def keep_bitmaps(
     occurrence by document id, text and position. `kept_bits` maps a block of 64 lines to the bits of
     the lines that stay (bit i: line 64 * block + i); blocks that lose nothing are not stored.
 
-    Every row is a document of its own, also with a repeated or null id; equal rows share a bitmap.
-    Null text is one empty line. An empty table gives no rows. Extra columns are ignored.
+    A document is an id and a text: rows that agree in both, a null id included, are one document and share
+    a bitmap; one id with several texts is several documents. Null text is one empty line. An empty table
+    gives no rows. Extra columns are ignored.
     """
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}, got {policy!r}")
@@ -192,20 +193,21 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH split AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+  SELECT id, doc_id, text, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents)),
 keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT id, doc_id, text, pos, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM split),
 frequent AS (
-  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key
+  HAVING count(DISTINCT md5(coalesce(doc_id::VARCHAR, '-') || ':' || text)) >= 10),
 marked AS (
-  SELECT doc_id, pos, line, key IN (SELECT key FROM frequent) AS dropped FROM keyed)
+  SELECT id, doc_id, pos, line, key IN (SELECT key FROM frequent) AS dropped FROM keyed)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), ''))
          AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY id, doc_id
 """
