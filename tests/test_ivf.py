@@ -211,3 +211,60 @@ def test_offsets_follow_list_order(spark):
     for row in sorted(got):
         assert row["start"] == at
         at += row["n"]
+
+
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Far more spread between clusters than inside, some vectors repeated."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 30, (40, 3))
+    vectors = (centres[rng.integers(0, 40, 3000)] + rng.normal(0, 1, (3000, 3))).astype(np.float32)
+    vectors[100:130] = vectors[7]
+    base = table(spark, vectors).repartition(8).cache()
+    with conf(spark, partitionBytes=3000):
+        return vectors, base, {m: build_ivf(base, m, n_list=60, iters=4) for m in ("l2", "ip")}
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_exact_search_visits_only_lists_that_can_win(spark, clustered, metric, monkeypatch):
+    vectors, base, indexes = clustered
+    index, asked = indexes[metric], as_queries(base).where("query_id % 30 = 7")
+    want = brute(vectors, vectors[7::30], 10, metric)
+    want = [(7 + 30 * q, *rest) for q, *rest in want]
+    visited = []
+    stream = ivf._stream_lists
+    monkeypatch.setattr(
+        ivf, "_stream_lists", lambda *a: (visited.append(a[3].num_rows), stream(*a))[1]
+    )
+    got = [(*r[:3], pytest.approx(r[3], rel=1e-5, abs=1e-5)) for r in result(ivf_search(index, asked, 10, None))]
+    assert got == want
+    assert sum(visited) < 0.6 * 100 * 60
+    # In tiles, with k above the size of the first lists, and with more than there is.
+    with conf(spark, broadcastBytes=20_000):
+        tiled = result(ivf_search(index, asked, 10, None))
+    assert [r[:3] for r in tiled] == [r[:3] for r in want]
+    few = asked.where("query_id < 100")
+    every = result(exact_knn(base, few, 3001, metric))
+    assert result(ivf_search(index, few, 3001, None)) == every
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_two_passes_send_fewer_candidates(spark, clustered, metric):
+    _, base, indexes = clustered
+    index, asked = indexes[metric], as_queries(base).where("query_id % 10 = 0")
+    want = result(ivf_search(index, asked, 10, 20, "broadcast"))
+    assert result(ivf_search(index, asked, 10, 20, "two_pass")) == want
+    probes = ivf_probes(index.table("centroids"), asked, 20).toArrow()
+    with conf(spark, partitionBytes=3000):
+        once = ivf._stream_lists(index, asked, 10, probes.select(["query_id", "list_id"])).count()
+        twice = ivf._two_pass(index, asked, 10, lambda _: probes, probes).count()
+    assert twice < 0.7 * once
+
+
+def test_exact_search_needs_radii(spark, base, tmp_path):
+    index = build_ivf(base, "l2", str(tmp_path / "old"), n_list=4, iters=1)
+    sizes = index.table("sizes").drop("radius").toPandas()
+    spark.createDataFrame(sizes, "list_id int, n bigint").write.mode("overwrite").parquet(f"{index.path}/sizes")
+    with pytest.raises(Exception, match="radii"):
+        ivf_search(index, as_queries(base), 3, None).collect()
+    assert ivf_search(index, as_queries(base), 3, 2).count() == 3 * base.count()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +15,18 @@ from vecloom import session
 from vecloom.functions import blocks
 from vecloom.operators.flat import Sizes, collect_vectors, exact_knn, vector_bytes
 from vecloom.operators.keyed import keyed_knn
-from vecloom.operators.kmeans import CentroidTiles, embedding_of_centroid, ivf_train, tile_lists
+from vecloom.operators.kmeans import (
+    CentroidTiles,
+    distances,
+    embedding_of_centroid,
+    ivf_train,
+    tile_lists,
+)
 from vecloom.operators.topk import top_k
 from vecloom.schema import METRICS, NEIGHBOURS, one_of, positive
-from vecloom.sources.index_store import Meta, VectorIndex, begin, write_meta, write_table
+from vecloom.sources.index_store import COLUMNS, Meta, VectorIndex, begin, write_meta, write_table
 
-STRATEGIES = ("auto", "broadcast", "shuffle")
+STRATEGIES = ("auto", "broadcast", "two_pass", "shuffle")
 _MAX_BUCKETS = 4096
 #: Ranges of lists in one scan filter.
 _MAX_RANGES = 64
@@ -33,19 +40,27 @@ def ivf_assign(
     Vectors are assigned where they are read. Centroids of more than `held_bytes` (by default the
     broadcast bound) pass by in tiles of that size; `centroids` should then be a stored table.
     """
+    return _assign(base, centroids, coarse_metric, held_bytes).drop("reach")
+
+
+def _assign(
+    base: DataFrame, centroids: DataFrame, coarse_metric: str, held_bytes: int | None = None
+) -> DataFrame:
+    """As `ivf_assign`, with `reach`, the L2 distance of a vector to its list's centroid."""
     one_of("coarse_metric", coarse_metric, METRICS)
     spark = session.ship(base.sparkSession)
     base = base.select("vec_id", "embedding")
     n_list = centroids.count()
     dim = centroids.select(F.size("centroid").alias("dim")).head()["dim"]
     held_bytes = held_bytes or session.broadcast_bytes(spark)
-    assigned = "vec_id bigint, embedding array<float>, list_id int"
+    assigned = "vec_id bigint, embedding array<float>, list_id int, reach double"
     if n_list * dim * 8 > held_bytes:
         tiles = CentroidTiles(centroids, tile_lists(held_bytes, dim), coarse_metric)
 
         def assign_in_tiles(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table, _, lists in tiles.nearest(stream):
-                yield from table.append_column("list_id", pa.array(lists, pa.int32())).to_batches()
+            for table, _, lists, reach in tiles.nearest(stream):
+                table = table.append_column("list_id", pa.array(lists, pa.int32()))
+                yield from table.append_column("reach", pa.array(reach)).to_batches()
 
         return base.mapInArrow(assign_in_tiles, assigned)
     held = spark.sparkContext.broadcast(
@@ -58,7 +73,10 @@ def ivf_assign(
             rows = blocks.matrix(batch.column("embedding"), vectors.shape[1])
             best = blocks.RunningTopK(rows, 1, coarse_metric)
             best.update(lists, vectors)
-            yield batch.append_column("list_id", pa.array(best.ids[:, 0], pa.int32()))
+            found = best.ids[:, 0]
+            reach = distances(rows, vectors[np.searchsorted(lists, found)])
+            batch = batch.append_column("list_id", pa.array(found, pa.int32()))
+            yield batch.append_column("reach", pa.array(reach))
 
     return base.mapInArrow(assign, assigned)
 
@@ -78,10 +96,11 @@ def write_lists(
     """
     spark = assigned.sparkSession
     staged, staging = session.cut(assigned, "assigned")
-    sizes = staged.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = staged.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius"))
+    write_table(sizes.coalesce(1), path, "sizes", mode)
+    sizes = spark.read.schema(COLUMNS["sizes"]).parquet(f"{path}/sizes")
     offsets, placing = session.cut(_offsets(sizes), "offsets")
     n = offsets.agg(F.sum("n")).head()[0]
-    write_table(offsets.coalesce(1), path, "sizes", mode)
 
     per_file = session.file_rows(spark, n, dim * 4)
     files = math.ceil(n / per_file)
@@ -141,7 +160,7 @@ def build_ivf(
         stored = spark.read.parquet(f"{path}/centroids")
         n_list = stored.count()
         dim = stored.select(F.size("centroid").alias("dim")).head()["dim"]
-        assigned = ivf_assign(base, stored, coarse_metric)
+        assigned = _assign(base, stored, coarse_metric)
         n, buckets = write_lists(assigned, path, n_list, dim, mode)
     scratch.delete()
     meta = Meta("ivf", metric, coarse_metric, dim, n, n_list, n_bucket=buckets)
@@ -195,31 +214,133 @@ def ivf_search(
     index: VectorIndex,
     queries: DataFrame,
     k: int = 10,
-    nprobe: int = 32,
+    nprobe: int | None = 32,
     strategy: str = "auto",
 ) -> DataFrame:
     """Top-k over the probed lists, scored exactly: `query_id, rank, neighbor_id, score`.
 
     Queries, their probes and k result slots each are broadcast while they fit the bound, and the
     lists then stream past them unshuffled; beyond it, lists and queries meet in bounded blocks.
+    `two_pass` first searches each query's nearest lists alone; the k-th score found bounds what tasks
+    send of the others, so fewer candidates are shuffled, and none that cannot win.
+
+    `nprobe=None` is exact search. After the first pass a query visits only lists that can hold anything
+    better: by the triangle inequality, a list's radius bounds how near to the query its vectors can be
+    (under `ip`, by Cauchy and Schwarz, how large their products). Queries go in tiles within the bound.
     """
     positive("k", k)
     one_of("strategy", strategy, STRATEGIES)
     if index.meta.index_type != "ivf":
         raise ValueError(f"{index.path} holds a {index.meta.index_type} index, not ivf")
     spark, meta = session.ship(index.spark), index.meta
-    nprobe = min(positive("nprobe", nprobe), meta.n_list)
     n = queries.count()
     if n == 0:
         return spark.createDataFrame([], NEIGHBOURS)
+    if nprobe is None:
+        return _exact_search(index, queries.select("query_id", "embedding"), k, n)
+    nprobe = min(positive("nprobe", nprobe), meta.n_list)
     held = n * (vector_bytes(queries, meta.dim) + 8 + k * 16 + nprobe * 12)
-    if strategy != "shuffle" and held <= session.broadcast_bytes(spark):
-        found = _stream_lists(index, queries, k, nprobe, n)
-    else:
+    if strategy == "shuffle" or held > session.broadcast_bytes(spark):
         found = ivf_candidates(index, queries, k, nprobe, n)
+    elif strategy == "two_pass":
+        probes = _probe(index, queries, nprobe, n).toArrow()
+        found = _two_pass(index, queries, k, lambda _: probes, probes)
+    else:
+        pairs = _probe(index, queries, nprobe, n).select("query_id", "list_id").toArrow()
+        found = _stream_lists(index, queries, k, pairs)
     return top_k(found, k, meta.metric).select("query_id", "rank", "neighbor_id", "score")
 
 
+def _first_lists(index: VectorIndex, k: int) -> int:
+    """Lists of a first pass: enough for four times k vectors, if lists were of one size."""
+    return min(index.meta.n_list, math.ceil(4 * k * index.meta.n_list / index.meta.n_base))
+
+
+def _two_pass(
+    index: VectorIndex,
+    queries: DataFrame,
+    k: int,
+    pairs_within: Callable[[DataFrame], pa.Table],
+    first: pa.Table,
+) -> DataFrame:
+    """Candidates of two passes: over the nearest lists of `first` (probes in rank order), then over the
+    lists that `pairs_within` names, given the k-th scores, without those of the first pass."""
+    nearest = first.filter(pc.less_equal(first["probe_rank"], _first_lists(index, k)))
+    nearest = nearest.select(["query_id", "list_id"])
+    metric = index.meta.metric
+    found, _ = session.cut(top_k(_stream_lists(index, queries, k, nearest), k, metric), "first-pass")
+    floors = found.where(F.col("rank") == k).select("query_id", "score").toArrow()
+    rest = pairs_within(floors).select(["query_id", "list_id"])
+    rest = rest.join(nearest, ["query_id", "list_id"], join_type="left anti")
+    found = found.drop("rank")
+    if rest.num_rows == 0:
+        return found
+    return found.unionByName(_stream_lists(index, queries, k, rest, floors))
+
+
+def _exact_search(index: VectorIndex, queries: DataFrame, k: int, n: int) -> DataFrame:
+    """All queries, in hash tiles so small that even all lists of each would fit the bound."""
+    spark, meta = index.spark, index.meta
+    row = vector_bytes(queries, meta.dim) + 8 + k * 16 + meta.n_list * 12
+    tiles = math.ceil(n * row / session.broadcast_bytes(spark))
+    out = None
+    for tile in range(tiles):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(tiles)) == tile) if tiles > 1 else queries
+        if tiles > 1 and asked.isEmpty():
+            continue
+        first = _probe(index, asked, _first_lists(index, k), n).toArrow()
+        found = _two_pass(index, asked, k, lambda floors, q=asked: _reachable(index, q, floors), first)
+        found = top_k(found, k, meta.metric).select("query_id", "rank", "neighbor_id", "score")
+        if tiles > 1:
+            found, _ = session.cut(found, "exact-tile")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _reachable(index: VectorIndex, queries: DataFrame, floors: pa.Table) -> pa.Table:
+    """`query_id, list_id` of all lists that may hold a vector as good as a query's k-th so far."""
+    spark, meta = index.spark, index.meta
+    query_ids, vectors = collect_vectors(queries, "query_id")
+    vectors = vectors.astype(np.float64)
+    norms = np.linalg.norm(vectors, axis=1)
+    worst = np.full(len(query_ids), np.inf if meta.metric == "l2" else -np.inf)
+    worst[np.searchsorted(query_ids, floors["query_id"].to_numpy())] = floors["score"].to_numpy()
+    held = spark.sparkContext.broadcast((query_ids, vectors, norms, worst))
+    metric, dim = meta.metric, meta.dim
+
+    def reachable(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, vectors, norms, worst = held.value
+        for batch in stream:
+            radius = batch.column("radius").to_numpy(zero_copy_only=False)
+            if np.isnan(radius).any():
+                raise ValueError("the index has no radii; build it again for exact search")
+            centres = blocks.matrix(batch.column("centroid"), dim).astype(np.float64)
+            lists = batch.column("list_id").to_numpy()
+            size = np.linalg.norm(centres, axis=1)
+            for a in range(0, len(query_ids), blocks.QUERY_TILE):
+                q = slice(a, a + blocks.QUERY_TILE)
+                product = vectors[q] @ centres.T
+                # What rounding can be off by: all terms are at most (|q| + |c| + r) squared.
+                scale = (norms[q][:, None] + size + radius) ** 2 * (dim + 16) * 1e-15
+                if metric == "ip":
+                    keep = product + norms[q][:, None] * radius + scale >= worst[q][:, None]
+                else:
+                    apart = norms[q][:, None] ** 2 - 2 * product + size**2 - scale
+                    least = np.maximum(np.sqrt(np.maximum(apart, 0)) * (1 - 1e-12) - radius * (1 + 1e-12), 0)
+                    keep = least**2 <= worst[q][:, None] + scale
+                at, which = np.nonzero(keep)
+                yield from blocks.batches(
+                    {"query_id": pa.array(query_ids[q][at]), "list_id": pa.array(lists[which], pa.int32())}
+                )
+
+    bounds = index.table("sizes").select("list_id", "radius")
+    # The centroids are cut into tasks by list; queries, which fit the bound, go to all of them.
+    located = index.table("centroids").join(bounds, "list_id").select("list_id", "centroid", "radius")
+    pairs = located.mapInArrow(reachable, "query_id bigint, list_id int").toArrow()
+    held.unpersist()
+    return pairs
+
+
 def _probe(index: VectorIndex, queries: DataFrame, nprobe: int, n: int) -> DataFrame:
     meta = index.meta
     sizes = Sizes(meta.n_list, n, meta.dim)
@@ -263,22 +384,29 @@ def ivf_candidates(
 
 
 def _stream_lists(
-    index: VectorIndex, queries: DataFrame, k: int, nprobe: int, n: int
+    index: VectorIndex, queries: DataFrame, k: int, pairs: pa.Table, floors: pa.Table | None = None
 ) -> DataFrame:
+    """Best k per task and query from the lists of `pairs` (`query_id, list_id`), which the caller has
+    bounded; of a query in `floors` (`query_id, score`), only what is as good as that."""
     spark, meta = index.spark, index.meta
-    probes = _probe(index, queries, nprobe, n)
-    pairs = probes.select("query_id", "list_id").toArrow().sort_by("list_id")
+    pairs = pairs.sort_by("list_id")
     query_ids, vectors = collect_vectors(queries, "query_id")
     lists, starts = np.unique(pairs.column("list_id").to_numpy(), return_index=True)
     # The queries that probe lists[i] are at asking[bounds[i]:bounds[i + 1]].
     bounds = np.append(starts, pairs.num_rows)
     asking = np.searchsorted(query_ids, pairs.column("query_id").to_numpy()).astype(np.int32)
-    held = spark.sparkContext.broadcast((query_ids, vectors, lists, bounds, asking))
+    least = np.full(len(query_ids), -np.inf)
+    if floors is not None:
+        sign = -1 if meta.metric == "l2" else 1
+        least[np.searchsorted(query_ids, floors["query_id"].to_numpy())] = sign * floors["score"].to_numpy()
+    held = spark.sparkContext.broadcast((query_ids, vectors, lists, bounds, asking, least))
     metric = meta.metric
 
     def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors, lists, bounds, asking = held.value
+        query_ids, vectors, lists, bounds, asking, least = held.value
         best = blocks.RunningTopK(vectors, k, metric)
+        # Slots without an id hold the floor; an equal score with an id goes before them.
+        best.best[:] = least[:, None]
         for batch in stream:
             ids = batch.column("vec_id").to_numpy()
             rows = blocks.matrix(batch.column("embedding"), vectors.shape[1])

@@ -181,6 +181,11 @@ def _lloyd(train: DataFrame, seeds: DataFrame, iters: int, spherical: bool, n: i
     )
 
 
+def distances(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """L2 distances of rows, pair by pair, in double."""
+    return np.linalg.norm(rows.astype(np.float64) - others, axis=1)
+
+
 def tile_lists(held_bytes: int, dim: int) -> int:
     """Centroids of a tile of at most `held_bytes`."""
     return max(1, held_bytes // (dim * 8))
@@ -206,8 +211,8 @@ class CentroidTiles:
             held = table.column("list_id").to_numpy(), blocks.matrix(table.column("centroid"), self.dim)
             self.tiles.append(spark.sparkContext.broadcast(held))
 
-    def nearest(self, stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-        """Groups of rows, their vectors, and the list nearest to each."""
+    def nearest(self, stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of rows, their vectors, the list nearest to each and the L2 distance to its centroid."""
         group, size = [], 0
         for batch in stream:
             group.append(batch)
@@ -218,15 +223,19 @@ class CentroidTiles:
         if size:
             yield self._group(group)
 
-    def _group(self, group: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    def _group(self, group: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
         table = pa.Table.from_batches(group)
         rows = blocks.matrix(table.column("embedding"), self.dim)
-        best = blocks.RunningTopK(rows, 1, self.metric)
+        best, reach = blocks.RunningTopK(rows, 1, self.metric), np.zeros(len(rows))
         for tile in self.tiles:
-            best.update(*tile.value)
+            lists, vectors = tile.value
+            before = best.ids[:, 0].copy()
+            best.update(lists, vectors)
+            at = np.flatnonzero(best.ids[:, 0] != before)
+            reach[at] = distances(rows[at], vectors[np.searchsorted(lists, best.ids[at, 0])])
             # The worker reads the tile's file again for the next group, so that it holds only one.
             vars(tile).pop("_value", None)
-        return table, rows, best.ids[:, 0]
+        return table, rows, best.ids[:, 0], reach
 
     def release(self) -> None:
         for tile in self.tiles:
@@ -235,7 +244,7 @@ class CentroidTiles:
 
 def _tiled_sums(tiles: CentroidTiles, stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per group of vectors: how many are nearest to each list, and their sum."""
-    for _, rows, lists in tiles.nearest(stream):
+    for _, rows, lists, _ in tiles.nearest(stream):
         by = np.argsort(lists, kind="stable")
         found, start, counts = np.unique(lists[by], return_index=True, return_counts=True)
         totals = np.add.reduceat(rows[by], start, axis=0, dtype=np.float64)

@@ -337,6 +337,9 @@ ORACLES: dict[str, str] = {
     "ivf_search_ip": _ivf_search("ip"),
     "ivf_search_ip_coarse_ip": _ivf_search("ip", "ip"),
     "ivf_search_shuffle": _ivf_search("ip"),
+    "ivf_search_two_pass": _ivf_search("ip"),
+    "ivf_search_exact": _L2_SCALED,
+    "ivf_search_exact_ip": _IP_SCALED,
     "ivf_saved_search": _ivf_search("l2"),
     "ivf_recall": _with(
         _vectors(_PLAIN),

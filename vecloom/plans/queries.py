@@ -165,6 +165,14 @@ def _ivf(metric: str, coarse_metric: str = "l2", strategy: str = "auto", reload:
     return query
 
 
+def _ivf_exact(metric: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scaled(spark, sf_dir)
+        return _neighbours(ivf_search(build_ivf(base, metric), as_queries(base), K, nprobe=None))
+
+    return query
+
+
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = embeddings(spark, sf_dir)
     index = build_ivf(base, "ip")
@@ -309,6 +317,9 @@ QUERIES: dict[str, Query] = {
     "ivf_search_ip": _ivf("ip"),
     "ivf_search_ip_coarse_ip": _ivf("ip", coarse_metric="ip"),
     "ivf_search_shuffle": _ivf("ip", strategy="shuffle"),
+    "ivf_search_two_pass": _ivf("ip", strategy="two_pass"),
+    "ivf_search_exact": _ivf_exact("l2"),
+    "ivf_search_exact_ip": _ivf_exact("ip"),
     "ivf_saved_search": _ivf("l2", reload=True),
     "ivf_recall": ivf_recall,
     "recall_sweep_nprobe": recall_sweep_nprobe,

@@ -7,7 +7,7 @@ meta       one row, see `schema.META`; written last                all
 vectors    vec_id, embedding, node_bucket (partition)              flat
 vectors    vec_id, embedding, bucketed and sorted by vec_id        graph
 centroids  list_id, centroid                                       ivf
-sizes      list_id, n                                              ivf
+sizes      list_id, n, radius                                      ivf
 lists      vec_id, embedding, list_id, list_bucket (partition)     ivf
 links      src, neighbors, bucketed and sorted by src              graph
 entries    vec_id, embedding                                       graph
@@ -36,7 +36,7 @@ TABLES = {
 COLUMNS = {
     "vectors": f"{VECTORS}, node_bucket int",
     "centroids": CENTROIDS,
-    "sizes": "list_id int, n bigint",
+    "sizes": "list_id int, n bigint, radius double",
     "lists": f"{VECTORS}, list_id int, list_bucket int",
     "links": "src bigint, neighbors array<bigint>",
     "entries": VECTORS,
