@@ -302,12 +302,12 @@ class Encoder:
         if missing:
             new = {chunks[i] for i in missing}
             short = [k for k in new if len(k) <= MEMO_CHARS]
-            self._learn(short, short)
+            self._learn([], short)
             if len(self.memo) <= MEMO_CHUNKS:
                 known, used = len(self.memo), self.used
             long = [k for k in new if len(k) > MEMO_CHARS]
             if long:
-                self._learn(long, long)
+                self._learn([], long)
             learned = (self.memo[chunks[i]] for i in missing)
             which[missing] = np.fromiter(learned, np.int64, len(missing))
         out, ends = self._gather(which)
