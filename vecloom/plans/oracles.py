@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from vecloom.plans.queries import EFS, GRAPH_M, K, NPROBE, NPROBES
+from vecloom.plans.queries import DESCENT_ROUNDS, EFS, GRAPH_M, K, NPROBE, NPROBES
 
 LLOYD_STEPS = 10
 #: Rounds of a beam; a round on a finished beam changes nothing, so more than are needed do no harm.
 BEAM_ROUNDS = 10
 #: Lists that the default graph build probes.
 GRAPH_NPROBE = 32
+#: Lists that neighbour descent starts from.
+DESCENT_PROBES = 2
+#: Edges that a vector keeps while it runs.
+DESCENT_WIDTH = max(24, GRAPH_M)
 
 _PLAIN = "embedding"
 _SCALED = "list_transform(embedding, lambda x: CAST(x * (1 + vec_id % 5) AS FLOAT))"
@@ -259,6 +263,37 @@ _LINKED = [
 
 _IVF_GRAPH = [_vectors(_PLAIN), *_ivf("l2", "l2", GRAPH_NPROBE), _IVF_FORWARD, _REVERSE]
 
+
+
+def _descent(probes: int, width: int, rounds: int) -> list[str]:
+    """Edges after rounds in which the ends of each vector's edges are compared, as `forward` and `reverse`.
+
+    Vectors keep `width` edges in the rounds.
+    """
+    reverse = _REVERSE.replace(f"<= {2 * GRAPH_M}", f"<= {GRAPH_M + width}")
+    ctes = [
+        _vectors(_PLAIN),
+        *_ivf("l2", "l2", probes),
+        _IVF_FORWARD.replace("forward AS", "forward0 AS", 1).replace(f"<= {GRAPH_M}", f"<= {width}"),
+    ]
+    for i in range(rounds):
+        ctes += [
+            reverse.replace("forward", f"forward{i}").replace("reverse AS", f"reverse{i} AS", 1),
+            f"""both{i} AS MATERIALIZED (
+                SELECT src, dst FROM forward{i} UNION ALL SELECT src, dst FROM reverse{i})""",
+            f"""offered{i} AS MATERIALIZED (
+                SELECT a.dst AS src, b.dst AS dst FROM both{i} a JOIN both{i} b ON a.src = b.src
+                WHERE a.dst <> b.dst UNION SELECT src, dst FROM forward{i})""",
+            f"""forward{i + 1} AS MATERIALIZED (
+                SELECT src, dst, score, row_number() OVER (
+                    PARTITION BY src ORDER BY score, dst) AS rank
+                FROM (SELECT src, dst, {_score('l2', 's.e', 'd.e')} AS score FROM offered{i}
+                    JOIN v s ON s.vec_id = src JOIN v d ON d.vec_id = dst)
+                QUALIFY rank <= {width})""",
+        ]
+    return [*ctes, f"forward AS (SELECT * FROM forward{rounds} WHERE rank <= {GRAPH_M})", _REVERSE]
+
+
 _IP_SCALED = _flat(_SCALED, "ip")
 _L2_SCALED = _flat(_SCALED, "l2")
 
@@ -351,6 +386,7 @@ ORACLES: dict[str, str] = {
     "recall_sweep_nprobe": _recall_by_nprobe(),
     "knn_graph_exact": _with(_vectors(_PLAIN), _FORWARD, _REVERSE, select=_EDGES),
     "knn_graph_ivf": _with(*_IVF_GRAPH, select=_EDGES),
+    "knn_graph_descent": _with(*_descent(DESCENT_PROBES, DESCENT_WIDTH, DESCENT_ROUNDS), select=_EDGES),
     "graph_search_ef32": _with(
         _vectors(_PLAIN), _FORWARD, _REVERSE, *_LINKED, *_beam(32), select=_result("found32")
     ),

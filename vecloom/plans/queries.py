@@ -28,6 +28,7 @@ K = 10
 NPROBE = 8
 NPROBES = (1, 4, 16, 32)
 EFS = (10, 32, 128)
+DESCENT_ROUNDS = 3
 GRAPH_M = 32
 #: Bytes of centroids that the tiled queries hold at a time.
 _TILE_BYTES = 8 << 10
@@ -209,6 +210,14 @@ def knn_graph_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(edges.select("src", "dst", "rank", "score"), "score")
 
 
+def knn_graph_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph built from two lists per vector and rounds of neighbour descent."""
+    edges = knn_graph(
+        embeddings(spark, sf_dir), GRAPH_M, "l2", candidates="descent", rounds=DESCENT_ROUNDS
+    )
+    return rounded(edges.select("src", "dst", "rank", "score"), "score")
+
+
 def graph_search_ef32(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A beam much narrower than the table, over exact edges."""
     base = embeddings(spark, sf_dir)
@@ -325,6 +334,7 @@ QUERIES: dict[str, Query] = {
     "recall_sweep_nprobe": recall_sweep_nprobe,
     "knn_graph_exact": knn_graph_exact,
     "knn_graph_ivf": knn_graph_ivf,
+    "knn_graph_descent": knn_graph_descent,
     "graph_search_ef32": graph_search_ef32,
     "graph_search_full_width": graph_search_full_width,
     "graph_recall_sweep_ef": graph_recall_sweep_ef,
