@@ -60,6 +60,20 @@ def test_held_out_accuracy(spark):
     assert not any(r["predicted"] for r in held if labels[r["doc_id"]] == 0)
 
 
+def test_held_out_recall_on_all_toxic_rows(spark):
+    """Of a table with labels enough: all toxic rows count, in whatever language or spelling."""
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, sf_dir, "labels").collect()}
+    rows = QUERIES["op1_toxicity"](spark, sf_dir).where("held_out").collect()
+    toxic, clean = ([r["predicted"] for r in rows if labels.get(r["doc_id"]) == x] for x in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_every_entry_that_stands_out_is_kept():
+    many = [(f"{i:05d}\n", 20, 0) for i in range(5000)]
+    assert len(toxicity._choose(many, 40, 700)) == 5000
+
+
 def test_odd_tables(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame(

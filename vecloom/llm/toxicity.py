@@ -36,9 +36,6 @@ LEAST_WEIGHT = 0.98
 #: Lengths of stems that the fit tries.
 STEMS = (4, 8)
 
-#: Entries of the lexicon at most: those with the highest z.
-MAX_ENTRIES = 2_000
-
 #: Tokens on each side of a hit that make its context.
 CONTEXT = 8
 
@@ -331,7 +328,7 @@ def _choose(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> list[En
         while more := [x for x in longer[s] if count[x][0] >= 0.9 * count[s][0] and stands_out(x)]:
             s = max(more, key=lambda x: (count[x][0], x))
         chosen.append(s)
-    chosen = sorted(chosen, key=lambda s: (-z(s), s))[:MAX_ENTRIES]
+    chosen = sorted(chosen, key=lambda s: (-z(s), s))
     words = [s for s in chosen if s.rstrip("\n")]
     return [Entry(s.rstrip("\n"), not s.endswith("\n"), weight(s)) for s in words]
 
