@@ -193,6 +193,21 @@ def test_phrases_and_proximity(spark):
         assert near[2] == [1] and near[5] == [2] and near[7] == []
 
 
+def test_benchmark_ids_of_any_type(spark):
+    docs = documents(spark, ["say one two three", "nothing"])
+    benchmark = [("q-1", "one two three"), ("q-01", "say one"), (None, "nothing")]
+    named = spark.createDataFrame(benchmark, "item_id string, text string")
+    path = session.scratch_path(spark, "index")
+    decontaminate.build_index(docs, path)
+    found = {r["doc_id"]: r for r in decontaminate.search_index(spark, path, named).collect()}
+    assert [s["item_id"] for s in found[0]["spans"]] == ["q-01", "q-1"]
+    assert found[0]["near_items"] == ["q-01", "q-1"] and found[1]["spans"] == []
+    assert decontaminate.drop_contaminated(docs, named).count() == 1
+    small = spark.createDataFrame([(3, "one two three")], "item_id int, text string")
+    found = {r["doc_id"]: r for r in decontaminate.search_index(spark, path, small).collect()}
+    assert [s["item_id"] for s in found[0]["spans"]] == [3]
+
+
 def test_decontamination_odd_tables(spark):
     docs = odd_documents(spark)
     benchmark = spark.createDataFrame([(1, "same line other")], "item_id bigint, text string")

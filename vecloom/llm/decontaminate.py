@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from vecloom import session
 from vecloom.llm.text import boxed, own_columns, row_keys, unboxed, whole
@@ -36,9 +37,10 @@ INDEX = (
     "part int, shard int, doc_ids array<bigint>, text_hashes array<bigint>, n_words array<int>, "
     "terms binary, ends binary, positions binary"
 )
+#: `item` is bigint, or string if the benchmark's ids are no integers.
 MATCHES = (
     "part int, shard int, doc int, doc_id bigint, text_hash bigint, n_words bigint, "
-    "spans array<struct<item_id:bigint,start:int,length:int>>, near_items array<bigint>"
+    "spans array<struct<item_id:{item},start:int,length:int>>, near_items array<{item}>"
 )
 
 #: Every byte that is no part of a word becomes a space, A-Z become a-z; bytes from 0x80 on, which make
@@ -126,10 +128,10 @@ class Phrases:
 
     terms: dict[bytes, int]
     windows: dict[int, np.ndarray]
-    items: dict[int, list[list[int]]]
+    items: dict[int, list[list[int | str]]]
 
 
-def phrases(items: list[tuple[int, str | None]], window: int = WINDOW) -> Phrases:
+def phrases(items: list[tuple[int | str, str | None]], window: int = WINDOW) -> Phrases:
     """All different windows of the items; an item of fewer words is one window, of none has none."""
     terms: dict[bytes, int] = {}
     found: dict[int, dict[tuple[int, ...], set[int]]] = {}
@@ -198,13 +200,13 @@ def _spans(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
     return [(int(r[0]), int(r[-1] - r[0]) + n) for r in runs]
 
 
-def _search_shard(row: dict, asked: Phrases, slop: int) -> tuple[list[list], list[list[int]]]:
+def _search_shard(row: dict, asked: Phrases, slop: int) -> tuple[list[list], list[list[int | str]]]:
     """Spans and near items of each document of a shard."""
     sizes = np.array(row["n_words"], np.int64)
     first = np.cumsum(sizes) - sizes + GAP * np.arange(len(sizes))
     shard = Shard(row["terms"], row["ends"], row["positions"], asked.terms)
-    starts_of: dict[tuple[int, int], list[np.ndarray]] = {}
-    near: list[set[int]] = [set() for _ in sizes]
+    starts_of: dict[tuple[int | str, int], list[np.ndarray]] = {}
+    near: list[set[int | str]] = [set() for _ in sizes]
     for n, windows in asked.windows.items():
         for w in np.flatnonzero(shard.counts[windows].min(axis=1) > 0):
             starts = shard.exact(windows[w])
@@ -215,7 +217,7 @@ def _search_shard(row: dict, asked: Phrases, slop: int) -> tuple[list[list], lis
                 anchors = shard.near(windows[w], slop)
                 for d in np.unique(np.searchsorted(first, anchors, side="right") - 1):
                     near[d].update(asked.items[n][w])
-    spans: list[list[tuple[int, int, int]]] = [[] for _ in sizes]
+    spans: list[list[tuple[int | str, int, int]]] = [[] for _ in sizes]
     for (item, n), found in sorted(starts_of.items()):
         for start, length in _spans(np.unique(np.concatenate(found)), n):
             d = int(np.searchsorted(first, start, side="right")) - 1
@@ -237,16 +239,22 @@ def search_index(
     items with a window whose words all lie within `slop` words of its rarest one, in any order (0: not
     searched). `part, shard, doc` tell rows with equal ids apart. The benchmark is the query set: it is
     searched in blocks of `block_bytes`, one pass over the index each, and the blocks are put together.
-    Items without an id are left out; equal ids are one item. An empty benchmark matches nothing.
+    Items without an id are left out; equal ids are one item. Ids that are no integers are strings in the
+    result. An empty benchmark matches nothing.
     """
     if not 0 <= slop < GAP:
         raise ValueError(f"slop must be from 0 to {GAP - 1}, got {slop}")
     session.ship(spark)
     index = spark.read.schema(INDEX).parquet(path)
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    span = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32())])
-    kinds += [pa.list_(span), pa.list_(pa.int64())]
-    names = [f.split()[0] for f in MATCHES.split(", ")]
+    items = own_columns(benchmark, item_id=F.col("item_id"), text=F.col("text"))
+    item = "bigint" if isinstance(items.schema["item_id"].dataType, IntegralType) else "string"
+    items = items.withColumn("item_id", F.col("item_id").cast(item))
+    matches = MATCHES.format(item=item)
+    item_kind = pa.int64() if item == "bigint" else pa.string()
+    span = pa.struct([("item_id", item_kind), ("start", pa.int32()), ("length", pa.int32())])
+    kinds += [pa.list_(span), pa.list_(item_kind)]
+    names = [f.split()[0] for f in matches.split(", ")]
 
     def pass_over(asked: Phrases) -> DataFrame:
         held = spark.sparkContext.broadcast(asked)
@@ -270,9 +278,9 @@ def search_index(
                         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names
                     )
 
-        return index.mapInArrow(search, MATCHES)
+        return index.mapInArrow(search, matches)
 
-    found = [pass_over(phrases(block, window)) for block in _blocks(benchmark, block_bytes)]
+    found = [pass_over(phrases(block, window)) for block in _blocks(items, block_bytes)]
     if len(found) == 1:
         return found[0]
     key = ["part", "shard", "doc"]
@@ -288,12 +296,11 @@ def search_index(
     )
 
 
-def _blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of about `size` bytes, one empty block if there are none."""
-    block: list[tuple[int, str | None]] = []
+def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int | str, str | None]]]:
+    """The items (`item_id, text`) in blocks of about `size` bytes, one empty block if there are none."""
+    block: list[tuple[int | str, str | None]] = []
     held = 0
     any_block = False
-    items = own_columns(benchmark, item_id=F.col("item_id").cast("bigint"), text=F.col("text"))
     for item_id, text in items.where(F.col("item_id").isNotNull()).toLocalIterator():
         block.append((item_id, text))
         held += len(text or "")
