@@ -216,11 +216,20 @@ WITH last AS (
   SELECT conv_id AS p, max(turn) AS t, arg_max(coalesce(text, ''), turn) AS reply
   FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 partner AS (
-  SELECT p, t,
+  SELECT p, t, reply,
     coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other,
-    count(*) OVER (PARTITION BY p // 64) AS n
-  FROM last WINDOW w AS (PARTITION BY p // 64 ORDER BY p)),
-pairs AS (SELECT * FROM partner WHERE n > 1),
+    count(*) OVER (PARTITION BY floor(p / 64)) AS n
+  FROM last WINDOW w AS (PARTITION BY floor(p / 64) ORDER BY p)),
+ring AS (
+  SELECT p, t, reply, true AS alone FROM partner WHERE n = 1
+  UNION ALL SELECT * FROM (SELECT p, t, reply, false FROM partner WHERE n > 1 ORDER BY p LIMIT 1)),
+lone AS (
+  SELECT p, t, alone, coalesce(lead(reply) OVER w, first_value(reply) OVER w) AS other,
+    count(*) OVER () AS n
+  FROM ring WINDOW w AS (ORDER BY p)),
+pairs AS (
+  SELECT p, t, other FROM partner WHERE n > 1
+  UNION ALL SELECT p, t, other FROM lone WHERE alone AND n > 1),
 chosen AS (
   SELECT p, turn, role, coalesce(text, '') AS text FROM conversations JOIN pairs ON conv_id = p
   WHERE turn <= t),
