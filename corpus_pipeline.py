@@ -40,7 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 4,096 tokens."""
-    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack(docs, tokenizer, keep_encoder=False)
     return packed.drop("text_hash")
 
 

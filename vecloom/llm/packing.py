@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from vecloom import session
 from vecloom.llm.ranks import ranked
 from vecloom.llm.text import own_columns, whole
-from vecloom.llm.tokens import crc_of, encoder
+from vecloom.llm.tokens import Encoder, crc_of, encoder
 
 SEQUENCE = 4096
 END_ID = 2
@@ -113,10 +113,13 @@ def pieces(
     end_id: int = END_ID,
     size: int = SEQUENCE,
     with_ids: bool = False,
+    keep_encoder: bool = True,
 ) -> DataFrame:
     """The pieces of all documents: `doc_id, start, length, ids_crc32, doc_tokens` (and `ids`).
 
     A document's ids and its end id are cut into pieces of `size`, the rest being the last piece.
+    Workers keep their encoder, with all words it has met, for their next task, or without `keep_encoder`
+    let go of it at the end of one: jobs that follow in the same workers then have its memory.
     """
     documents = own_columns(
         docs,
@@ -127,7 +130,7 @@ def pieces(
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def cut(batches):
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer) if keep_encoder else Encoder(tokenizer)
         for batch in batches:
             rows = []
             keys = zip(batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist(), strict=True)
@@ -154,6 +157,7 @@ def pack(
     end_id: int = END_ID,
     size: int = SEQUENCE,
     with_ids: bool = False,
+    keep_encoder: bool = True,
 ) -> DataFrame:
     """Each piece with its `sequence_id` and its `offset` there.
 
@@ -162,7 +166,8 @@ def pack(
     gives no rows. Pieces are computed once and stored, so texts are read and encoded once.
     """
     spark = session.ship(docs.sparkSession)
-    table, _ = session.cut(pieces(docs, tokenizer, end_id, size, with_ids), "pieces")
+    cut = pieces(docs, tokenizer, end_id, size, with_ids, keep_encoder)
+    table, _ = session.cut(cut, "pieces")
     histogram = np.zeros(size + 1, np.int64)
     for row in table.groupBy("length").count().collect():  # at most `size` rows
         histogram[row["length"]] = row["count"]
