@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vecloom import session
 from vecloom.functions import blocks
+from vecloom.operators.centroid_tree import centroid_tree, tree_assign
 from vecloom.operators.flat import Sizes, collect_vectors, exact_knn, vector_bytes
 from vecloom.operators.keyed import keyed_knn
 from vecloom.operators.kmeans import (
@@ -140,13 +141,14 @@ def build_ivf(
     coarse_metric: str = "l2",
     centroids: DataFrame | None = None,
     mode: str = "error",
+    tree: bool = False,
     **training,
 ) -> VectorIndex:
     """Train (unless `centroids` are given), assign and store an IVF index.
 
     `coarse_metric` picks lists and is kept with the index, so assignment and probing agree; it
-    does not depend on `metric`, which scores vectors inside the lists. Further arguments go to
-    `ivf_train`.
+    does not depend on `metric`, which scores vectors inside the lists. With `tree`, vectors find their
+    lists through a tree of centroids, which gives the same index. Further arguments go to `ivf_train`.
     """
     one_of("metric", metric, METRICS)
     one_of("coarse_metric", coarse_metric, METRICS)
@@ -160,7 +162,10 @@ def build_ivf(
         stored = spark.read.parquet(f"{path}/centroids")
         n_list = stored.count()
         dim = stored.select(F.size("centroid").alias("dim")).head()["dim"]
-        assigned = _assign(base, stored, coarse_metric)
+        if tree:
+            assigned = tree_assign(base, centroid_tree(stored, coarse_metric)).drop("scored")
+        else:
+            assigned = _assign(base, stored, coarse_metric)
         n, buckets = write_lists(assigned, path, n_list, dim, mode)
     scratch.delete()
     meta = Meta("ivf", metric, coarse_metric, dim, n, n_list, n_bucket=buckets)

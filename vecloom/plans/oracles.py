@@ -407,3 +407,4 @@ ORACLES: dict[str, str] = {
     "sweep_grid": _sweep_grid(),
 }
 ORACLES |= {f"{name}_tiled": ORACLES[name] for name in ("ivf_centroids", "ivf_assign")}
+ORACLES |= {f"{name}_tree": ORACLES[name] for name in ("ivf_assign", "ivf_probes")}

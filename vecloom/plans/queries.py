@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vecloom import session
 from vecloom.functions.vectors import bf16_vector, inner_product, l2_squared
 from vecloom.operators import inspect
+from vecloom.operators.centroid_tree import centroid_tree, tree_assign, tree_probes
 from vecloom.operators.flat import Sizes, exact_knn
 from vecloom.operators.graph import build_graph, graph_search, knn_graph
 from vecloom.operators.ivf import build_ivf, ivf_assign, ivf_probes, ivf_search
@@ -148,6 +149,19 @@ def ivf_lists_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf_assign(base, centroids, held_bytes=_TILE_BYTES).select("vec_id", "list_id")
 
 
+def ivf_lists_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assigned through a tree of centroids, which leaves out lists that cannot be the nearest."""
+    base = embeddings(spark, sf_dir)
+    centroids, _ = session.cut(ivf_train(base), "centroids")
+    return tree_assign(base, centroid_tree(centroids)).select("vec_id", "list_id")
+
+
+def ivf_probe_lists_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = embeddings(spark, sf_dir)
+    centroids, _ = session.cut(ivf_train(base), "centroids")
+    return tree_probes(as_queries(base), centroid_tree(centroids), NPROBE)
+
+
 def ivf_probe_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = embeddings(spark, sf_dir)
     return ivf_probes(ivf_train(base), as_queries(base), NPROBE)
@@ -321,7 +335,9 @@ QUERIES: dict[str, Query] = {
     "ivf_assign": ivf_lists,
     "ivf_centroids_tiled": ivf_centroids_tiled,
     "ivf_assign_tiled": ivf_lists_tiled,
+    "ivf_assign_tree": ivf_lists_tree,
     "ivf_probes": ivf_probe_lists,
+    "ivf_probes_tree": ivf_probe_lists_tree,
     "ivf_search_l2": _ivf("l2"),
     "ivf_search_ip": _ivf("ip"),
     "ivf_search_ip_coarse_ip": _ivf("ip", coarse_metric="ip"),
