@@ -408,3 +408,4 @@ ORACLES: dict[str, str] = {
 }
 ORACLES |= {f"{name}_tiled": ORACLES[name] for name in ("ivf_centroids", "ivf_assign")}
 ORACLES |= {f"{name}_tree": ORACLES[name] for name in ("ivf_assign", "ivf_probes")}
+ORACLES |= {f"{name}_single_file": ORACLES[f"{name}_roundtrip"] for name in ("fbin", "i64bin")}

@@ -24,6 +24,7 @@ from vecloom.plans.workflow import build_flat, ground_truth, search
 from vecloom.sources.binary import fbin_shape, read_fbin, read_i64bin, write_fbin, write_i64bin
 from vecloom.sources.dataset import as_queries, load_dataset, prefix
 from vecloom.sources.index_store import VectorIndex, load_index, save_index
+from vecloom.sources.single_file import write_fbin_file, write_i64bin_file
 
 K = 10
 NPROBE = 8
@@ -277,6 +278,20 @@ def i64bin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_i64bin(spark, path, K)
 
 
+def fbin_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = session.scratch_path(spark, "one-fbin")
+    write_fbin_file(embeddings(spark, sf_dir), path)
+    return _long(read_fbin(spark, path), "vec_id", "embedding")
+
+
+def i64bin_single_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scaled(spark, sf_dir)
+    queries = as_queries(base)
+    path = session.scratch_path(spark, "one-i64bin")
+    write_i64bin_file(ground_truth(base, queries, K, "ip"), queries, path, K)
+    return read_i64bin(spark, path, K)
+
+
 def _points() -> list[SweepPoint]:
     return [
         SweepPoint("flat"),
@@ -357,6 +372,8 @@ QUERIES: dict[str, Query] = {
     "fbin_roundtrip": fbin_roundtrip,
     "fbin_dataset_search": fbin_dataset_search,
     "i64bin_roundtrip": i64bin_roundtrip,
+    "fbin_single_file": fbin_single_file,
+    "i64bin_single_file": i64bin_single_file,
     "sweep_timings": sweep_timings,
     "sweep_recalls": sweep_recalls,
     "sweep_grid": sweep_grid,

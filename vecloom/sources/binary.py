@@ -380,16 +380,21 @@ def read_i64bin(spark: SparkSession, path: str, k: int, limit: int | None = None
     return rows.where("neighbor_id >= 0")
 
 
+def id_slots(neighbours: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """`query_id, rank, neighbor_id`: k slots of every query, -1 where there is no neighbour."""
+    ranks = F.explode(F.sequence(F.lit(1), F.lit(positive("k", k)))).alias("rank")
+    slots = queries.select("query_id", ranks)
+    return slots.join(
+        neighbours.select("query_id", "rank", "neighbor_id"), ["query_id", "rank"], "left"
+    ).withColumn("neighbor_id", F.coalesce("neighbor_id", F.lit(-1)))
+
+
 def write_i64bin(
     neighbours: DataFrame, queries: DataFrame, path: str, k: int, mode: str = "error"
 ) -> None:
     """Write neighbour ids in `(query_id, rank)` order, k slots per query, -1 where there is none."""
     register(neighbours.sparkSession)
-    ranks = F.explode(F.sequence(F.lit(1), F.lit(positive("k", k)))).alias("rank")
-    slots = queries.select("query_id", ranks)
-    filled = slots.join(
-        neighbours.select("query_id", "rank", "neighbor_id"), ["query_id", "rank"], "left"
-    ).withColumn("neighbor_id", F.coalesce("neighbor_id", F.lit(-1)))
+    filled = id_slots(neighbours, queries, k)
     placed = filled.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank")
     placed.write.format("i64bin").mode(_mode(mode)).save(qualified(neighbours.sparkSession, path))
 
