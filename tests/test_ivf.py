@@ -268,3 +268,26 @@ def test_exact_search_needs_radii(spark, base, tmp_path):
     with pytest.raises(Exception, match="radii"):
         ivf_search(index, as_queries(base), 3, None).collect()
     assert ivf_search(index, as_queries(base), 3, 2).count() == 3 * base.count()
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_pairs_of_exact_search_stay_off_the_driver(spark, metric, monkeypatch):
+    """Every query reaches every list here, and vectors are collected once."""
+    vectors = np.random.default_rng(3).standard_normal((900, 24)).astype(np.float32)
+    base = table(spark, vectors).repartition(4).cache()
+    index = build_ivf(base, metric, n_list=50, iters=2)
+    asked = as_queries(base).where("query_id % 3 = 0")
+    want = result(exact_knn(base, asked, 5, metric))
+    rows, frame = [], type(base)
+    collect = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: (t := collect(df), rows.append(t.num_rows))[0])
+    assert result(ivf_search(index, asked, 5, None)) == want
+    # Vectors, first lists, floors and reached lists.
+    assert sum(rows) <= 300 * (2 + ivf._first_lists(index, 5)) + 2 * 50
+
+
+def test_exact_search_of_repeated_queries(spark, clustered):
+    _, base, indexes = clustered
+    asked = as_queries(base).where("query_id < 40")
+    want = result(ivf_search(indexes["l2"], asked, 10, None))
+    assert result(ivf_search(indexes["l2"], asked.unionAll(asked), 10, None)) == want

@@ -284,66 +284,138 @@ def _two_pass(
 
 
 def _exact_search(index: VectorIndex, queries: DataFrame, k: int, n: int) -> DataFrame:
-    """All queries, in hash tiles so small that even all lists of each would fit the bound."""
+    """All queries, in hash tiles that fit the bound with their results. Which lists a query visits is found
+    where the lists are read: only vectors, floors and first lists of a tile pass through the driver, once."""
     spark, meta = index.spark, index.meta
-    row = vector_bytes(queries, meta.dim) + 8 + k * 16 + meta.n_list * 12
+    first_lists = _first_lists(index, k)
+    row = vector_bytes(queries, meta.dim) + 8 + k * 16 + first_lists * 12
     tiles = math.ceil(n * row / session.broadcast_bytes(spark))
     out = None
     for tile in range(tiles):
         asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(tiles)) == tile) if tiles > 1 else queries
-        if tiles > 1 and asked.isEmpty():
+        collected = collect_vectors(asked, "query_id")
+        if len(collected[0]) == 0:
             continue
-        first = _probe(index, asked, _first_lists(index, k), n).toArrow()
-        found = _two_pass(index, asked, k, lambda floors, q=asked: _reachable(index, q, floors), first)
-        found = top_k(found, k, meta.metric).select("query_id", "rank", "neighbor_id", "score")
+        nearest = _probe(index, asked, first_lists, n).select("query_id", "list_id").toArrow()
+        found = top_k(_stream_lists(index, asked, k, nearest, None, collected), k, meta.metric)
+        found, _ = session.cut(found, "first-pass")
+        floors = found.where(F.col("rank") == k).select("query_id", "score").toArrow()
+        rest = _stream_reachable(index, collected, k, nearest, floors)
+        found = top_k(found.drop("rank").unionByName(rest), k, meta.metric)
+        found = found.select("query_id", "rank", "neighbor_id", "score")
         if tiles > 1:
             found, _ = session.cut(found, "exact-tile")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _reachable(index: VectorIndex, queries: DataFrame, floors: pa.Table) -> pa.Table:
-    """`query_id, list_id` of all lists that may hold a vector as good as a query's k-th so far."""
-    spark, meta = index.spark, index.meta
-    query_ids, vectors = collect_vectors(queries, "query_id")
-    vectors = vectors.astype(np.float64)
-    norms = np.linalg.norm(vectors, axis=1)
-    worst = np.full(len(query_ids), np.inf if meta.metric == "l2" else -np.inf)
-    worst[np.searchsorted(query_ids, floors["query_id"].to_numpy())] = floors["score"].to_numpy()
-    held = spark.sparkContext.broadcast((query_ids, vectors, norms, worst))
-    metric, dim = meta.metric, meta.dim
+def _within_reach(
+    metric: str, rows: np.ndarray, worst: np.ndarray, centres: np.ndarray, radius: np.ndarray
+) -> np.ndarray:
+    """Of each query and list, whether the list may hold a vector as good as the query's k-th so far, whose
+    key (larger is better) is `worst`."""
+    if np.isnan(radius).any():
+        raise ValueError("the index has no radii; build it again for exact search")
+    rows = rows.astype(np.float64)
+    norms = np.linalg.norm(rows, axis=1)[:, None]
+    size = np.linalg.norm(centres, axis=1)
+    product = rows @ centres.T
+    # What rounding can be off by: all terms are at most (|q| + |c| + r) squared.
+    scale = (norms + size + radius) ** 2 * (rows.shape[1] + 16) * 1e-15
+    if metric == "ip":
+        return product + norms * radius + scale >= worst[:, None]
+    apart = norms**2 - 2 * product + size**2 - scale
+    least = np.maximum(np.sqrt(np.maximum(apart, 0)) * (1 - 1e-12) - radius * (1 + 1e-12), 0)
+    return least**2 <= scale - worst[:, None]
+
+
+def _located(index: VectorIndex) -> DataFrame:
+    bounds = index.table("sizes").select("list_id", "radius")
+    return index.table("centroids").join(bounds, "list_id").select("list_id", "centroid", "radius")
+
+
+def _reachable(index: VectorIndex, held) -> pa.Table:
+    """`list_id` of all lists that any query can reach. `held` is the broadcast of `_stream_reachable`."""
+    metric, dim = index.meta.metric, index.meta.dim
 
     def reachable(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, vectors, norms, worst = held.value
+        _, vectors, worst, asking, *_ = held.value
         for batch in stream:
-            radius = batch.column("radius").to_numpy(zero_copy_only=False)
-            if np.isnan(radius).any():
-                raise ValueError("the index has no radii; build it again for exact search")
             centres = blocks.matrix(batch.column("centroid"), dim).astype(np.float64)
-            lists = batch.column("list_id").to_numpy()
-            size = np.linalg.norm(centres, axis=1)
-            for a in range(0, len(query_ids), blocks.QUERY_TILE):
-                q = slice(a, a + blocks.QUERY_TILE)
-                product = vectors[q] @ centres.T
-                # What rounding can be off by: all terms are at most (|q| + |c| + r) squared.
-                scale = (norms[q][:, None] + size + radius) ** 2 * (dim + 16) * 1e-15
-                if metric == "ip":
-                    keep = product + norms[q][:, None] * radius + scale >= worst[q][:, None]
-                else:
-                    apart = norms[q][:, None] ** 2 - 2 * product + size**2 - scale
-                    least = np.maximum(np.sqrt(np.maximum(apart, 0)) * (1 - 1e-12) - radius * (1 + 1e-12), 0)
-                    keep = least**2 <= worst[q][:, None] + scale
-                at, which = np.nonzero(keep)
-                yield from blocks.batches(
-                    {"query_id": pa.array(query_ids[q][at]), "list_id": pa.array(lists[which], pa.int32())}
-                )
+            radius = batch.column("radius").to_numpy(zero_copy_only=False)
+            any_query = np.zeros(len(centres), bool)
+            for a in range(0, len(asking), blocks.QUERY_TILE):
+                q = asking[a : a + blocks.QUERY_TILE]
+                any_query |= _within_reach(metric, vectors[q], worst[q], centres, radius).any(axis=0)
+                if any_query.all():
+                    break
+            yield batch.select(["list_id"]).filter(pa.array(any_query))
 
-    bounds = index.table("sizes").select("list_id", "radius")
-    # The centroids are cut into tasks by list; queries, which fit the bound, go to all of them.
-    located = index.table("centroids").join(bounds, "list_id").select("list_id", "centroid", "radius")
-    pairs = located.mapInArrow(reachable, "query_id bigint, list_id int").toArrow()
-    held.unpersist()
-    return pairs
+    return _located(index).mapInArrow(reachable, "list_id int").toArrow()
+
+
+def _stream_reachable(
+    index: VectorIndex,
+    collected: tuple[np.ndarray, np.ndarray],
+    k: int,
+    done: pa.Table,
+    floors: pa.Table,
+) -> DataFrame:
+    """Best k per task and query of the lists that a query can reach, without those `done`; of a query in
+    `floors` (`query_id, score`), only what is as good as that."""
+    spark, meta = index.spark, index.meta
+    query_ids, vectors = collected
+    sign = -1 if meta.metric == "l2" else 1
+    least = np.full(len(query_ids), -np.inf)
+    least[np.searchsorted(query_ids, floors["query_id"].to_numpy())] = sign * floors["score"].to_numpy()
+    # A query that comes twice is searched once.
+    asking = np.flatnonzero(np.append(True, query_ids[1:] != query_ids[:-1])).astype(np.int32)
+    done = done.sort_by("list_id")
+    lists, starts = np.unique(done.column("list_id").to_numpy(), return_index=True)
+    ends = np.append(starts, done.num_rows)
+    visited = np.searchsorted(query_ids, done.column("query_id").to_numpy()).astype(np.int32)
+    held = spark.sparkContext.broadcast((query_ids, vectors, least, asking, lists, ends, visited))
+    metric, dim = meta.metric, meta.dim
+
+    def search(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, vectors, least, asking, lists, ends, visited = held.value
+        best = blocks.RunningTopK(vectors, k, metric)
+        # Slots without an id hold the floor; an equal score with an id goes before them.
+        best.best[:] = least[:, None]
+        for batch in stream:
+            if batch.num_rows == 0:
+                continue
+            ids = batch.column("vec_id").to_numpy()
+            rows = blocks.matrix(batch.column("embedding"), dim)
+            list_ids = batch.column("list_id").to_numpy()
+            by = np.argsort(list_ids, kind="stable")
+            found, start = np.unique(list_ids[by], return_index=True)
+            centres = blocks.matrix(batch.column("centroid").take(pa.array(by[start])), dim).astype(np.float64)
+            radius = batch.column("radius").to_numpy(zero_copy_only=False)[by[start]]
+            step = max(blocks.QUERY_TILE, (1 << 22) // len(found))
+            keep = np.zeros((len(found), len(query_ids)), bool)
+            for a in range(0, len(asking), step):
+                q = asking[a : a + step]
+                keep[:, q] = _within_reach(metric, vectors[q], best.best[q, -1], centres, radius).T
+            for i, members in enumerate(np.split(by, start[1:])):
+                at = np.searchsorted(lists, found[i])
+                if at < len(lists) and lists[at] == found[i]:
+                    keep[i, visited[ends[at] : ends[at + 1]]] = False
+                best.update(ids[members], rows[members], np.flatnonzero(keep[i]))
+        position, _, found, score = best.results()
+        yield from blocks.batches(
+            {
+                "query_id": pa.array(query_ids[position], pa.int64()),
+                "neighbor_id": pa.array(found, pa.int64()),
+                "score": pa.array(score, pa.float64()),
+            }
+        )
+
+    wanted = np.sort(_reachable(index, held).column("list_id").to_numpy())
+    located = session.small(_located(index), meta.n_list * (meta.dim * 8 + 24))
+    rows = _rows_of(index, wanted).join(located, "list_id")
+    rows = rows.select("list_id", "vec_id", "embedding", "centroid", "radius")
+    return rows.mapInArrow(search, "query_id bigint, neighbor_id bigint, score double")
 
 
 def _probe(index: VectorIndex, queries: DataFrame, nprobe: int, n: int) -> DataFrame:
@@ -389,13 +461,19 @@ def ivf_candidates(
 
 
 def _stream_lists(
-    index: VectorIndex, queries: DataFrame, k: int, pairs: pa.Table, floors: pa.Table | None = None
+    index: VectorIndex,
+    queries: DataFrame,
+    k: int,
+    pairs: pa.Table,
+    floors: pa.Table | None = None,
+    collected: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> DataFrame:
     """Best k per task and query from the lists of `pairs` (`query_id, list_id`), which the caller has
-    bounded; of a query in `floors` (`query_id, score`), only what is as good as that."""
+    bounded; of a query in `floors` (`query_id, score`), only what is as good as that. `collected` are the
+    ids and vectors of the queries, if at hand."""
     spark, meta = index.spark, index.meta
     pairs = pairs.sort_by("list_id")
-    query_ids, vectors = collect_vectors(queries, "query_id")
+    query_ids, vectors = collected or collect_vectors(queries, "query_id")
     lists, starts = np.unique(pairs.column("list_id").to_numpy(), return_index=True)
     # The queries that probe lists[i] are at asking[bounds[i]:bounds[i + 1]].
     bounds = np.append(starts, pairs.num_rows)
@@ -429,14 +507,18 @@ def _stream_lists(
             }
         )
 
-    if len(lists) == meta.n_list:
-        rows = index.table("lists")
-    else:
-        wanted = spark.createDataFrame(pa.table({"list_id": pa.array(lists, pa.int32())}))
-        wanted = session.small(wanted, len(lists) * 16)
-        buckets = np.unique(lists.astype(np.int64) * meta.n_bucket // meta.n_list)
-        wide = lists.astype(np.int64)
-        rows = _probed_rows(index, buckets.tolist(), list_ranges(wide, wide))
-        rows = rows.join(wanted, "list_id", "left_semi")
-    rows = rows.select("list_id", "vec_id", "embedding")
+    rows = _rows_of(index, lists).select("list_id", "vec_id", "embedding")
     return rows.mapInArrow(search, "query_id bigint, neighbor_id bigint, score double")
+
+
+def _rows_of(index: VectorIndex, lists: np.ndarray) -> DataFrame:
+    """The rows of `lists`, which are sorted."""
+    spark, meta = index.spark, index.meta
+    if len(lists) == meta.n_list:
+        return index.table("lists")
+    wanted = spark.createDataFrame(pa.table({"list_id": pa.array(lists, pa.int32())}))
+    wanted = session.small(wanted, len(lists) * 16)
+    buckets = np.unique(lists.astype(np.int64) * meta.n_bucket // meta.n_list)
+    wide = lists.astype(np.int64)
+    rows = _probed_rows(index, buckets.tolist(), list_ranges(wide, wide))
+    return rows.join(wanted, "list_id", "left_semi")
