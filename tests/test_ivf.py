@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.helpers import SF_DIR, brute, conf, queries, result, scan_paths, table
 from vecloom import session
 from vecloom.operators.flat import exact_knn
-from vecloom.operators import ivf
+from vecloom.operators import ivf, kmeans
 from vecloom.operators.ivf import build_ivf, ivf_assign, ivf_probes, ivf_search
 from vecloom.operators.kmeans import default_n_list, first_drawn, ivf_train, n_list_of
 from vecloom.plans.evaluate import evaluate, recall_by_nprobe
@@ -291,3 +291,18 @@ def test_exact_search_of_repeated_queries(spark, clustered):
     asked = as_queries(base).where("query_id < 40")
     want = result(ivf_search(indexes["l2"], asked, 10, None))
     assert result(ivf_search(indexes["l2"], asked.unionAll(asked), 10, None)) == want
+
+
+def test_tiles_of_centroids_are_read_in_one_job(spark, monkeypatch):
+    rows = [(i, [float(i), 1.0]) for i in range(37)]
+    centroids = spark.createDataFrame(rows, "list_id int, centroid array<double>")
+    jobs, frame = [], type(centroids)
+    collect = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: (jobs.append(1), collect(df))[1])
+    for block_bytes, wanted in ((1 << 20, 1), (10 * 2 * 8, 4), (1, 8)):
+        jobs.clear()
+        with conf(spark, blockBytes=block_bytes):
+            tiles = kmeans.CentroidTiles(centroids, 5, "l2").tiles
+        assert len(jobs) == wanted
+        assert [t.value[0].tolist() for t in tiles] == [[*range(a, min(a + 5, 37))] for a in range(0, 37, 5)]
+        assert np.concatenate([t.value[1] for t in tiles])[:, 0].tolist() == [*range(37)]

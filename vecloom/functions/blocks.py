@@ -15,6 +15,8 @@ import pyarrow as pa
 
 QUERY_TILE = 1024
 BASE_TILE = 4096
+#: Tiles of queries at most that meet a small block of base rows together.
+_WIDEST = 16
 _RESCORE_FLOATS = 1 << 22
 _NO_ID = np.iinfo(np.int64).max
 
@@ -68,8 +70,10 @@ class RunningTopK:
             peak = np.sqrt(square.max())
             kind = np.float32 if peak * (self._longest + peak) < 1e30 else np.float64
             side = self._side(block, square, kind)
-            for q in range(0, len(rows), QUERY_TILE):
-                self._offer(rows[q : q + QUERY_TILE], block_ids, block, side, peak)
+            # Few base rows meet more queries at a time, so that a call is worth its cost.
+            step = QUERY_TILE * min(_WIDEST, max(1, BASE_TILE // len(block)))
+            for q in range(0, len(rows), step):
+                self._offer(rows[q : q + step], block_ids, block, side, peak)
 
     def _side(self, base, square, kind):
         """Base columns whose product with `[q, 1]` orders rows as their keys do for that query."""

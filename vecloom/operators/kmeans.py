@@ -194,8 +194,9 @@ def tile_lists(held_bytes: int, dim: int) -> int:
 class CentroidTiles:
     """Stored centroids as broadcast tiles: tasks hold one at a time, however many there are.
 
-    A tile is read by its range of lists, so the driver holds one at a time too; on an executor the others
-    are files. `nearest` reads vectors in groups and takes each group past all tiles.
+    Tiles are read by ranges of lists, as many in one job as a block may hold, so the driver holds no more than
+    that; on an executor the others are files. `nearest` reads vectors in groups and takes each group past all
+    tiles.
     """
 
     def __init__(self, centroids: DataFrame, per_tile: int, metric: str):
@@ -205,11 +206,17 @@ class CentroidTiles:
         self.group_bytes = session.block_bytes(spark)
         last = centroids.agg(F.max("list_id")).head()[0]
         self.tiles = []
-        for first in range(0, last + 1, per_tile):
-            own = centroids.where(F.col("list_id").between(first, first + per_tile - 1))
+        per_job = per_tile * max(1, self.group_bytes // (per_tile * self.dim * 8))
+        for first in range(0, last + 1, per_job):
+            own = centroids.where(F.col("list_id").between(first, first + per_job - 1))
             table = own.select("list_id", "centroid").toArrow().sort_by("list_id")
-            held = table.column("list_id").to_numpy(), blocks.matrix(table.column("centroid"), self.dim)
-            self.tiles.append(spark.sparkContext.broadcast(held))
+            lists = table.column("list_id").to_numpy()
+            vectors = blocks.matrix(table.column("centroid"), self.dim)
+            ends = range(first + per_tile, first + per_job + per_tile, per_tile)
+            cuts = np.unique(np.searchsorted(lists, ends))
+            for a, b in zip([0, *cuts], cuts):
+                if b > a:
+                    self.tiles.append(spark.sparkContext.broadcast((lists[a:b], vectors[a:b])))
 
     def nearest(self, stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
         """Groups of rows, their vectors, the list nearest to each and the L2 distance to its centroid."""
