@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import pytest
 
-from tests.helpers import SF_DIR, queries, table
+from tests.helpers import SF_DIR, conf, queries, table
 from vecloom.operators.flat import exact_knn
 from vecloom.operators.ivf import build_ivf
 from vecloom.operators.recall import recall_at_k
-from vecloom.plans.evaluate import SweepPoint, evaluate, recall_by_ef, sweep
+from vecloom.plans import evaluate as evaluation
+from vecloom.plans.evaluate import SweepPoint, evaluate, recall_by_ef, recall_by_nprobe, sweep
 from vecloom.plans.queries import QUERIES, embeddings, scaled
 from vecloom.plans.workflow import build_flat, build_index, ground_truth
 from vecloom.sources.dataset import as_queries, prefix
@@ -74,3 +75,40 @@ def test_queries_without_sql(spark):
     assert rows[0]["recall"] > 0.9 and rows[-1]["recall"] == 1.0
     timings = QUERIES["sweep_timings"](spark, SF_DIR)
     assert {r[0] for r in timings.select("index").collect()} == {"flat", "ivf", "graph"}
+
+
+def test_a_sweep_of_large_tables_collects_no_vectors(spark, monkeypatch):
+    base = embeddings(spark, SF_DIR).cache()
+    asked = as_queries(base)
+    points = [
+        SweepPoint("flat", knobs=(1,), precision="bf16"),
+        SweepPoint("ivf", knobs=(4,), options={"n_list": 10, "iters": 1}),
+    ]
+    # Written to the end: a search of another strategy than before has the same rows.
+    want = sweep(base, asked, points, "ip", 5, reps=1)[1].collect()
+    rows, frame = [], type(base)
+    collect = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda df: (t := collect(df), rows.append(t.num_rows))[0])
+    monkeypatch.setattr(evaluation, "_COLLECTED", 1000)
+    assert sweep(base, asked, points, "ip", 5, reps=1)[1].collect() == want
+    # Centroids and block plans, but neither vectors nor probes.
+    assert max(rows) <= 10
+
+
+def test_partitions_of_a_probe_sweep_follow_its_candidates(spark, monkeypatch):
+    base = embeddings(spark, SF_DIR)
+    index, asked = build_ivf(base, "ip", n_list=20, iters=1), as_queries(base)
+    plans, best = [], evaluation.top_k
+
+    def seen(df, *args, **named):
+        plans.append((named["by"], df._jdf.queryExecution().toString()))
+        return best(df, *args, **named)
+
+    monkeypatch.setattr(evaluation, "top_k", seen)
+    truth = ground_truth(base, asked, 5, "ip")
+    with conf(spark, partitionBytes=10_000):
+        recall_by_nprobe(index, asked, truth, 5, (1, 4))
+    (by, plan), (then, _) = plans
+    # 500 queries, 4 lists, 5 candidates of 64 bytes.
+    assert "band" in by and "nprobe" in then and "hashpartitioning(query_id" in plan
+    assert ", 64), REPARTITION_BY_NUM" in plan
