@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -121,6 +122,81 @@ def test_lm_odd_tables(spark):
     assert language_model.train_and_score(documents(spark, []), F.lit(True)).count() == 0
 
 
+def test_lm_distinct_keys():
+    random = np.random.default_rng(3)
+    for keys in (random.integers(-9, 9, 200), random.integers(0, 1 << 60, 50), np.zeros(0, np.int64)):
+        distinct, place = language_model._distinct(keys)
+        assert distinct.tolist() == sorted(set(keys.tolist()))
+        assert distinct[place].tolist() == keys.tolist()
+
+
+def lm_block(n_tokens, n_words, n_docs):
+    """A block of training texts of one length, low codes more often than high ones."""
+    random = np.random.default_rng(11)
+    codes = (n_words * random.random(n_tokens) ** 2).astype(np.int64)
+    row = {"part": 0, "block": 0, "doc_ids": list(range(n_docs)), "train": [True] * n_docs}
+    row["sizes"] = [n_tokens // n_docs] * n_docs
+    row["names"] = language_model._pack(random.integers(0, 1 << 63, n_words).astype(np.uint64))
+    row["codes"] = language_model._pack(codes.astype(np.int32))
+    return row
+
+
+def lm_answers(row, plan, level, replies):
+    table = language_model._Block(row, replies, plan).messages()
+    out = []
+    for b in range(len(table)):
+        answer = language_model._reply(table.slice(b, 1).combine_chunks(), level, plan)
+        out += [r for r in answer.to_pylist() if r["part"] is not None]
+    return out
+
+
+@pytest.mark.parametrize("buckets", [3, 64])
+def test_lm_messages_count_grams_of_each_history(buckets):
+    """The n-grams under a history are the ones that it sends to that bucket, spread or not."""
+    row = lm_block(6_000, 300, 20)
+    plan = language_model._Plan(buckets, 2, 6_000)
+    replies = lm_answers(row, plan, 1, [])
+    level = language_model._Block(row, replies, plan)
+    lower, level = level.levels[0], level.open()
+    codes = language_model._unpack(row["codes"], np.int32)
+    inside = np.arange(1, 6_000)[np.arange(1, 6_000) % 300 > 0]
+    pairs = {(int(codes[i - 1]), int(codes[i])) for i in inside}
+    often = lower.totals >= 2
+    pairs = {p for p in pairs if often[p[0]] and often[p[1]]}
+    sent = Counter()
+    for a, b in pairs:
+        spread = min(buckets, -(-int(lower.totals[a]) // plan.load))
+        scatter = int(language_model._scatter(lower.ids[b : b + 1])[0])
+        sent[a, (int(lower.ids[a]) + scatter % spread) % buckets] += 1
+    asked = list(zip(level.asked.tolist(), level.asked_bucket.tolist(), strict=True))
+    assert len(asked) == len(set(asked)) and set(sent) <= set(asked)
+    assert level.under.tolist() == [sent[x] for x in asked]
+
+
+def test_lm_block_finds_its_ngrams_in_a_few_sorts():
+    """Work of a block: at a million tokens, hashing n-grams and searching each takes far longer."""
+    n = 1 << 20
+    row = lm_block(n, 1 << 13, 1 << 8)
+    plan = language_model._Plan(64, 2, n)
+    replies = lm_answers(row, plan, 1, [])
+    keys = np.random.default_rng(5).integers(0, 1 << 40, n)
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    def opened():
+        blocks.pop().open()
+
+    blocks = [language_model._Block(row, replies, plan) for _ in range(3)]
+    ratio = seconds(opened) / seconds(lambda: np.argsort(keys, kind="stable"))
+    assert ratio < 4, ratio
+
+
 # Sharding
 
 
