@@ -100,3 +100,13 @@ def test_misspelled_documents_are_caught(spark, text):
     model = Model((Entry("hateful", False, 1.0),), frozenset(), PRIOR)
     score = Scorer(model)
     assert score.features([f"you are {text} and {text}"])[0, 1:3].sum() > 0
+
+
+def test_clean_texts_without_any_toxic_string(spark):
+    """Sampled texts that share no string with toxic texts give empty batches among others."""
+    texts = [f"you are a scum numbered{i}" for i in range(12)]
+    texts += [f"you are a good zzz{i}" for i in range(60)] + [f"zzz{i} qqqq{i}" for i in range(60)]
+    labels = [(i, int(i < 12)) for i in range(len(texts))]
+    labels = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(documents(spark, texts), labels)
+    assert "scum" in [e.text for e in model.entries]

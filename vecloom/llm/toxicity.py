@@ -282,9 +282,10 @@ def _count_strings(sample: DataFrame, wanted: frozenset[str] | None) -> DataFram
                 strings = _strings(own)
                 if held.value is not None:
                     strings &= held.value
+                # A text without wanted strings gives an empty batch, whose type cannot be told from values.
+                sketches = pa.array([_sketch(own)] * len(strings), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(strings, pa.string()), pa.array([_sketch(own)] * len(strings))],
-                    ["string", "sketch"],
+                    [pa.array(strings, pa.string()), sketches], ["string", "sketch"]
                 )
 
     return sample.select("text").mapInArrow(pairs, "string string, sketch bigint")
